@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a key bitmap. Fixed, so what is collected never grows with the data (1 MB).
-BITMAP_BITS = 1 << 23
+#: Bits of a key bitmap. Fixed, so what is collected never grows with the data (512 KB).
+BITMAP_BITS = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,29 +34,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def key_bitmap(df: DataFrame, key: str) -> np.ndarray:
-    """A bitmap of fixed size over the hashes of ``key``: a one-sided filter (no false negatives).
+def bitmap_of(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> Column:
+    """A scalar subquery holding a bitmap of fixed size over the long ``column``; test it with :func:`may_hold`.
 
-    It is used to drop rows before a shuffle join; rows it lets through in error are dropped by that join.
+    A one-sided filter: no false negatives. It drops rows before a shuffle join, and rows it lets
+    through in error are dropped by that join, so results never depend on ``bits``.
     """
-    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_BITS))
-    words = (
-        df.select((bit / 64).cast("long").alias("w"), F.shiftleft(F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b"))
+    bit = F.pmod(F.col(column), F.lit(bits))
+    found = (
+        hashes.where(F.col(column).isNotNull())
+        .select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
-        .collect()
     )
-    out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
-    for r in words:
-        out[r.w] = r.b
-    return out
+    words = hashes.sparkSession.range(0, bits // 64, 1, 1).select(F.col("id").alias("w")).join(found, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits")).scalar()
 
 
-def in_bitmap(bitmap: np.ndarray, key: str) -> Column:
-    """Native test of ``key`` against a bitmap made by :func:`key_bitmap`; the bitmap is one array literal."""
-    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_BITS))
-    word = F.element_at(F.lit(bitmap), (bit / 64).cast("int") + 1)
-    return F.getbit(word, F.pmod(bit, F.lit(64)).cast("int")) == 1
+def may_hold(bitmap: Column, value: Column, bits: int = BITMAP_BITS) -> Column:
+    bit = F.pmod(value, F.lit(bits))
+    word = F.get(bitmap, F.shiftright(bit, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def prefixed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
