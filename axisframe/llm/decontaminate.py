@@ -72,20 +72,23 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         own.select("item", "words", F.explode(spans).alias("s")).select("item", F.col("s.print").alias("print"), F.col("s.length").alias("length"), _window_text(F.col("s.start"), F.col("s.length")).alias("span")).distinct(), "item-windows"
     )
     bitmap = bitmap_of(item_windows.select("print"), "print")
-    # one pass over the documents: only windows whose fingerprint the benchmark may hold are kept
-    docs = documents.select(F.col(f"`{id_col}`").alias("doc_id"), word_list(F.col(f"`{text_col}`")).alias("words"))
-    found = F.concat(*[_spans(n, lambda x: may_hold(bitmap, x)) for n in [*short, window]])
-    docs = _with_prints(docs, window, k, short).withColumn("found", found)
+    # one pass over the documents: a row for each, and one for each window whose fingerprint the benchmark may hold
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), word_list(F.col(f"`{text_col}`")).alias("words"))
+    docs = _with_prints(docs, window, k, short)
+    lengths, ends = [window, *short], [F.size(f"f{window}")]
+    for n in short:
+        ends.append(ends[-1] + F.size(f"f{n}"))
+    at = F.col("pos") - 1
+    start, length = at, F.lit(window)
+    for n, end in zip(short, ends, strict=False):
+        start, length = F.when(at >= end, at - end).otherwise(start), F.when(at >= end, F.lit(n)).otherwise(length)
+    prints = F.concat(F.array(F.lit(None).cast("bigint")), *[F.col(f"f{n}") for n in lengths])
+    docs = docs.select("*", F.posexplode(prints).alias("pos", "print")).where((F.col("pos") == 0) | may_hold(bitmap, F.col("print")))
     docs = cut(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"),
-            "doc_id",
-            F.size("words").cast("long").alias("n_words"),
-            F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), s["print"].alias("print"), _window_text(s["start"], s["length"]).alias("span"))).alias("found"),
-        ),
+        docs.select("row", "doc_id", "pos", F.size("words").cast("long").alias("n_words"), start.alias("start"), length.alias("length"), "print", _window_text(F.greatest(start, F.lit(0)), F.when(F.col("pos") > 0, length).otherwise(0)).alias("span")),
         "doc-windows",
     )
-    met = docs.where("size(found) > 0").select("row", F.explode("found").alias("s")).select("row", "s.*")
+    met = docs.where("pos > 0").select("row", "start", "length", "print", "span")
     keys = ["print", "length", "span"]
     spans = met.join(item_windows.select(*keys).distinct(), keys, "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("hits"))
     items_met = met.select("row", *keys).distinct().join(item_windows, keys).select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
@@ -97,7 +100,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         lambda a: a["n"].cast("long"),
     )
     return (
-        docs.select("row", "doc_id", "n_words")
+        docs.where("pos = 0")
+        .select("row", "doc_id", "n_words")
         .join(spans, "row", "left")
         .join(items_met, "row", "left")
         .select("doc_id", "n_words", F.coalesce(covered, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<struct<start:int,length:int>>")).alias("hits"))
