@@ -68,6 +68,20 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, and the texts' offsets in them."""
+    lead = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), lead[off]
+
+
+def prefix_hash_codes(code: np.ndarray) -> np.ndarray:
+    """As :func:`prefix_hash`, over code points."""
+    pw, _ = _grow(len(code) + 1)
+    out = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * pw[: len(code)], out=out[1:])
+    return out
+
+
 def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     _, inv = _grow(len(pre))
     return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(np.uint64) * _MULT[63])
