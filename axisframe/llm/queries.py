@@ -9,6 +9,8 @@ from axisframe.llm.chat_format import format_conversations, read_back
 from axisframe.llm.decontaminate import decontaminate
 from axisframe.llm.exact_dedup import exact_dedup
 from axisframe.llm.jaccard_join import jaccard_components
+from axisframe.llm.line_dedup import line_report
+from axisframe.llm.substring_dedup import repeated_passages
 from axisframe.llm.token_output import read_tokens, write_tokens
 from axisframe.llm.toxicity import toxicity_scores
 from axisframe.llm.unigram import encode_pieces
@@ -26,6 +28,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents, the lines that repeat another line within two edits."""
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learnt from labels that aren't held out."""
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -50,6 +57,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that an earlier document has, too."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts hold the template's control strings, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -76,7 +88,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_toxicity": op2_toxicity, "op3_jaccard_join": op3_jaccard_join, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op7_chat_format": op7_chat_format,
+    "op1_line_dedup": op1_line_dedup, "op2_toxicity": op2_toxicity, "op3_jaccard_join": op3_jaccard_join, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_substring_dedup": op6_substring_dedup, "op7_chat_format": op7_chat_format,
     "op8_exact_dedup": op8_exact_dedup, "op9_token_output": op9_token_output, "op10_sentencepiece": op10_sentencepiece,
 }
 
