@@ -7,12 +7,18 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-NAN, INF = F.lit(float("nan")), F.lit(float("inf"))
+def nan() -> Column:
+    return F.lit(float("nan"))
+
+
+def inf() -> Column:
+    return F.lit(float("inf"))
 
 
 def divide(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / F.when(b != 0, b)).otherwise(F.when((a == 0) | F.isnan(a), NAN).otherwise(F.signum(a) * INF))
+    return F.when(b != 0, a / F.when(b != 0, b)).otherwise(F.when((a == 0) | F.isnan(a), nan()).otherwise(F.signum(a) * inf()))
 
 
 def safe_div(a: Column, b: Column) -> Column:
@@ -29,7 +35,7 @@ def floor_mod(a: Column, b: Column) -> Column:
 
 
 def _log(f, x: Column) -> Column:
-    return F.when(F.isnan(x) | (x < 0), NAN).when(x == 0, -INF).otherwise(f(x))
+    return F.when(F.isnan(x) | (x < 0), nan()).when(x == 0, -inf()).otherwise(f(x))
 
 
 def log(x: Column) -> Column:
@@ -45,12 +51,12 @@ def log10(x: Column) -> Column:
 
 
 def log1p(x: Column) -> Column:
-    return F.when(F.isnan(x) | (x < -1), NAN).when(x == -1, -INF).otherwise(F.log1p(x))
+    return F.when(F.isnan(x) | (x < -1), nan()).when(x == -1, -inf()).otherwise(F.log1p(x))
 
 
 def minimum(a: Column, b: Column) -> Column:
     """NaN wins."""
-    return F.when(F.isnan(a) | F.isnan(b), NAN).otherwise(F.least(a, b))
+    return F.when(F.isnan(a) | F.isnan(b), nan()).otherwise(F.least(a, b))
 
 
 def maximum(a: Column, b: Column) -> Column:
@@ -63,7 +69,7 @@ def clip(x: Column, low: float | Column = 0.0, high: float | Column = 1.0) -> Co
 
 
 def is_finite(x: Column) -> Column:
-    return ~F.isnan(x) & (F.abs(x) != INF)
+    return ~F.isnan(x) & (F.abs(x) != inf())
 
 
 def is_nan(x: Column) -> Column:
@@ -71,7 +77,7 @@ def is_nan(x: Column) -> Column:
 
 
 def is_inf(x: Column) -> Column:
-    return F.abs(x) == INF
+    return F.abs(x) == inf()
 
 
 def nan_to_0(x: Column) -> Column:
@@ -103,12 +109,12 @@ def degrees(x: Column) -> Column:
     return F.degrees(x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def log_gamma(x: pd.Series) -> pd.Series:
     return x.map(math.lgamma)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erf(x: pd.Series) -> pd.Series:
     return x.map(math.erf)
 

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisframe.frame import TensorFrame
-from axisframe.functions.elementwise import INF, NAN, is_finite
+from axisframe.functions.elementwise import is_finite, nan
 from axisframe.shape import DimFilter, non_batch
 
 
 def min_nan(x: Column) -> Column:
     """NaN wins, as in the maximum."""
-    return F.when(F.bool_or(F.isnan(x.cast("double"))), NAN).otherwise(F.min(x))
+    return F.when(F.bool_or(F.isnan(x.cast("double"))), nan()).otherwise(F.min(x))
 
 
 def _finite(x: Column) -> Column:
@@ -20,11 +20,11 @@ def _finite(x: Column) -> Column:
 
 
 def finite_sum(x: Column) -> Column:
-    return F.coalesce(F.sum(_finite(x)), NAN)
+    return F.coalesce(F.sum(_finite(x)), nan())
 
 
 def finite_mean(x: Column) -> Column:
-    return F.coalesce(F.avg(_finite(x)), NAN)
+    return F.coalesce(F.avg(_finite(x)), nan())
 
 
 def finite_min(x: Column, default: float = float("nan")) -> Column:
@@ -38,7 +38,7 @@ def finite_max(x: Column, default: float = float("nan")) -> Column:
 def finite_std(x: Column) -> Column:
     """sqrt(E[x^2] - E[x]^2) of the finite values."""
     f = _finite(x)
-    return F.coalesce(F.sqrt(F.greatest(F.avg(f * f) - F.avg(f) * F.avg(f), F.lit(0.0))), NAN)
+    return F.coalesce(F.sqrt(F.greatest(F.avg(f * f) - F.avg(f) * F.avg(f), F.lit(0.0))), nan())
 
 
 def weighted_mean(tf: TensorFrame, weight: str, dim: DimFilter = non_batch, where_no_weight: float = float("nan")) -> TensorFrame:
@@ -88,5 +88,3 @@ def dense_rank_of(df: DataFrame, keys: list[str], order: list[Column], name: str
     """Rank from 0 inside each group."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
-
-EMPTY_MAX, EMPTY_MIN = -INF, INF

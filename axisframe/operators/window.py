@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from axisframe.functions.elementwise import NAN, is_finite
+from axisframe.functions.elementwise import is_finite, nan
 
 
 def over(keys: list[str], order: list[str]) -> Window:
@@ -25,7 +25,7 @@ def shift(value: Column, keys: list[str], order: list[str], by: int, outside: st
     w = over(keys, order)
     moved = F.lead(value, by).over(w) if by >= 0 else F.lag(value, -by).over(w)
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edge = {"boundary": F.last(value).over(full) if by >= 0 else F.first(value).over(full), "zero": F.lit(0.0), "nan": NAN}[outside]
+    edge = {"boundary": F.last(value).over(full) if by >= 0 else F.first(value).over(full), "zero": F.lit(0.0), "nan": nan()}[outside]
     inside = (F.lead(F.lit(1), by) if by >= 0 else F.lag(F.lit(1), -by)).over(w).isNotNull()
     return F.when(inside, moved).otherwise(edge)
 
@@ -49,7 +49,7 @@ def finite_fill(value: Column, keys: list[str], order: list[str], distance: int
     """Non-finite values become the mean of the finite ones within ``distance`` places, or stay NaN."""
     w = over(keys, order).rowsBetween(-distance, distance)
     near = F.avg(F.when(is_finite(value), value)).over(w)
-    return F.when(is_finite(value), value).otherwise(F.coalesce(near, NAN))
+    return F.when(is_finite(value), value).otherwise(F.coalesce(near, nan()))
 
 
 def convolve(value: Column, keys: list[str], order: list[str], kernel: list[float]) -> Column:
