@@ -34,3 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return e.select(F.col("a").alias("id"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b"))).distinct()
+
+
+def joined_components(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (id, root) after further ``links`` (a, b); unchanged if there are none."""
+    more = cut(links, "more-links")
+    if more.isEmpty():
+        return label
+    return components(label.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))

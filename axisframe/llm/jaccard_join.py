@@ -7,7 +7,7 @@ reach the needed overlap with any block is skipped (index-level skipping). In ea
 central set is compared in full. The answers of the other sets are derived from that set's answers: with
 the differences to it known, the overlap of two others is
 |L| - |gone x| - |gone y| + |gone x & gone y| + |extra x & extra y|, so no list is read again and no pairs
-of a group are written out (answer-level skipping). Pairs already connected are skipped.
+of a large list are written out (answer-level skipping). Pairs already connected are skipped.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm._graph import components
+from axisframe.llm._graph import components, joined_components
 from axisframe.llm._store import bitmap_of, cut, may_hold
 from axisframe.llm._text import _MULT, chunks, mix, windows, words
 
@@ -28,6 +28,8 @@ from axisframe.llm._text import _MULT, chunks, mix, windows, words
 FLUSH = 1 << 22
 #: Frequency ranks sent to the tasks (12 bytes each). They only order the shingles: results don't depend on them.
 RANKS = 1 << 17
+#: Lists of at most so many postings give their partnered pairs; larger ones are compared through a central set.
+SMALL_LIST = 8
 #: Sets of one side in a block of derived answers.
 BLOCK = 2048
 
@@ -68,7 +70,7 @@ def _scan(k: int):
 
     def repeats(parts: list) -> pa.RecordBatch:
         value, count = np.unique(np.concatenate(parts), return_counts=True)
-        value, count = value[count > 2].view(np.int64), count[count > 2]
+        value, count = value[count > 1].view(np.int64), count[count > 1]
         none = pa.nulls(len(value), pa.int64())
         return pa.record_batch([none, none, none, none, pa.array(value), pa.array(count)], schema=schema)
 
@@ -148,23 +150,34 @@ def _partnered(n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _lists(percent: int):
-    """Over postings sorted by shingle: those with a partner in their list."""
-    names = ["shingle", "doc_id", "n"]
+    """Over postings sorted by shingle: of large lists those with a partner (other is null), of small lists the partnered pairs."""
+    schema = pa.schema([("shingle", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("other", pa.int64())])
+
+    def partners(n, p, m, q):
+        need = _needed(n, m, percent)
+        return (p <= n - need) & (q <= m - need) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
     def finish(parts):
         t, d, n, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-        start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        n, p = n.astype(np.int64), p.astype(np.int64)
+        start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
         count = np.diff(np.r_[start, len(t)])
-        keep = np.zeros(len(t), bool)
-        two = start[count == 2]
-        if len(two):
-            a, b = n[two].astype(np.int64), n[two + 1].astype(np.int64)
-            need = _needed(a, b, percent)
-            ok = (p[two] <= a - need) & (p[two + 1] <= b - need) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            keep[two[ok]] = keep[two[ok] + 1] = True
-        for s, c in zip(start[count > 2].tolist(), count[count > 2].tolist(), strict=True):
-            keep[s : s + c] = _partnered(n[s : s + c], p[s : s + c], percent)
-        return pa.record_batch([pa.array(t[keep]), pa.array(d[keep]), pa.array(n[keep])], names=names)
+        first, second = [], []
+        for size in range(2, SMALL_LIST + 1):
+            own = start[count == size]
+            for i in range(size):
+                for j in range(i + 1, size):
+                    ok = own[partners(n[own + i], p[own + i], n[own + j], p[own + j]) & (d[own + i] != d[own + j])]
+                    first.append(ok + i)
+                    second.append(ok + j)
+        large = np.zeros(len(t), bool)
+        for s, c in zip(start[count > SMALL_LIST].tolist(), count[count > SMALL_LIST].tolist(), strict=True):
+            large[s : s + c] = _partnered(n[s : s + c], p[s : s + c], percent)
+        yield pa.record_batch([pa.array(t[large]), pa.array(d[large]), pa.array(n[large].astype(np.int32)), pa.nulls(int(large.sum()), pa.int64())], schema=schema)
+        x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (first, second))
+        pairs = np.unique(np.sort(np.stack([d[x], d[y]], 1), 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        none = pa.nulls(len(pairs), pa.int64())
+        yield pa.record_batch([none, pa.array(pairs[:, 0]), pa.nulls(len(pairs), pa.int32()), pa.array(pairs[:, 1])], schema=schema)
 
     def run(batches):
         parts: list = []
@@ -177,12 +190,12 @@ def _lists(percent: int):
                 parts.append((t, d, n, p))
                 continue
             parts.append((t[:last], d[:last], n[:last], p[:last]))
-            yield finish(parts)
+            yield from finish(parts)
             parts = [(t[last:], d[last:], n[last:], p[last:])]
         if parts:
-            yield finish(parts)
+            yield from finish(parts)
 
-    return run, "shingle long, doc_id long, n int"
+    return run, "shingle long, doc_id long, n int, other long"
 
 
 def _tokens(k: int):
@@ -198,15 +211,24 @@ def _tokens(k: int):
     return run, "doc_id long, tokens binary"
 
 
-def _answers(batches):
-    """Overlap of each set with its list's central set, and what it lacks and has beside it."""
+def _overlaps(batches):
+    """Overlap of the two sets of each pair."""
+    for rows in batches:
+        out = rows[["a", "b"]].copy()
+        sets = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(rows["a_tokens"], rows["b_tokens"], strict=True)]
+        out["n"], out["m"] = [len(x) for x, _ in sets], [len(y) for _, y in sets]
+        out["overlap"] = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets]
+        yield out
+
+
+def _differences(batches):
+    """What each set lacks of its list's central set and has beside it."""
     for rows in batches:
         out = []
-        for x, y in zip(rows["tokens"], rows["leader_tokens"], strict=True):
+        for x, y in zip(rows["a_tokens"], rows["b_tokens"], strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.intersect1d(x, y, assume_unique=True)
-            out.append((len(x), len(y), len(both), np.setdiff1d(y, both, True).tobytes(), np.setdiff1d(x, both, True).tobytes()))
-        yield pd.concat([rows[["rep", "leader"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "leader_n", "overlap", "gone", "extra"])], axis=1)
+            out.append((len(x), len(y), np.setdiff1d(y, x, True).tobytes(), np.setdiff1d(x, y, True).tobytes()))
+        yield pd.concat([rows[["a", "b"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "leader_n", "gone", "extra"])], axis=1)
 
 
 def _derived(percent: int):
@@ -270,33 +292,39 @@ def jaccard_components(documents: DataFrame, percent: int = 80, k: int = 5, id_c
     ranks = spark.sparkContext.broadcast((value[order], rank[order]))
 
     postings = docs.where("doc_id is not null").mapInArrow(*_postings(k, percent, ranks))
-    lists = postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(*_lists(percent))
-    lists = cut(lists.join(docrep.where("rep is not null").select("doc_id", "rep"), "doc_id").select("shingle", "rep", "n").distinct(), "lists")
-    # the set with the most company among its own shingles leads each list
+    posted = cut(postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(*_lists(percent)), "lists")
+    owner = docrep.where("rep is not null").select("doc_id", "rep")
+    small = posted.where("other is not null").select("doc_id", "other").distinct().join(owner, "doc_id").select("other", F.col("rep").alias("a")).join(owner.select(F.col("doc_id").alias("other"), F.col("rep").alias("b")), "other")
+    small = small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    lists = cut(posted.where("other is null").join(owner, "doc_id").select("shingle", "rep", "n").distinct(), "large-lists")
+    # the set with the most company among its own shingles leads each large list
     count = lists.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
     company = lists.join(count, "shingle")
     score = company.groupBy("rep").agg((F.sum("c") / F.max("n")).alias("score"))
     leader = company.join(score, "rep").groupBy("shingle").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"))).alias("m")).select("shingle", (-F.col("m.r")).alias("leader"))
-    star = cut(lists.join(leader, "shingle").where("rep <> leader").select("rep", "leader").distinct(), "star")
-
-    ids = star.select(F.col("rep").alias("doc_id")).union(star.select("leader")).distinct()
-    wanted = bitmap_of(ids.select(F.xxhash64("doc_id").alias("h")), "h")
-    tokens = cut(docs.where(F.col("doc_id").isNotNull() & may_hold(wanted, F.xxhash64("doc_id"))).mapInArrow(*_tokens(k)).join(ids, "doc_id", "left_semi"), "tokens")
-    pairs = star.join(tokens.withColumnRenamed("doc_id", "rep"), "rep").join(tokens.select(F.col("doc_id").alias("leader"), F.col("tokens").alias("leader_tokens")), "leader")
-    answers = cut(pairs.mapInPandas(_answers, "rep long, leader long, n long, leader_n long, overlap long, gone binary, extra binary"), "answers")
-    links = answers.where(100 * F.col("overlap") >= percent * (F.col("n") + F.col("leader_n") - F.col("overlap"))).select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    star = cut(lists.join(leader, "shingle").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "star")
+    pairs = cut(star.union(small).distinct(), "pairs")
+
+    wanted = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().select(F.xxhash64("doc_id").alias("h")), "h")
+    tokens = cut(docs.where(F.col("doc_id").isNotNull() & may_hold(wanted, F.xxhash64("doc_id"))).mapInArrow(*_tokens(k)), "tokens")
+    both = lambda p: p.join(tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("b_tokens")), "b")
+    overlaps = both(pairs).mapInPandas(_overlaps, "a long, b long, n long, m long, overlap long")
+    links = cut(overlaps.where(100 * F.col("overlap") >= percent * (F.col("n") + F.col("m") - F.col("overlap"))).select("a", "b"), "links")
     label = components(links)
 
-    comp = answers.join(label.select(F.col("id").alias("rep"), F.col("root").alias("rep_root")), "rep", "left").join(label.select(F.col("id").alias("leader"), F.col("root").alias("leader_root")), "leader", "left")
-    comp = comp.withColumn("comp", F.coalesce("rep_root", "rep")).withColumn("apart", F.col("comp") != F.coalesce("leader_root", "leader")).drop("rep_root", "leader_root")
-    sizes = comp.groupBy("leader").agg(F.sum(F.col("apart").cast("int")).alias("u"), F.count("*").alias("m")).where("u > 0 and m > 1")
-    sizes = sizes.select("leader", F.ceil(F.col("u") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("m") / BLOCK).cast("int").alias("rights"))
-    dealt = comp.join(sizes, "leader")
+    # large lists with sets still apart from their central set: answers by differences to it
+    root = lambda p, side: p.join(label.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    comp = root(root(star, "a"), "b").select("a", "b", F.col("a_root").alias("comp"), (F.col("a_root") != F.col("b_root")).alias("apart"))
+    sizes = comp.groupBy("b").agg(F.sum(F.col("apart").cast("int")).alias("u"), F.count("*").alias("m")).where("u > 0 and m > 1")
+    sizes = sizes.select("b", F.ceil(F.col("u") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("m") / BLOCK).cast("int").alias("rights"))
+    open_ = cut(comp.join(sizes, "b"), "open")
+    apart = both(open_.select("a", "b")).mapInPandas(_differences, "a long, b long, n long, leader_n long, gone binary, extra binary")
+    dealt = cut(apart.join(open_, ["a", "b"]).withColumnsRenamed({"a": "rep", "b": "leader"}), "differences")
     left = dealt.where("apart").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
     right = dealt.withColumn("j", F.pmod(F.xxhash64("rep"), F.col("rights")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # new columns: both sides come from one table
     derived = left.groupBy("leader", "i", "j").cogroup(right.groupBy("leader", "i", "j")).applyInPandas(*_derived(percent))
-    label = components(label.select(F.col("id").alias("a"), F.col("root").alias("b")).union(derived))
+    label = joined_components(label, derived)
     return docrep.join(label.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep", "doc_id")).alias("component_id")
     )
