@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm._graph import components
+from axisframe.llm._graph import components, joined_components
 from axisframe.llm._store import bitmap_of, cut, may_hold
 from axisframe.llm._text import _MULT, chunks, code_points, mix, prefix_hash_codes, span_hash
 
@@ -197,12 +197,14 @@ def _blocks(tau: int):
             lc, rc = _codes(left["text"]), _codes(right["text"])
             lb, rb = _bags(lc), _bags(rc)
             ln, rn, comp, names = left["n"].to_numpy(), right["n"].to_numpy(), right["comp"].to_numpy(), right["id"].to_numpy()
-            for i, (own, name) in enumerate(zip(left["comp"], left["id"], strict=True)):
+            ij: list = []
+            for i, own in enumerate(left["comp"]):
                 # tau edits change the counts of characters by 2 * tau at most
-                at = np.flatnonzero((rn >= ln[i]) & (rn - ln[i] <= tau) & (comp != own) & (np.abs(rb - lb[i]).sum(1) <= 2 * tau))
-                if len(at):
-                    at = at[edit_distance([lc[i]] * len(at), [rc[j] for j in at], tau) <= tau]
-                links += [(name, names[j]) for j in at]
+                at = np.flatnonzero((rn >= ln[i]) & (rn - ln[i] <= tau) & (comp != own))
+                at = at[np.abs(rb[at] - lb[i]).sum(1) <= 2 * tau]
+                ij += [(i, j) for j in at.tolist()]
+            near = edit_distance([lc[i] for i, _ in ij], [rc[j] for _, j in ij], tau) <= tau
+            links = [(left["id"].iloc[i], names[j]) for (i, j), ok in zip(ij, near.tolist(), strict=True) if ok]
         return pd.DataFrame(links, columns=["a", "b"])
 
     return run, "a binary, b binary"
@@ -237,14 +239,16 @@ def line_classes(documents: DataFrame, tau: int = TAU, min_chars: int = MIN_CHAR
 
     # lists with lines still apart; two lines have met in the star
     member = lists.join(texts.select("line", "id"), "line").join(label, "id", "left").withColumn("comp", F.coalesce("root", "id"))
-    size = member.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("what") % 2).alias("o"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("m > 2 and c1 <> c2")
+    size = member.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("what") % 2).alias("o"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor(F.xxhash64("id", "what")).alias("x"), F.bit_xor(F.xxhash64("what", "id")).alias("y")).where("m > 2 and c1 <> c2")
+    # lists of the same lines, such as those of a group's several segments, are compared once
+    size = size.groupBy("m", "o", "x", "y").agg(F.min("key").alias("key"))
     size = size.select("key", F.ceil(F.col("o") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("m") / BLOCK).cast("int").alias("rights"))
     dealt = cut(member.join(size, "key").join(texts.select("id", "text"), "id").select("key", "id", "text", "comp", "what", (F.col("what") / 2).cast("long").alias("n"), "lefts", "rights"), "open-lists")
     left = dealt.where("what % 2 = 1").withColumn("i", F.pmod(F.xxhash64("id"), F.col("lefts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
     right = dealt.withColumn("j", F.pmod(F.xxhash64("id"), F.col("rights")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # new columns: both sides come from one table
     more = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(*_blocks(tau))
-    label = components(label.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
+    label = joined_components(label, more)
 
     classed = lines.join(label, "id", "left").select("doc_id", "line_no", "n", F.coalesce("root", "id").alias("class"))
     first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("m"))
