@@ -7,7 +7,9 @@ reach the needed overlap with any block is skipped (index-level skipping). In ea
 central set is compared in full. The answers of the other sets are derived from that set's answers: with
 the differences to it known, the overlap of two others is
 |L| - |gone x| - |gone y| + |gone x & gone y| + |extra x & extra y|, so no list is read again and no pairs
-of a large list are written out (answer-level skipping). Pairs already connected are skipped.
+of a large list are written out (answer-level skipping). Pairs already connected are skipped. Before
+sets are compared, parity bitmaps of theirs are: bits that differ are elements that differ, so a pair with
+too many is out, exactly.
 """
 
 from __future__ import annotations
@@ -211,6 +213,70 @@ def _tokens(k: int):
     return run, "doc_id long, tokens binary"
 
 
+def _sketches(k: int):
+    """Parity bitmaps of at least 4 bits an element; halves of one, xored, are that of half the bits."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+
+    def sketch(x: np.ndarray) -> bytes:
+        bits = 64 << max(0, int(len(x) * 4 - 1).bit_length() - 6)
+        return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for a, b, rows, sh in shingle_sets(batch.column("text"), k):
+                at = np.searchsorted(rows, np.arange(b - a + 1))
+                yield pa.record_batch([ids.slice(a, b - a), pa.array(np.diff(at)), pa.array([sketch(sh[at[i] : at[i + 1]]) for i in range(b - a)], pa.binary())], schema=schema)
+
+    return run, "doc_id long, n long, sketch binary"
+
+
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _screened(percent: int):
+    def run(batches):
+        for rows in batches:
+            keep = []
+            for n, m, x, y in zip(rows["a_n"], rows["b_n"], rows["a_sketch"], rows["b_sketch"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                size = min(len(x), len(y))
+                keep.append(100 * min(n, m) >= percent * max(n, m) and int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()) <= n + m - 2 * _needed(n, m, percent))
+            yield rows.loc[np.array(keep, bool), ["a", "b"]]
+
+    return run, "a long, b long"
+
+
+def _mates(percent: int):
+    """Sets of one block that may link with one of another component, and those ones."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        hit: set = set()
+        if len(left) and len(right):
+            sketches = [np.frombuffer(x, np.uint64) for x in right["sketch"]]
+            size, n, comp, rep = np.array([len(x) for x in sketches]), right["n"].to_numpy(), right["comp"].to_numpy(), right["rep"].to_numpy()
+            # by size: the sets whose bitmaps are of that size or twice it, folded
+            level = {z: (i := np.flatnonzero((size == z) | (size == 2 * z)), np.stack([_fold(sketches[j], z) for j in i])) for z in np.unique(size).tolist()}
+            for x in left.itertuples():
+                own = np.frombuffer(x.sketch, np.uint64)
+                for z in (len(own), len(own) // 2):
+                    if z not in level or not z:
+                        continue
+                    at, bits = level[z]
+                    ok = (comp[at] != x.comp) & (100 * np.minimum(n[at], x.n) >= percent * np.maximum(n[at], x.n)) & (size[at] >= len(own) if z == len(own) else size[at] == z)
+                    at, bits = at[ok], bits[ok]
+                    near = at[np.bitwise_count(bits ^ _fold(own, z)).sum(1) <= n[at] + x.n - 2 * _needed(n[at], x.n, percent)]
+                    if len(near):
+                        hit.add(x.rep)
+                        hit.update(rep[near].tolist())
+        return pd.DataFrame({"b": [left["leader"].iloc[0]] * len(hit) if hit else [], "a": sorted(hit)}, dtype="int64")
+
+    return run, "b long, a long"
+
+
 def _overlaps(batches):
     """Overlap of the two sets of each pair."""
     for rows in batches:
@@ -305,25 +371,42 @@ def jaccard_components(documents: DataFrame, percent: int = 80, k: int = 5, id_c
     star = cut(lists.join(leader, "shingle").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "star")
     pairs = cut(star.union(small).distinct(), "pairs")
 
-    wanted = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().select(F.xxhash64("doc_id").alias("h")), "h")
-    tokens = cut(docs.where(F.col("doc_id").isNotNull() & may_hold(wanted, F.xxhash64("doc_id"))).mapInArrow(*_tokens(k)), "tokens")
-    both = lambda p: p.join(tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("b_tokens")), "b")
-    overlaps = both(pairs).mapInPandas(_overlaps, "a long, b long, n long, m long, overlap long")
+    def of_ids(ids: DataFrame, make, name: str) -> DataFrame:
+        wanted = bitmap_of(ids.distinct().select(F.xxhash64("doc_id").alias("h")), "h")
+        return cut(docs.where(F.col("doc_id").isNotNull() & may_hold(wanted, F.xxhash64("doc_id"))).mapInArrow(*make(k)), name)
+
+    def both(p: DataFrame, sets: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            p = p.join(sets.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sets.columns if c != "doc_id"]), side)
+        return p
+
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sketches = of_ids(ends(pairs), _sketches, "sketches")
+    near = cut(both(pairs, sketches).mapInPandas(*_screened(percent)), "near")
+    overlaps = both(near, of_ids(ends(near), _tokens, "tokens")).mapInPandas(_overlaps, "a long, b long, n long, m long, overlap long")
     links = cut(overlaps.where(100 * F.col("overlap") >= percent * (F.col("n") + F.col("m") - F.col("overlap"))).select("a", "b"), "links")
     label = components(links)
 
-    # large lists with sets still apart from their central set: answers by differences to it
+    # large lists with sets still apart from their central set
     root = lambda p, side: p.join(label.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
     comp = root(root(star, "a"), "b").select("a", "b", F.col("a_root").alias("comp"), (F.col("a_root") != F.col("b_root")).alias("apart"))
-    sizes = comp.groupBy("b").agg(F.sum(F.col("apart").cast("int")).alias("u"), F.count("*").alias("m")).where("u > 0 and m > 1")
-    sizes = sizes.select("b", F.ceil(F.col("u") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("m") / BLOCK).cast("int").alias("rights"))
-    open_ = cut(comp.join(sizes, "b"), "open")
-    apart = both(open_.select("a", "b")).mapInPandas(_differences, "a long, b long, n long, leader_n long, gone binary, extra binary")
-    dealt = cut(apart.join(open_, ["a", "b"]).withColumnsRenamed({"a": "rep", "b": "leader"}), "differences")
-    left = dealt.where("apart").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
-    right = dealt.withColumn("j", F.pmod(F.xxhash64("rep"), F.col("rights")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # new columns: both sides come from one table
-    derived = left.groupBy("leader", "i", "j").cogroup(right.groupBy("leader", "i", "j")).applyInPandas(*_derived(percent))
+
+    def blocks(members: DataFrame, run) -> DataFrame:
+        sizes = members.groupBy("b").agg(F.sum(F.col("apart").cast("int")).alias("u"), F.count("*").alias("m")).where("u > 0 and m > 1")
+        sizes = sizes.select(F.col("b").alias("leader"), F.ceil(F.col("u") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("m") / BLOCK).cast("int").alias("rights"))
+        dealt = members.withColumnsRenamed({"a": "rep", "b": "leader"}).join(sizes, "leader")
+        left = dealt.where("apart").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
+        right = dealt.withColumn("j", F.pmod(F.xxhash64("rep"), F.col("rights")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])  # new columns: both sides come from one table
+        return left.groupBy("leader", "i", "j").cogroup(right.groupBy("leader", "i", "j")).applyInPandas(*run(percent))
+
+    drawn = cut(comp.join(sketches.select(F.col("doc_id").alias("a"), "n", "sketch"), "a"), "open")
+    mates = cut(blocks(drawn, _mates).distinct(), "mates")
+    if mates.isEmpty():
+        derived = links.limit(0)
+    else:  # answers by differences to the central set
+        apart = both(mates.select("a", "b"), of_ids(ends(mates), _tokens, "tokens")).mapInPandas(_differences, "a long, b long, n long, leader_n long, gone binary, extra binary")
+        derived = blocks(cut(apart.join(comp, ["a", "b"]), "differences"), _derived)
     label = joined_components(label, derived)
     return docrep.join(label.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep", "doc_id")).alias("component_id")
