@@ -43,6 +43,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: What the code points of most texts are mixed to.
+_LOW_CODES = mix(np.arange(1, 4097, dtype=np.uint64))
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, row offsets into the bytes) of runs of rows of about CHUNK bytes; null is empty."""
     column = column.cast(pa.large_string())
@@ -78,7 +82,8 @@ def prefix_hash_codes(code: np.ndarray) -> np.ndarray:
     """As :func:`prefix_hash`, over code points."""
     pw, _ = _grow(len(code) + 1)
     out = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * pw[: len(code)], out=out[1:])
+    value = _LOW_CODES[code] if not len(code) or code.max() < len(_LOW_CODES) else mix(code.astype(np.uint64) + np.uint64(1))
+    np.cumsum(value * pw[: len(code)], out=out[1:])
     return out
 
 

@@ -25,6 +25,8 @@ from axisframe.llm._text import chunks, code_points, mix, prefix_hash_codes, spa
 
 #: Ids in a shard, at least, but for a task's last one.
 SHARD_IDS = 1 << 20
+#: Shards that a reading task gets on average.
+TASK_SHARDS = 4
 #: A pair becomes a rule if it is replaced so often in a round.
 PAIR_USES = 16
 ROUNDS = 8
@@ -111,10 +113,9 @@ class WordEncoder:
             got = self.tok.encode(words[a : a + 4096], is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(got.ids, np.uint32))
             n[a : a + 4096] = np.bincount(np.array(got.word_ids), minlength=len(words[a : a + 4096]))
-        x = np.r_[self.key, keys]
-        order = np.argsort(x, kind="stable")
-        self.at = np.r_[self.at, len(self.pool) + np.cumsum(n) - n][order]
-        self.n, self.key = np.r_[self.n, n][order], x[order]
+        slot = np.searchsorted(self.key, keys)  # both are sorted
+        self.at = np.insert(self.at, slot, len(self.pool) + np.cumsum(n) - n)
+        self.n, self.key = np.insert(self.n, slot, n), np.insert(self.key, slot, keys)
         self.pool = np.concatenate([self.pool, *ids])
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +160,16 @@ class WordEncoder:
         return ids, counts
 
 
+#: A worker's encoders: the words learnt in a task serve its later tasks.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 # --- grammar ---------------------------------------------------------------------------------------
 
 
@@ -283,7 +294,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 2, fol
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, out, at, shard = TaskContext.get().partitionId(), WordEncoder(tokenizer_path), None, 0, 0
+        part, encoder, out, at, shard = TaskContext.get().partitionId(), _encoder(tokenizer_path), None, 0, 0
         held: list = []
 
         def flush() -> pa.RecordBatch:
@@ -324,8 +335,9 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 2, fol
 def read_tokens(index: DataFrame, with_ids: bool = False) -> DataFrame:
     """Per document, read back from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids."""
     # starts of parts from one total a part, then of shards inside each part
-    parts = index.groupBy("part").agg(F.sum("n_ids").alias("total"))
-    order = sorted((r.part, r.total) for r in parts.collect())
+    parts = index.groupBy("part").agg(F.sum("n_ids").alias("total"), F.count("*").alias("shards")).collect()
+    order = sorted((r.part, r.total) for r in parts)
+    tasks = max(1, sum(r.shards for r in parts) // TASK_SHARDS)
     starts = np.r_[0, np.cumsum([t for _, t in order])].tolist()
     spark = index.sparkSession
     begin = spark.createDataFrame([(p, s) for (p, _), s in zip(order, starts, strict=False)] or [(-1, 0)], "part int, part_start long")
@@ -352,5 +364,5 @@ def read_tokens(index: DataFrame, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.record_batch(columns, schema=schema)
 
-    dealt = placed.select("part", "shard", "file", "offset", "length", "start").repartition("part", "shard").sortWithinPartitions("file", "offset")
+    dealt = placed.select("part", "shard", "file", "offset", "length", "start").repartition(tasks, "part", "shard").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
