@@ -156,5 +156,7 @@ def read_warc(index: DataFrame, payload: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_pylist(found, schema=RECORD)
 
     part = (F.col("offset") / SPLIT_BYTES).cast("long")
-    dealt = index.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset")
+    # a number of tasks of its own: index rows are small, so that Spark would read all archives in one task
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // SPLIT_BYTES))
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", part).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
