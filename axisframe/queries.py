@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from axisframe.frame import TensorFrame, align, concat, stack
 from axisframe.functions import elementwise as E
 from axisframe.operators import boundary as B
+from axisframe.operators import generators as G
 from axisframe.operators import linalg as L
 from axisframe.operators import lookup as K
 from axisframe.operators import neighbors as N
 from axisframe.operators import reduce as R
+from axisframe.operators import sampling as S
 from axisframe.operators import window as W
 from axisframe.plans.iterate import conjugate_gradient, iterate
 from axisframe.shape import batch, channel, instance, merge_shapes, spatial
@@ -522,3 +524,61 @@ def string_format(s, d):
 def ragged_stack(s, d):
     t = TensorFrame(_t(s, d, "conversations").select("conv_id", "turn", F.length("text").alias("value")), merge_shapes(batch("conv_id"), spatial("turn")))
     return t.df.groupBy(*t.dims.without("turn").names).agg(F.max("value").alias("most"), F.count("*").alias("turns"))
+
+
+# --- generators and sampling -----------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, unnest(range(CAST(p_size AS BIGINT))) AS i FROM part")
+def arange_ragged(s, d):
+    return G.arange_each(_t(s, d, "part").select("p_partkey", "p_size"), "i", F.col("p_size")).select("p_partkey", "i")
+
+
+@query("WITH b AS (SELECT c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1) SELECT c_mktsegment, i, round(lo + (hi - lo) * i / 4, 4) AS value FROM (SELECT *, unnest(range(5)) AS i FROM b)")
+def linspace_levels(s, d):
+    b = _t(s, d, "customer").groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    return G.linspace_each(b, "i", F.col("lo"), F.col("hi"), 5).select("c_mktsegment", "i", _r(F.col("value")).alias("value"))
+
+
+@query("WITH g AS (SELECT a.range AS nation, b.range AS line FROM range(25) a, range(1, 8) b), c AS (SELECT s_nationkey AS nation, CAST(l_linenumber AS BIGINT) AS line, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL) SELECT g.nation, g.line, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (nation, line)")
+def meshgrid_counts(s, d):
+    grid = G.meshgrid(s, nation=25, line=7).withColumn("line", F.col("line") + 1)
+    hit = _t(s, d, "lineitem").join(_t(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").cast("long").alias("nation"), F.col("l_linenumber").cast("long").alias("line")).agg(F.count("*").alias("n"))
+    return grid.join(hit, ["nation", "line"], "left").select("nation", "line", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS x, round(CASE WHEN n_nationkey < 13 THEN n_nationkey ELSE n_nationkey - 25 END / 25.0, 6) AS frequency FROM nation")
+def fft_frequencies(s, d):
+    x = F.col("n_nationkey").cast("long")
+    return _t(s, d, "nation").select(x.alias("x"), _r(G.fftfreq(x, 25), 6).alias("frequency"))
+
+
+@query("SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('7:' || o_orderkey), o_orderkey) AS r FROM orders) WHERE r <= 10")
+def pick_random(s, d):
+    return S.pick_random(_t(s, d, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], "o_orderkey", 10, seed=7)
+
+
+@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('3:' || c_custkey), c_custkey) - 1 AS permuted FROM customer")
+def random_permutation(s, d):
+    return S.random_permutation(_t(s, d, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], "c_custkey", seed=3).select("c_custkey", "permuted")
+
+
+@query(_BAL.rsplit(", g AS", 1)[0] + ", p AS (SELECT event_id, least(greatest(value / 4, 0), 24) AS p FROM events), q AS (SELECT event_id, p, CAST(least(floor(p), 23) AS BIGINT) AS i FROM p) SELECT event_id, round(l.value * (1 - (p - i)) + u.value * (p - i), 5) AS value FROM q JOIN b l ON l.x = i JOIN b u ON u.x = i + 1")
+def grid_sample(s, d):
+    points = _t(s, d, "events").select("event_id", (F.col("value") / 4).alias("p"))
+    return S.grid_sample(_balances(s, d), points, "x", "p", 25).select("event_id", _r(F.col("value"), 5).alias("value"))
+
+
+@query("WITH s AS (SELECT DISTINCT l_suppkey AS i, date_trunc('month', l_shipdate) AS e FROM lineitem) SELECT a.i AS a, b.i AS b, count(*) AS n FROM s a JOIN s b ON a.e = b.e AND a.i <> b.i WHERE a.i <= 20 AND b.i <= 20 GROUP BY ALL")
+def count_intersections(s, d):
+    sets = _t(s, d, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("i"), F.date_trunc("month", "l_shipdate").alias("e"))
+    return S.count_intersections(sets, "i", "e")
+
+
+@query(_BAL.rsplit(", g AS", 1)[0] + " SELECT a.x AS x, b.x AS y, round(b.value - a.value, 2) AS value FROM b a, b b")
+def pairwise_differences(s, d):
+    """Of the nations' balances: a grid of fixed size."""
+    b = _balances(s, d)
+    t = TensorFrame(b, merge_shapes(instance(x=25)))
+    u = TensorFrame(b.select(F.col("x").alias("y"), "value"), merge_shapes(instance(y=25)))
+    return (u - t).map(lambda c: _r(c, 2)).df.select("x", "y", "value")
