@@ -563,10 +563,10 @@ def random_permutation(s, d):
     return S.random_permutation(_t(s, d, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], "c_custkey", seed=3).select("c_custkey", "permuted")
 
 
-@query(_BAL.rsplit(", g AS", 1)[0] + ", p AS (SELECT event_id, least(greatest(value / 4, 0), 24) AS p FROM events), q AS (SELECT event_id, p, CAST(least(floor(p), 23) AS BIGINT) AS i FROM p) SELECT event_id, round(l.value * (1 - (p - i)) + u.value * (p - i), 5) AS value FROM q JOIN b l ON l.x = i JOIN b u ON u.x = i + 1")
+@query(_BAL.rsplit(", g AS", 1)[0] + ", p AS (SELECT event_id, least(greatest(value / 7, 0), 24) AS p FROM events), q AS (SELECT event_id, p, CAST(least(floor(p), 23) AS BIGINT) AS i FROM p) SELECT event_id, round(l.value * (1 - (p - i)) + u.value * (p - i), 4) AS value FROM q JOIN b l ON l.x = i JOIN b u ON u.x = i + 1")
 def grid_sample(s, d):
-    points = _t(s, d, "events").select("event_id", (F.col("value") / 4).alias("p"))
-    return S.grid_sample(_balances(s, d), points, "x", "p", 25).select("event_id", _r(F.col("value"), 5).alias("value"))
+    points = _t(s, d, "events").select("event_id", (F.col("value") / 7).alias("p"))
+    return S.grid_sample(_balances(s, d), points, "x", "p", 25).select("event_id", _r(F.col("value"), 4).alias("value"))
 
 
 @query("WITH s AS (SELECT DISTINCT l_suppkey AS i, date_trunc('month', l_shipdate) AS e FROM lineitem) SELECT a.i AS a, b.i AS b, count(*) AS n FROM s a JOIN s b ON a.e = b.e AND a.i <> b.i WHERE a.i <= 20 AND b.i <= 20 GROUP BY ALL")
