@@ -442,11 +442,11 @@ def embedding_norms(s, d):
     return _t(s, d, "embeddings").select("vec_id", _r(L.dot_arrays(e, e)).alias("squared"), _r(L.norm(e)).alias("norm"))
 
 
-@query("WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings) SELECT label, CAST(c AS BIGINT) AS c, round(avg(x), 4) AS value FROM v GROUP BY ALL")
+@query("WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings) SELECT label, CAST(c AS BIGINT) AS c, round(avg(x), 4) + 0.0 AS value FROM v GROUP BY ALL")
 def embedding_means(s, d):
     v = _t(s, d, "embeddings").select("label", F.posexplode("embedding").alias("c", "value"))
     t = TensorFrame(v.select("label", F.col("c").cast("long").alias("c"), F.col("value").cast("double").alias("value")), merge_shapes(batch("label"), channel("c")))
-    return t.reduce(F.avg, []).map(_r).df
+    return t.reduce(F.avg, []).map(lambda c: _r(c) + 0.0).df
 
 
 @query("WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings) SELECT CAST(a.c AS BIGINT) AS i, CAST(b.c AS BIGINT) AS j, round(sum(a.x * b.x), 2) + 0.0 AS value FROM v a JOIN v b USING (vec_id) WHERE a.c < 8 AND b.c < 8 GROUP BY 1, 2")
