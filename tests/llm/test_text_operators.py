@@ -11,7 +11,7 @@ from axisframe.llm import jaccard_join as J
 from axisframe.llm.decontaminate import decontaminate
 from axisframe.llm.exact_dedup import build_filter, exact_dedup, in_filter
 from axisframe.llm.line_dedup import dedup_lines, edit_distance, line_classes, line_report, probes, segments
-from axisframe.llm.substring_dedup import align, chains, remove_passages, repeated_passages
+from axisframe.llm.substring_dedup import align, chains, passages, remove_passages, repeated_passages
 
 np = pytest.importorskip("numpy")
 SCHEMA = "doc_id long, text string, key string, rep long, line long, start int, bucket long, words string"
@@ -239,3 +239,25 @@ def test_repeated_passages(spark):
     cut = {r.doc_id: r.text for r in remove_passages(table(spark, rows), found).collect()}
     assert " ".join(shared[10:60]) not in cut[51] and cut[60] is None and cut[10] == rows[10][1]
     assert repeated_passages(table(spark, [])).count() == 0
+
+
+def test_exact_passage_stays_beside_a_shared_phrase(spark):
+    shared, phrase, rest = words_of(55, 1), words_of(12, 2), [words_of(60, s) for s in range(40, 44)]
+    rows = [(i, " ".join(rest[i] + shared + words_of(20, 80 + i) + phrase + rest[i + 2])) for i in (0, 1)]
+    got = repeated_passages(table(spark, rows)).collect()
+    assert any(r.doc_id == 1 and r.start_word <= 60 and r.end_word >= 115 and r.ref_start <= 60 and r.ref_end >= 115 for r in got)
+    assert all(r.n_equal >= 0.8 * max(r.end_word - r.start_word, r.ref_end - r.ref_start) for r in got)
+
+
+def test_parts_of_chains_against_all_runs():
+    r = random.Random(8)
+    for n in range(60):
+        x = np.arange(200, dtype=np.uint32)
+        y, rate = x.copy(), [0.0] * 200
+        for a in range(0, 200, 25):
+            rate[a : a + 25] = [r.choice([0, 0.1, 0.2, 0.4])] * 25
+        y[[i for i in range(1, 199) if r.random() < rate[i]]] = 999
+        same = x == y
+        got = {i for a, b, *_ in passages(x, y, np.array([[0, 200, 0]])) for i in range(a, b)}
+        want = {i for a in range(200) for b in range(a + 50, 201) if same[a] and same[b - 1] and same[a:b].sum() >= 0.8 * (b - a) for i in range(a, b)}
+        assert got == want, n
