@@ -261,3 +261,15 @@ def test_parts_of_chains_against_all_runs():
         got = {i for a, b, *_ in passages(x, y, np.array([[0, 200, 0]])) for i in range(a, b)}
         want = {i for a in range(200) for b in range(a + 50, 201) if same[a] and same[b - 1] and same[a:b].sum() >= 0.8 * (b - a) for i in range(a, b)}
         assert got == want, n
+
+
+def test_passages_with_regularly_changed_words(spark):
+    """Every 5th to 8th word changed: 0.8 to 0.88 equal. Every 4th is too many."""
+    rows = []
+    for n, step in enumerate((8, 7, 6, 5, 4)):
+        for copy in range(5):
+            shared = words_of(60, 100 * n + copy)
+            changed = [f"x{i}" if i % step == step - 1 and i < 59 else w for i, w in enumerate(shared)]
+            rows += [(100 * n + copy, " ".join(words_of(40, 1000 * n + copy) + shared)), (1000 + 100 * n + copy, " ".join(changed + words_of(30, 5000 + 100 * n + copy)))]
+    got = {(r.doc_id, r.ref_doc_id) for r in repeated_passages(table(spark, rows)).collect()}
+    assert got == {(1000 + 100 * n + c, 100 * n + c) for n in range(4) for c in range(5)}
