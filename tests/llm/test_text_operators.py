@@ -273,3 +273,27 @@ def test_passages_with_regularly_changed_words(spark):
             rows += [(100 * n + copy, " ".join(words_of(40, 1000 * n + copy) + shared)), (1000 + 100 * n + copy, " ".join(changed + words_of(30, 5000 + 100 * n + copy)))]
     got = {(r.doc_id, r.ref_doc_id) for r in repeated_passages(table(spark, rows)).collect()}
     assert got == {(1000 + 100 * n + c, 100 * n + c) for n in range(4) for c in range(5)}
+
+
+def test_verbatim_passages_amid_nested_boilerplate(spark):
+    """All words of runs of 50 words that an earlier document has, against brute force over all pairs."""
+    r, line = random.Random(6), words_of(90, 3)
+    docs = {}
+    for i in range(40):
+        w = words_of(20, 600 + i)
+        for _ in range(r.randint(1, 3)):
+            a, n = r.randrange(60), r.choice([20, 30, 40, 55, 60])
+            w += line[a : a + n] + words_of(r.randint(1, 15), r.randrange(10**6))
+        docs[i] = w
+    docs |= {100 + i: words_of(30, 700 + i) + line[a:b] + words_of(30, 800 + i) for i, (a, b) in enumerate([(0, 27), (28, 55), (0, 55), (0, 27), (28, 55), (0, 55)])}
+    own = words_of(95, 4)  # the review's A < B < X < C
+    docs |= {200 + i: words_of(30, 900 + i) + own[:n] + words_of(30, 950 + i) for i, n in enumerate([40, 55, 40, 55])}
+    docs |= {300: own[60:80] + words_of(9, 1) + own[40:95], 301: words_of(30, 5) + own[40:95]}
+    runs, want = {}, set()
+    for i in sorted(docs):
+        w = docs[i]
+        want |= {(i, p + j) for p in range(len(w) - 49) if tuple(w[p : p + 50]) in runs for j in range(50)}
+        runs |= {tuple(w[p : p + 50]): i for p in range(len(w) - 49)}
+    found = repeated_passages(table(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect()
+    got = {(r.doc_id, j) for r in found for j in range(r.start_word, r.end_word)}
+    assert want <= got and any(r.doc_id == 203 and r.ref_doc_id == 201 for r in found)
