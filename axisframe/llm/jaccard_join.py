@@ -259,7 +259,7 @@ def _mates(percent: int):
             sketches = [np.frombuffer(x, np.uint64) for x in right["sketch"]]
             size, n, comp, rep = np.array([len(x) for x in sketches]), right["n"].to_numpy(), right["comp"].to_numpy(), right["rep"].to_numpy()
             # by size: the sets whose bitmaps are of that size or twice it, folded
-            level = {z: (i := np.flatnonzero((size == z) | (size == 2 * z)), np.stack([_fold(sketches[j], z) for j in i])) for z in np.unique(size).tolist()}
+            level = {z: (i := np.flatnonzero((size == z) | (size == 2 * z)), np.stack([_fold(sketches[j], z) for j in i])) for z in np.unique(np.r_[size, size // 2]).tolist() if z}
             for x in left.itertuples():
                 own = np.frombuffer(x.sketch, np.uint64)
                 for z in (len(own), len(own) // 2):

@@ -130,6 +130,25 @@ def test_jaccard_components(spark, monkeypatch, small):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_mates_across_bitmap_sizes():
+    """A block's mates against all pairs, for sets of sizes around powers of two, also where the right block lacks the left one's size."""
+    pd, pa = pytest.importorskip("pandas"), pytest.importorskip("pyarrow")
+    rows = []
+    for n in (15, 16, 17, 18, 31, 32, 33, 34):
+        w = words_of(50, n // 20)
+        rows.append((len(rows), " ".join(w[: n + 4])))
+    make, _ = J._sketches(5)
+    drawn = pa.Table.from_batches(make([pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])])).to_pandas()
+    drawn = drawn.rename(columns={"doc_id": "rep"}).assign(leader=99, comp=drawn["doc_id"], apart=True)
+    run, _ = J._mates(80)
+    sets = {i: shingles(t) for i, t in rows}
+    for x in sets:
+        for y in sets:
+            if x != y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                assert run(drawn[drawn["rep"] == x], drawn[drawn["rep"] == y])["a"].tolist() == sorted((x, y))
+    assert {len(b) for b in drawn["sketch"]} == {8, 16, 32}
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "a b c d e f g"), (7, "A b c d e f g")]
     got = J.jaccard_components(table(spark, rows)).collect()
