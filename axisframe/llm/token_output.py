@@ -101,7 +101,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.forget()
 
     def forget(self) -> None:
@@ -118,17 +118,29 @@ class WordEncoder:
         self.n, self.key = np.insert(self.n, slot, n), np.insert(self.key, slot, keys)
         self.pool = np.concatenate([self.pool, *ids])
 
+    def _with_added(self, raw: bytes, off: np.ndarray) -> np.ndarray:
+        """Which texts hold one of the file's added tokens, which the library finds before it cuts words."""
+        out = np.zeros(len(off) - 1, bool)
+        for t in self.added:
+            at = raw.find(t)
+            while at >= 0:
+                i = int(np.searchsorted(off, at, "right")) - 1
+                inside = at + len(t) <= off[i + 1]
+                out[i] |= inside
+                at = raw.find(t, int(off[i + 1]) if inside else at + 1)
+        return out
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the UTF-8 texts data[off[i]:off[i + 1]] and how many each has."""
         size = np.diff(off)
         code, char = code_points(data, off)
         odd = np.r_[0, np.cumsum(code >= PLAIN)]
-        odd = odd[char[1:]] > odd[char[:-1]]
+        raw = data.tobytes()
+        odd = (odd[char[1:]] > odd[char[:-1]]) | self._with_added(raw, off)
         counts = np.zeros(len(size), np.int64)
         parts: dict[int, np.ndarray] = {}
         if odd.any():
             at = np.flatnonzero(odd)
-            raw = data.tobytes()
             for i, got in zip(at.tolist(), self.tok.encode_batch([raw[off[i] : off[i + 1]].decode() for i in at], add_special_tokens=False), strict=True):
                 parts[i] = np.array(got.ids, np.uint32)
                 counts[i] = len(parts[i])

@@ -109,6 +109,17 @@ def test_words_give_the_librarys_ids(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in enc.tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_in_texts_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "plain", "<|endof", "text|>", "", "<|endoftext|>", "é <|endoftext|><|endoftext|>", "漢 <|endoftext|>", "a <|endoftext |> b", "it's <|endoftext|>x"]
+    raw = [t.encode() for t in texts]
+    ids, n = T.WordEncoder(path("byte_bpe_50k.json")).encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])])
+    at, tok = np.r_[0, np.cumsum(n)], Tokenizer.from_file(path("byte_bpe_50k.json"))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+    assert ids[:4].tolist() == [64, 220, 50256, 275]
+
+
 def test_token_files(spark, monkeypatch):
     from tokenizers import Tokenizer
 
