@@ -455,6 +455,13 @@ def gram_matrix(s, d):
     return L.matmul(v.select(F.col("c").alias("i"), "vec_id", F.col("x").alias("a")), v.select("vec_id", F.col("c").alias("j"), F.col("x").alias("b")), "i", "vec_id", "j").select("i", "j", (_r(F.col("value"), 2) + 0.0).alias("value"))
 
 
+@query("WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings) SELECT CAST(a.c AS BIGINT) AS i, CAST(b.c AS BIGINT) AS j, round(sum(a.x * b.x), 2) + 0.0 AS value FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2")
+def gram_matrix_whole(s, d):
+    """Of all components."""
+    v = _t(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("c", "x")).select("vec_id", F.col("c").cast("long").alias("c"), F.col("x").cast("double").alias("x"))
+    return L.matmul(v.select(F.col("c").alias("i"), "vec_id", F.col("x").alias("a")), v.select("vec_id", F.col("c").alias("j"), F.col("x").alias("b")), "i", "vec_id", "j").select("i", "j", (_r(F.col("value"), 2) + 0.0).alias("value"))
+
+
 @query("SELECT l_partkey, l_suppkey, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY ALL")
 def coo_sum_duplicates(s, d):
     return L.sum_duplicates(_t(s, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_quantity").alias("value")), "l_partkey", "l_suppkey").withColumn("value", _r(F.col("value"), 2))
@@ -553,6 +560,15 @@ def fft_frequencies(s, d):
     return _t(s, d, "nation").select(x.alias("x"), _r(G.fftfreq(x, 25), 6).alias("frequency"))
 
 
+@query("WITH n AS (SELECT max(event_id) + 1 AS n FROM events) SELECT event_id, round(CASE WHEN event_id < (n + 1) // 2 THEN event_id ELSE event_id - n END / CAST(n AS DOUBLE), 6) + 0.0 AS frequency FROM events, n")
+def fft_frequencies_events(s, d):
+    """Over the events' ids: the size is that of the table's index."""
+    x = F.col("event_id").cast("long")
+    events = _t(s, d, "events")
+    size = (events.agg(F.max(x).alias("n")).first().n or 0) + 1
+    return events.select("event_id", (_r(G.fftfreq(x, size), 6) + 0.0).alias("frequency"))
+
+
 @query("SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('7:' || o_orderkey), o_orderkey) AS r FROM orders) WHERE r <= 10")
 def pick_random(s, d):
     return S.pick_random(_t(s, d, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], "o_orderkey", 10, seed=7)
@@ -575,6 +591,13 @@ def count_intersections(s, d):
     return S.count_intersections(sets, "i", "e")
 
 
+@query("WITH s AS (SELECT DISTINCT l_suppkey AS i, date_trunc('month', l_shipdate) AS e FROM lineitem) SELECT a.i AS a, b.i AS b, count(*) AS n FROM s a JOIN s b ON a.e = b.e AND a.i <> b.i GROUP BY ALL")
+def count_intersections_whole(s, d):
+    """Of all suppliers' months."""
+    sets = _t(s, d, "lineitem").select(F.col("l_suppkey").alias("i"), F.date_trunc("month", "l_shipdate").alias("e"))
+    return S.count_intersections(sets, "i", "e")
+
+
 @query(_BAL.rsplit(", g AS", 1)[0] + " SELECT a.x AS x, b.x AS y, round(b.value - a.value, 2) AS value FROM b a, b b")
 def pairwise_differences(s, d):
     """Of the nations' balances: a grid of fixed size."""
