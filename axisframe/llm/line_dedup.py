@@ -23,7 +23,7 @@ from axisframe.llm._store import bitmap_of, cut, may_hold
 from axisframe.llm._text import _MULT, chunks, code_points, mix, prefix_hash_codes, span_hash
 
 TAU = 2
-#: Shorter lines are never duplicates; lines shorter than EDIT_CHARS only of equal lines.
+#: Shorter lines are never compared; lines shorter than EDIT_CHARS only of equal lines.
 MIN_CHARS, EDIT_CHARS = 10, 20
 #: Lines of one side in a block of comparisons.
 BLOCK = 512
@@ -217,11 +217,11 @@ def _numbered(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_classes(documents: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, edit_chars: int = EDIT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of at least ``min_chars`` code points: doc_id, line_no, n, first_doc, first_line, n_links.
+    """One row per line of at least ``min_chars`` code points: doc_id, line_no, n, first_doc, first_line, n_others.
 
     Lines are parted by newlines. Lines of at least ``edit_chars`` link when at most ``tau`` edits apart, equal
-    lines always; a class is what links connect; ``first_*`` is its first line by id and number, and n_links
-    counts the class's other lines. Rows with a null id are left out, null texts are one empty line, rows that
+    lines always; a class is what links connect; ``first_*`` is its first line by id and number, and n_others
+    counts the class's other lines, linked directly or through others. Shorter lines have no row. Rows with a null id are left out, null texts are one empty line, rows that
     repeat an id are taken for one document, other columns are ignored.
     """
     lines = cut(_numbered(documents, id_col, text_col).select("doc_id", "line_no", F.length("text").alias("n"), F.unhex(F.md5("text")).alias("id"), F.xxhash64("text").alias("line")).where(F.col("n") >= min_chars), "lines")
@@ -252,17 +252,17 @@ def line_classes(documents: DataFrame, tau: int = TAU, min_chars: int = MIN_CHAR
 
     classed = lines.join(label, "id", "left").select("doc_id", "line_no", "n", F.coalesce("root", "id").alias("class"))
     first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("m"))
-    return classed.join(first, "class").select("doc_id", "line_no", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), (F.col("m") - 1).alias("n_links"))
+    return classed.join(first, "class").select("doc_id", "line_no", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), (F.col("m") - 1).alias("n_others"))
 
 
 def line_report(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per document row: doc_id, n_lines (long enough), n_dropped, repeats_of (the documents whose lines it repeats, sorted), n_links."""
+    """One row per document row: doc_id, n_lines (long enough), n_dropped, repeats_of (the documents whose lines it repeats, sorted), n_others."""
     classes = line_classes(documents, id_col=id_col, **options)
     again = (F.col("first_doc") != F.col("doc_id")) | (F.col("first_line") != F.col("line_no"))
-    per = classes.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(again.cast("long")).alias("n_dropped"), F.sort_array(F.collect_set(F.when(again, F.col("first_doc")))).alias("repeats_of"), F.sum("n_links").alias("n_links"))
+    per = classes.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(again.cast("long")).alias("n_dropped"), F.sort_array(F.collect_set(F.when(again, F.col("first_doc")))).alias("repeats_of"), F.sum("n_others").alias("n_others"))
     zero = F.lit(0).cast("long")
     return documents.select(F.col(f"`{id_col}`").alias("doc_id")).join(per, "doc_id", "left").select(
-        "doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_dropped")], F.coalesce("repeats_of", F.array().cast("array<bigint>")).alias("repeats_of"), F.coalesce("n_links", zero).alias("n_links")
+        "doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_dropped")], F.coalesce("repeats_of", F.array().cast("array<bigint>")).alias("repeats_of"), F.coalesce("n_others", zero).alias("n_others")
     )
 
 

@@ -217,6 +217,15 @@ def test_line_classes(spark):
     assert got == {k: order[comp[v]][:2] for k, v in at.items()}
 
 
+def test_line_classes_count_other_lines(spark):
+    """A-B-C with A and C over 2 edits apart: 2 links, but each line has 2 others in its class; short lines have no edits."""
+    a = "a line of enough characters"
+    rows = [(1, a), (2, a[:-2] + "xx"), (3, a[:-2] + "xx" + "yy"), (4, "fifteen letters"), (5, "fifteen letterz"), (6, "fifteen letters"), (7, "nine char"), (8, "nine char")]
+    classes = line_classes(table(spark, rows))
+    assert "n_links" not in classes.columns and "n_links" not in line_report(table(spark, rows)).columns
+    assert {r.doc_id: (r.first_doc, r.n_others) for r in classes.collect()} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 1), 5: (5, 0), 6: (4, 1)}
+
+
 def test_line_report_and_texts(spark):
     rows = [(1, "a line of enough characters\nanother line of enough characters"), (2, "a line of enough charactery\nfresh line of enough characters"), (3, "a line of enough characters"), (4, None), (None, "a line of enough characters"), (5, "tiny")]
     df = table(spark, rows)
