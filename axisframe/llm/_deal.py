@@ -62,10 +62,10 @@ class Packer:
 
 def dealt(packed: DataFrame) -> DataFrame:
     """Packed rows by bucket; those with a null bucket (dealt anyhow) come first in their partitions."""
-    return packed.repartition(F.coalesce("bucket", F.xxhash64("data").cast("int"))).sortWithinPartitions("bucket")
+    return packed.repartition(F.coalesce("bucket", F.hash("data"))).sortWithinPartitions("bucket")
 
 
-def _unpacked(n: int, data: memoryview, kinds: list[str]) -> list[np.ndarray]:
+def unpacked(n: int, data: memoryview, kinds: list[str]) -> list[np.ndarray]:
     out, at = [], 0
     for kind in kinds:
         size = np.dtype(kind).itemsize
@@ -74,7 +74,7 @@ def _unpacked(n: int, data: memoryview, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-def buckets(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[tuple[bool, list[np.ndarray]]]:
+def buckets(batches: Iterator[pa.RecordBatch], kinds: list[str], loose_kinds: list[str] | None = None) -> Iterator[tuple[bool, list[np.ndarray]]]:
     """(false, columns sorted by key) of each bucket; (true, columns as packed) of each row without one."""
     held: list = []
     last = None
@@ -86,15 +86,14 @@ def buckets(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[tup
 
     for batch in batches:
         for bucket, n, data in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), batch.column("data"), strict=True):
-            columns = _unpacked(n, data.as_buffer(), kinds)
             if bucket is None:
-                yield True, columns
+                yield True, unpacked(n, data.as_buffer(), loose_kinds or kinds)
                 continue
             if held and bucket != last:
                 yield False, done()
                 held = []
             last = bucket
-            held.append(columns)
+            held.append(unpacked(n, data.as_buffer(), kinds))
     if held:
         yield False, done()
 
