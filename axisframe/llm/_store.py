@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 #: Bits of a key bitmap. Fixed, so what is collected never grows with the data (512 KB).
 BITMAP_BITS = 1 << 22
+#: Most bits of a bitmap that is sized by its keys (8 MB).
+MOST_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a fresh local one only where that is unset and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -34,6 +38,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bits_for(keys: int) -> int:
+    """Bits of a bitmap that lets about one in 16 other keys through, within the bounds of what may be sent to every task."""
+    return min(MOST_BITS, max(BITMAP_BITS, 1 << (16 * max(1, keys) - 1).bit_length()))
+
+
 def bitmap_of(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> Column:
     """A scalar subquery holding a bitmap of fixed size over the long ``column``; test it with :func:`may_hold`.
 

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from axisframe.llm._store import cut
 
-# fixed values of the template: "### role: text</turn>\n"
+# fixed values of the template: "### role: text</turn>\n"; inside roles and texts its control strings are broken up
 OPEN, MID, CLOSE = "### ", ": ", "</turn>\n"
-_CONTROL = re.compile(r"\\|###|</turn>")
-_ESCAPED = re.compile(r"\\(\\|###|</turn>)")
-_ROLE_CONTROL = re.compile(r"([\\:#<])")
-_ROLE_ESCAPED = re.compile(r"\\([\\:#<])")
-_TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\(?:\\|###|</turn>)|(?!</turn>)[^\\])*)</turn>\n", re.S)
+_CONTROL = re.compile(r"\\|#{3,}|<(?=/turn>)")
+_ESCAPED = re.compile(r"\\([\\hlc])")
+_ROLE_CONTROL = re.compile(r"[\\:#<]")
+_CODE = {"\\": "\\\\", "#": "\\h", "<": "\\l", ":": "\\c"}
+_PLAIN = {"\\": "\\", "h": "#", "l": "<", "c": ":"}
+_TURN = re.compile(r"### ((?:\\[\\hlc]|[^\\:#<])*): ((?:\\[\\hl]|(?!</turn>)[^\\])*)</turn>\n", re.S)
 _PIECE = re.compile(r"\w+|[^\w\s]")
 
 BUDGET, HISTORY = 1024, 256
@@ -33,16 +34,17 @@ WINDOW = pa.schema(
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(lambda m: "\\" + m[0], text)
+    """The text with backslashes doubled, and without any of the template's control strings."""
+    return _CONTROL.sub(lambda m: "".join(_CODE[c] for c in m[0]), text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(lambda m: _PLAIN[m[1]], text)
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
     """The formatted turn, and where its escaped text starts and stops in it."""
-    head = OPEN + _ROLE_CONTROL.sub(r"\\\1", role) + MID
+    head = OPEN + _ROLE_CONTROL.sub(lambda m: _CODE[m[0]], role) + MID
     body = escape(text)
     return head + body + CLOSE, len(head), len(head) + len(body)
 
@@ -54,21 +56,35 @@ def parse_turns(text: str) -> list[tuple[str, str]]:
         m = _TURN.match(text, at)
         if m is None:
             raise ValueError(f"no turn at {at}")
-        out.append((_ROLE_ESCAPED.sub(r"\1", m[1]), unescape(m[2])))
+        out.append((unescape(m[1]), unescape(m[2])))
         at = m.end()
     return out
 
 
-def count_pieces(text: str) -> int:
-    """Default token count: words and single other characters."""
-    return sum(1 for _ in _PIECE.finditer(text))
+def count_pieces(turns: list[str]) -> list[int]:
+    """Default token counts of formatted turns: words and single other characters."""
+    return [sum(1 for _ in _PIECE.finditer(t)) for t in turns]
+
+
+def tokenizer_counts(path: str) -> Callable[[list[str]], list[int]]:
+    """Token counts by a tokenizer's file, loaded once in each task."""
+    loaded: list = []
+
+    def count(turns: list[str]) -> list[int]:
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(path))
+        return [len(e.ids) for e in loaded[0].encode_batch_fast(turns, add_special_tokens=False)]
+
+    return count
 
 
 class _Windows:
     """Takes a conversation's turns in order and gives its windows; holds one window's turns at most."""
 
-    def __init__(self, conv_id, count: Callable[[str], int], budget: int, history: int, targets: tuple[str, ...]):
-        self.conv_id, self.count, self.budget, self.history, self.targets = conv_id, count, budget, history, targets
+    def __init__(self, conv_id, budget: int, history: int, targets: tuple[str, ...]):
+        self.conv_id, self.budget, self.history, self.targets = conv_id, budget, history, targets
         self.system: tuple | None = None
         self.repeated: list[tuple] = []
         self.new: list[tuple] = []
@@ -80,8 +96,8 @@ class _Windows:
         for t in turns:
             self.sums.append(self.sums[-1] + t[2])
 
-    def add(self, role: str, text: str) -> dict | None:
-        turn = (role, text, self.count(text))
+    def add(self, role: str, text: str, tokens: int) -> dict | None:
+        turn = (role, text, tokens)
         done = None
         if self.new and self.sums[-1] + turn[2] > self.budget:
             done = self.close()
@@ -109,11 +125,12 @@ class _Windows:
         return out
 
 
-def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, targets: tuple[str, ...] = ("assistant",), count: Callable[[str], int] = count_pieces, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, targets: tuple[str, ...] = ("assistant",), count: Callable[[list[str]], list[int]] = count_pieces, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Training windows: conv_id, window (from 0), text, n_tokens, n_repeated and n_new turns, loss (code-point spans of text).
 
     Turns come by turn, then role, then text, nulls first; repeated rows are turns of their own. Null roles
-    and texts are empty; rows with a null id form one conversation. A turn beyond the budget is kept whole
+    and texts are empty; rows with a null id form one conversation. ``count`` gives the tokens of formatted turns,
+    so the template and its escapes are inside the budget. A turn beyond the budget is kept whole
     in a window of its own, besides what is repeated. An empty table gives no windows. Rows stream through a
     task in order, so a very long conversation needs no more memory than its longest window. Other columns are ignored.
     """
@@ -121,12 +138,14 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, out = None, []
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            convs, roles, texts = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
+            tokens = count([format_turn(r, t)[0] for r, t in zip(roles, texts, strict=True)])
+            for conv, role, text, n in zip(convs, roles, texts, tokens, strict=True):
                 if at is None or at.conv_id != conv:
                     if at is not None:
                         out.append(at.close())
-                    at = _Windows(conv, count, budget, history, targets)
-                done = at.add(role, text)
+                    at = _Windows(conv, budget, history, targets)
+                done = at.add(role, text, n)
                 if done:
                     out.append(done)
             if out:

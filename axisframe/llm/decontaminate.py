@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm._store import bitmap_of, cut, may_hold
+from axisframe.llm._store import bitmap_of, bits_for, cut, may_hold
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything of ASCII but digits and (lower-cased) letters parts words.
@@ -71,7 +71,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     item_windows = cut(
         own.select("item", "words", F.explode(spans).alias("s")).select("item", F.col("s.print").alias("print"), F.col("s.length").alias("length"), _window_text(F.col("s.start"), F.col("s.length")).alias("span")).distinct(), "item-windows"
     )
-    bitmap = bitmap_of(item_windows.select("print"), "print")
+    bits = bits_for(item_windows.count())
+    bitmap = bitmap_of(item_windows.select("print"), "print", bits)
     # one pass over the documents: a row for each, and one for each window whose fingerprint the benchmark may hold
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), word_list(F.col(f"`{text_col}`")).alias("words"))
     docs = _with_prints(docs, window, k, short)
@@ -83,7 +84,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     for n, end in zip(short, ends, strict=False):
         start, length = F.when(at >= end, at - end).otherwise(start), F.when(at >= end, F.lit(n)).otherwise(length)
     prints = F.concat(F.array(F.lit(None).cast("bigint")), *[F.col(f"f{n}") for n in lengths])
-    docs = docs.select("*", F.posexplode(prints).alias("pos", "print")).where((F.col("pos") == 0) | may_hold(bitmap, F.col("print")))
+    docs = docs.select("*", F.posexplode(prints).alias("pos", "print")).where((F.col("pos") == 0) | may_hold(bitmap, F.col("print"), bits))
     docs = cut(
         docs.select("row", "doc_id", "pos", F.size("words").cast("long").alias("n_words"), start.alias("start"), length.alias("length"), "print", _window_text(F.greatest(start, F.lit(0)), F.when(F.col("pos") > 0, length).otherwise(0)).alias("span")),
         "doc-windows",

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm._store import bitmap_of, cut, may_hold
+from axisframe.llm._store import bitmap_of, cut, may_hold, new_folder
 
 #: Distinct digests per filter: bounds a task's memory; more digests make more buckets.
 BUCKET_KEYS = 250_000
@@ -108,50 +108,70 @@ def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(test, "key long")
 
 
-def exact_dedup(documents: DataFrame, is_snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, in_snapshot.
+def _digests(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("points"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
 
-    ``is_snapshot`` parts the rows into the immutable snapshot (true) and the incoming batch (false or
-    null). Texts are equal when their bytes without white space are equal. Of a group, the row with the
-    most code points stays, then the smallest id (null ids last). Null text counts as empty; empty texts
-    form one group. Rows that repeat an id count each in group_size and share its fate. Other columns
-    are ignored. An empty table gives no rows.
-    """
-    rows = cut(
-        documents.select(
-            F.col(f"`{id_col}`").alias("doc_id"),
-            F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("points"),
-            F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256)).alias("digest"),
-            F.coalesce(is_snapshot, F.lit(False)).alias("old"),
-        ),
-        "digests",
-    )
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """Per digest: the row that would stay (most code points, then smallest id, nulls last), how many rows, and a 64-bit key."""
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id")))
-    groups = cut(rows.groupBy("old", "digest").agg(best.alias("best"), F.count("*").alias("n")).withColumn("key", F.xxhash64("digest")), "groups")
-    old, new = groups.where("old"), groups.where("not old")
+    return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n")).withColumn("key", F.xxhash64("digest"))
+
+
+def write_snapshot(documents: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write an immutable snapshot's digests, groups and filters once, for any number of batches; returns the folder."""
+    spark = documents.sparkSession
+    folder = folder or new_folder(spark, "snapshot")
+    _digests(documents, id_col, text_col).write.parquet(f"{folder}/rows")
+    _groups(spark.read.parquet(f"{folder}/rows")).write.parquet(f"{folder}/groups")
+    groups = spark.read.parquet(f"{folder}/groups")
     buckets = max(1, -(-groups.count() // BUCKET_KEYS))
-    positive = screen(new, cut(snapshot_filters(old, buckets), "filters"), buckets)
-    # exact buckets: equal digests of both sides, then the bytes of one text of each
-    met = cut(
-        new.join(positive, "key", "left_semi").join(old.select("digest", F.col("best.doc_id").alias("old_id")), "digest").select("digest", F.col("best.doc_id").alias("new_id"), "old_id"),
-        "met",
-    )
-    ids = met.select(F.explode(F.array("new_id", "old_id")).alias("doc_id")).distinct()
-    wanted = bitmap_of(ids.select(F.xxhash64("doc_id").alias("h")), "h")
-    texts = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(may_hold(wanted, F.xxhash64("doc_id")))
-    texts = texts.join(ids, "doc_id", "left_semi").select("doc_id", normalised(F.col("text")).cast("binary").alias("bytes"))
-    same = (
-        met.join(texts.withColumnsRenamed({"doc_id": "new_id", "bytes": "new_bytes"}), "new_id")
-        .join(texts.withColumnsRenamed({"doc_id": "old_id", "bytes": "old_bytes"}), "old_id")
-        .where((F.col("new_bytes") == F.col("old_bytes")) & (F.sha2("new_bytes", 256) == F.lower(F.hex("digest"))))
-        .select("digest")
-        .distinct()
-        .withColumn("same", F.lit(True))
-    )
+    snapshot_filters(groups, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/filters")
+    return folder
+
+
+def dedup_batch(batch: DataFrame, folder: str, snapshot: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`exact_dedup` for a batch against the snapshot that :func:`write_snapshot` wrote to ``folder``.
+
+    ``snapshot`` is the snapshot's table itself; only texts whose digests the batch has are read from it.
+    """
+    spark = batch.sparkSession
+    old_rows, old, filters = (spark.read.parquet(f"{folder}/{n}") for n in ("rows", "groups", "filters"))
+    buckets = filters.agg(F.max("buckets")).first()[0] or 1
+    rows = cut(_digests(batch, id_col, text_col), "digests")
+    new = cut(_groups(rows), "groups")
+    positive = screen(new, filters.drop("buckets"), buckets)
+    # exact buckets: digests of both sides, then the bytes of one text of each
+    met = cut(new.join(positive, "key", "left_semi").join(old.select("digest", F.col("best.doc_id").alias("old_id")), "digest").select("digest", F.col("best.doc_id").alias("new_id"), "old_id"), "met")
+
+    def bytes_of(documents: DataFrame, name: str) -> DataFrame:
+        """One text's bytes of each digest that met, read by the ids of the rows that stay; rows with a null id are all looked at."""
+        ids = met.select(F.xxhash64(f"{name}_id").alias("h"))
+        docs = documents.select(F.col(f"`{id_col}`").alias("doc_id"), normalised(F.col(f"`{text_col}`")).alias("text")).where(F.col("doc_id").isNull() | may_hold(bitmap_of(ids, "h"), F.xxhash64("doc_id")))
+        docs = docs.select(F.unhex(F.sha2("text", 256)).alias("digest"), F.col("text").cast("binary").alias("bytes"))
+        return docs.join(met.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("bytes").alias(name))
+
+    same = met.select("digest").join(bytes_of(batch, "new"), "digest").join(bytes_of(snapshot, "old"), "digest").where("new = old").select("digest", F.lit(True).alias("same"))
     # a batch group whose bytes were confirmed joins the snapshot's group; any other stands alone
-    sided = groups.join(same, "digest", "left").withColumn("side", F.col("old") | F.coalesce("same", F.lit(False)))
+    side = F.col("old") | F.coalesce("same", F.lit(False))
+    sided = old.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False))).join(same, "digest", "left").withColumn("side", side)
     final = sided.groupBy("digest", "side").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
-    chosen = sided.select("old", "digest", "side").join(final, ["digest", "side"]).select("old", "digest", F.col("best.doc_id").alias("keep_id"), "group_size")
-    return rows.join(chosen, ["old", "digest"]).select(
+    chosen = cut(sided.select("old", "digest", "side").join(final, ["digest", "side"]).select("old", "digest", F.col("best.doc_id").alias("keep_id"), "group_size"), "chosen")
+    every = old_rows.withColumn("old", F.lit(True)).unionByName(rows.withColumn("old", F.lit(False)))
+    return every.join(chosen, ["old", "digest"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("old").alias("in_snapshot")
     )
+
+
+def exact_dedup(documents: DataFrame, is_snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, in_snapshot.
+
+    ``is_snapshot`` parts the rows into the immutable snapshot (true) and the incoming batch (false or
+    null). Texts are equal when their bytes without white space are equal. Of a group, the row with the
+    most code points stays, then the smallest id (null ids last). Null text counts as empty; empty texts
+    form one group. Rows that repeat an id, and those with a null one, count each in group_size and share
+    its fate. Other columns are ignored. An empty table gives no rows.
+    """
+    old, new = documents.where(F.coalesce(is_snapshot, F.lit(False))), documents.where(~F.coalesce(is_snapshot, F.lit(False)))
+    return dedup_batch(new, write_snapshot(old, id_col=id_col, text_col=text_col), old, id_col, text_col)

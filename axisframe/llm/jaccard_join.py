@@ -68,13 +68,13 @@ def _digests(rows: np.ndarray, sh: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 
 def _scan(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shingle", pa.int64()), ("seen", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shingle", pa.int64()), ("seen", pa.int64())])
 
     def repeats(parts: list) -> pa.RecordBatch:
         value, count = np.unique(np.concatenate(parts), return_counts=True)
         value, count = value[count > 1].view(np.int64), count[count > 1]
         none = pa.nulls(len(value), pa.int64())
-        return pa.record_batch([none, none, none, none, pa.array(value), pa.array(count)], schema=schema)
+        return pa.record_batch([none] * 5 + [pa.array(value), pa.array(count)], schema=schema)
 
     def run(batches):
         parts, total = [], 0
@@ -83,7 +83,7 @@ def _scan(k: int):
             for a, b, rows, sh in shingle_sets(batch.column("text"), k):
                 size, d1, d2 = _digests(rows, sh, b - a)
                 none = pa.nulls(b - a, pa.int64())
-                yield pa.record_batch([ids.slice(a, b - a), pa.array(size), pa.array(d1), pa.array(d2), none, pa.array(np.full(b - a, -1))], schema=schema)
+                yield pa.record_batch([ids.slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(size), pa.array(d1), pa.array(d2), none, pa.array(np.full(b - a, -1))], schema=schema)
                 parts.append(sh)
                 total += len(sh)
                 if total > FLUSH:
@@ -92,7 +92,7 @@ def _scan(k: int):
         if total:
             yield repeats(parts)
 
-    return run, "doc_id long, n long, d1 long, d2 long, shingle long, seen long"
+    return run, "doc_id long, id long, n long, d1 long, d2 long, shingle long, seen long"
 
 
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -343,21 +343,23 @@ def jaccard_components(documents: DataFrame, percent: int = 80, k: int = 5, id_c
     Two documents link when 100 * intersection >= percent * union of their sets of distinct ``k``-word
     shingles (fewer words: the whole sequence). Null, empty and word-less texts have no shingles, link
     with nothing and are their own component. Rows that repeat an id are one document: links of any of
-    its texts count. A null id takes its set's component but is never one's name. Other columns are ignored.
+    its texts count. Rows with a null id link like others (inside, they go by a hash of their texts), but are
+    never a component's name; a component of such rows alone has a null one. Other columns are ignored.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    docs = documents.select(F.coalesce(own, F.xxhash64(text)).alias("doc_id"), own.alias("id"), text.alias("text"))
     scan = cut(docs.mapInArrow(*_scan(k)), "sets")
-    sets = scan.where("seen = -1").select("doc_id", "n", "d1", "d2")
+    sets = scan.where("seen = -1").select("doc_id", "id", "n", "d1", "d2")
     reps = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    docrep = cut(sets.join(reps, ["d1", "d2", "n"], "left").select("doc_id", "n", "rep"), "reps")
+    docrep = cut(sets.join(reps, ["d1", "d2", "n"], "left").select("doc_id", "id", "n", "rep"), "reps")
     hot = scan.where("seen > 0").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(RANKS).toArrow()
     value = hot.column("shingle").to_numpy().view(np.uint64)
     rank = np.arange(len(value), 0, -1, dtype=np.int32)
     order = np.argsort(value)
     ranks = spark.sparkContext.broadcast((value[order], rank[order]))
 
-    postings = docs.where("doc_id is not null").mapInArrow(*_postings(k, percent, ranks))
+    postings = docs.mapInArrow(*_postings(k, percent, ranks))
     posted = cut(postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(*_lists(percent)), "lists")
     owner = docrep.where("rep is not null").select("doc_id", "rep")
     small = posted.where("other is not null").select("doc_id", "other").distinct().join(owner, "doc_id").select("other", F.col("rep").alias("a")).join(owner.select(F.col("doc_id").alias("other"), F.col("rep").alias("b")), "other")
@@ -373,7 +375,7 @@ def jaccard_components(documents: DataFrame, percent: int = 80, k: int = 5, id_c
 
     def of_ids(ids: DataFrame, make, name: str) -> DataFrame:
         wanted = bitmap_of(ids.distinct().select(F.xxhash64("doc_id").alias("h")), "h")
-        return cut(docs.where(F.col("doc_id").isNotNull() & may_hold(wanted, F.xxhash64("doc_id"))).mapInArrow(*make(k)), name)
+        return cut(docs.where(may_hold(wanted, F.xxhash64("doc_id"))).mapInArrow(*make(k)), name)
 
     def both(p: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -407,7 +409,14 @@ def jaccard_components(documents: DataFrame, percent: int = 80, k: int = 5, id_c
     else:  # answers by differences to the central set
         apart = both(mates.select("a", "b"), of_ids(ends(mates), _tokens, "tokens")).mapInPandas(_differences, "a long, b long, n long, leader_n long, gone binary, extra binary")
         derived = blocks(cut(apart.join(comp, ["a", "b"]), "differences"), _derived)
-    label = joined_components(label, derived)
-    return docrep.join(label.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep", "doc_id")).alias("component_id")
-    )
+    # texts of a repeated id are one document
+    twice = docrep.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b <> most")
+    twice = docrep.join(twice, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    label = joined_components(label, derived.union(twice))
+    # a component's name is its smallest real id
+    named = docrep.where("rep is not null").groupBy("rep").agg(F.min("id").alias("id")).join(label.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = cut(named, "named")
+    names = cut(named.select("rep", "root").join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select(F.col("rep").alias("key"), "component_id"), "names")
+    keyed = docrep.withColumn("key", F.coalesce("rep", "doc_id"))  # sets without shingles meet nothing
+    found = keyed.join(names, "key", "left")
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -31,7 +31,7 @@ TAU, SIMILARITY = 2, 0.8
 #: Open lists of at most so many lines are compared inside a task; larger ones are refined.
 BLOCK = 512
 #: A key's postings in one flush beyond this go past the bucket's task, which sees one of them.
-HOT = 1 << 12
+HOT = FLUSH >> 8
 _BAG = 32
 
 

@@ -69,7 +69,7 @@ def test_windows(spark):
         turns = C.parse_turns(w.text)
         assert turns[0] == ("system", text(20)) and len(turns) == w.n_repeated + w.n_new
         assert w.n_tokens <= 100 or w.n_new == 1
-        assert sum(C.count_pieces(t) for _, t in turns[1 : w.n_repeated]) <= 40
+        assert sum(C.count_pieces([C.format_turn(*t)[0] for t in turns[1 : w.n_repeated]])) <= 40
         assert [w.text[s.start : s.stop] for s in w.loss] == [C.escape(t) for x, t in turns[w.n_repeated :] if x == "assistant"]
     got = {x.conv_id: x for x in C.read_back(windows).collect()}
     for conv in {x[0] for x in rows}:
