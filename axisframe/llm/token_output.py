@@ -304,18 +304,21 @@ def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return out
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    seq = seq.astype(np.uint32)
-    while True:
-        inner = seq >= terminals
-        if not inner.any():
-            return seq
-        n = 1 + inner.astype(np.int64)
-        out = np.repeat(seq, n)
-        at = (np.cumsum(n) - n)[inner]
-        rule = rules[seq[inner].astype(np.int64) - terminals]
-        out[at], out[at + 1] = rule[:, 0], rule[:, 1]
-        seq = out
+def expand(seq: np.ndarray, rules: np.ndarray, terminals: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that a sequence stands for; each symbol's two parts are put straight in their places."""
+    seq = seq.astype(np.int64)
+    lengths = expansion_lengths(rules, terminals) if lengths is None else lengths.astype(np.int64)
+    sized = lambda x: np.where(x < terminals, 1, lengths[np.maximum(x - terminals, 0)]) if len(lengths) else np.ones(len(x), np.int64)
+    size = sized(seq)
+    place = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
+    while len(seq):
+        leaf = seq < terminals
+        out[place[leaf]] = seq[leaf]
+        place, rule = place[~leaf], rules[seq[~leaf] - terminals].astype(np.int64)
+        place = np.concatenate([place, place + sized(rule[:, 0])])
+        seq = np.concatenate([rule[:, 0], rule[:, 1]])
+    return out
 
 
 class Shard:
@@ -354,7 +357,7 @@ class Shard:
             return np.zeros(0, np.uint32)
         a, b = np.searchsorted(end, start, "right"), np.searchsorted(end, stop, "left") + 1
         skip = start - int(end[a] - size[a])
-        return expand(self.seq[a:b], self.rules, self.terminals)[skip : skip + stop - start]
+        return expand(self.seq[a:b], self.rules, self.terminals, self.lengths)[skip : skip + stop - start]
 
 
 # --- files -----------------------------------------------------------------------------------------

@@ -322,6 +322,6 @@ def test_verbatim_passages_amid_nested_boilerplate(spark):
         w = docs[i]
         want |= {(i, p + j) for p in range(len(w) - 49) if tuple(w[p : p + 50]) in runs for j in range(50)}
         runs |= {tuple(w[p : p + 50]): i for p in range(len(w) - 49)}
-    found = repeated_passages(table(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect()
+    found = repeated_passages(table(spark, [(i, " ".join(w)) for i, w in docs.items()]), sub=4).collect()
     got = {(r.doc_id, j) for r in found for j in range(r.start_word, r.end_word)}
     assert want <= got and any(r.doc_id == 203 and r.ref_doc_id == 201 for r in found)
