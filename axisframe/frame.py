@@ -12,7 +12,11 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.shape import DimFilter, Shape, channel, merge_shapes, non_batch
+from axisframe.shape import Dim, DimFilter, Shape, channel, merge_shapes, non_batch, primal
+
+
+#: Cells that the smaller side of an outer product may have.
+OUTER_CELLS = 1 << 16
 
 
 class TensorFrame:
@@ -51,6 +55,79 @@ class TensorFrame:
 
         return self._binary(o, divide)
 
+    def __floordiv__(self, o):
+        return self._binary(o, lambda a, b: F.floor(a / b))
+
+    def __mod__(self, o):
+        """Has the divisor's sign."""
+        return self._binary(o, lambda a, b: a - b * F.floor(a / b))
+
+    def __pow__(self, o):
+        return self._binary(o, F.pow)
+
+    def __lt__(self, o):
+        return self._compare(o, lambda a, b: a < b)
+
+    def __le__(self, o):
+        return self._compare(o, lambda a, b: a <= b)
+
+    def __gt__(self, o):
+        return self._compare(o, lambda a, b: a > b)
+
+    def __ge__(self, o):
+        return self._compare(o, lambda a, b: a >= b)
+
+    def __eq__(self, o):
+        return self._compare(o, lambda a, b: a == b)
+
+    def __ne__(self, o):
+        return ~(self == o)
+
+    __hash__ = object.__hash__
+
+    def _compare(self, o, f) -> TensorFrame:
+        """Nothing compares with NaN."""
+        known = lambda c: ~F.isnan(c.cast("double"))
+        return self._binary(o, lambda a, b: f(a, b) & known(a) & known(b))
+
+    def _logical(self, o, truth, bits) -> TensorFrame:
+        boolean = all(self.df.schema[v].dataType.simpleString() == "boolean" for v in self.values)
+        return self._binary(o, truth if boolean else bits)
+
+    def __and__(self, o):
+        return self._logical(o, lambda a, b: a & b, lambda a, b: a.bitwiseAND(b))
+
+    def __or__(self, o):
+        return self._logical(o, lambda a, b: a | b, lambda a, b: a.bitwiseOR(b))
+
+    def __xor__(self, o):
+        return self._logical(o, lambda a, b: a != b, lambda a, b: a.bitwiseXOR(b))
+
+    def __invert__(self):
+        boolean = all(self.df.schema[v].dataType.simpleString() == "boolean" for v in self.values)
+        return self.map((lambda c: ~c) if boolean else F.bitwise_not)
+
+    def __lshift__(self, o):
+        return self._binary(o, lambda a, b: F.call_function("shiftleft", a, b.cast("int")))
+
+    def __rshift__(self, o):
+        return self._binary(o, lambda a, b: F.call_function("shiftright", a, b.cast("int")))
+
+    def __matmul__(self, o: TensorFrame) -> TensorFrame:
+        """Contracts this frame's dual dimensions with the other's primal ones of the same names; without any, multiplies."""
+        inner = [d.name for d in self.dims if d.kind == "dual" and d.name[1:] in o.dims]
+        if not inner:
+            return self * o
+        rest, other = self.dims.without(inner), o.dims.without([n[1:] for n in inner])
+        left = self.df.select(*rest.names, *[F.col(n).alias(n[1:]) for n in inner], F.col(self.values[0]).alias("__a"))
+        joined = left.join(o.df.select(*o.dims.names, F.col(o.values[0]).alias("__b")), [n[1:] for n in inner])
+        both = Shape((*rest.dims, *other.dims))
+        return TensorFrame(joined.groupBy(*both.names).agg(F.sum(F.col("__a") * F.col("__b")).alias("value")), both)
+
+    def __round__(self, digits: int = 0):
+        """To the even neighbour."""
+        return self.map(lambda c: F.rint(c * 10**digits) / 10**digits)
+
     def __neg__(self):
         return self.map(lambda c: -c)
 
@@ -83,6 +160,85 @@ class TensorFrame:
     def rename(self, names: dict[str, str]) -> TensorFrame:
         return self.with_df(self.df.withColumnsRenamed(names), self.dims.renamed(names))
 
+    def expand(self, **sizes: int) -> TensorFrame:
+        """New batch dimensions along which the values repeat, made by rows' own sequences."""
+        df, dims = self.df, self.dims
+        for name, n in sizes.items():
+            df = df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+            dims = merge_shapes(dims, Shape((Dim(name, "batch", n),)))
+        return self.with_df(df.select(*dims.names, *self.values), dims)
+
+    def squeeze(self, dim: str) -> TensorFrame:
+        """Drop a dimension of size 1."""
+        if self.dims[dim].size != 1:
+            raise ValueError(f"{dim} has size {self.dims[dim].size}")
+        return self.with_df(self.df.drop(dim), self.dims.without(dim))
+
+    def unstack(self, dim: str) -> list[TensorFrame]:
+        """A frame per index of a dimension of known size."""
+        return [self[{dim: i}] for i in range(self.dims[dim].size)]
+
+    def slice_off(self, **cuts: slice | int) -> TensorFrame:
+        """Without the named indices; the rest is numbered anew."""
+        out = self
+        for name, s in cuts.items():
+            size = out.dims[name].size
+            gone = set(range(*s.indices(size))) if isinstance(s, slice) else {s % size}
+            place = {i: k for k, i in enumerate(i for i in range(size) if i not in gone)}
+            new = F.coalesce(*[F.when(F.col(name) == i, F.lit(k).cast("long")) for i, k in place.items()], F.lit(None).cast("long"))
+            out = out.with_df(out.df.withColumn(name, new).where(F.col(name).isNotNull()), out.dims.with_size(name, len(place)))
+        return out
+
+    def pack(self, names: list[str], packed: str, kind: str = "instance") -> TensorFrame:
+        """Dimensions of known sizes as one, the first outermost."""
+        from axisframe.operators.lookup import ravel
+
+        sizes = [self.dims[n].size for n in names]
+        volume = None if None in sizes[1:] else 1
+        for n in sizes if volume else ():
+            volume = None if n is None or volume is None else volume * n
+        rest = self.dims.without(names)
+        df = self.df.select(*rest.names, ravel(names, [n or 1 for n in sizes]).cast("long").alias(packed), *self.values)
+        return self.with_df(df, merge_shapes(rest, Shape((Dim(packed, kind, volume),))))
+
+    def unpack(self, packed: str, kind: str = "instance", **sizes: int) -> TensorFrame:
+        """The inverse of :meth:`pack`."""
+        from axisframe.operators.lookup import unravel
+
+        rest = self.dims.without(packed)
+        parts = unravel(F.col(packed), list(sizes), list(sizes.values()))
+        df = self.df.select(*rest.names, *[parts[n].cast("long").alias(n) for n in sizes], *self.values)
+        return self.with_df(df, merge_shapes(rest, Shape(tuple(Dim(n, kind, k) for n, k in sizes.items()))))
+
+    def flatten(self, flat: str = "flat", batch_too: bool = False) -> TensorFrame:
+        """All dimensions but batch ones as one."""
+        return self.pack(list((self.dims if batch_too else non_batch(self.dims)).names), flat)
+
+    def with_kind(self, dim: str, kind: str) -> TensorFrame:
+        """A dimension as another kind; to and from dual its name gains or loses the mark."""
+        bare = dim.lstrip("~")
+        new = Dim(bare, kind, self.dims[dim].size, self.dims[dim].labels)
+        dims = Shape(tuple(new if d.name == dim else d for d in self.dims))
+        return self.with_df(self.df.withColumnRenamed(dim, new.name), dims)
+
+    def components_to_rows(self, dim: str, kind: str = "batch") -> TensorFrame:
+        """The value columns as a labelled dimension of rows."""
+        pairs = [F.struct(F.lit(i).cast("long").alias(dim), F.col(v).alias("value")) for i, v in enumerate(self.values)]
+        df = self.df.select(*self.dims.names, F.explode(F.array(*pairs)).alias("c")).select(*self.dims.names, F.col(f"c.{dim}").alias(dim), F.col("c.value").alias("value"))
+        return TensorFrame(df, merge_shapes(self.dims, Shape((Dim(dim, kind, None, self.values),))))
+
+    def cast(self, kind: str) -> TensorFrame:
+        return self.map(lambda c: c.cast(kind))
+
+    def bool_to_int(self, bits: int = 32) -> TensorFrame:
+        return self.cast({8: "tinyint", 16: "smallint", 32: "int", 64: "bigint"}[bits])
+
+    @property
+    def dtype(self) -> str:
+        """The common type of the components."""
+        kinds = {self.df.schema[v].dataType.simpleString() for v in self.values}
+        return kinds.pop() if len(kinds) == 1 else "double"
+
     # --- reductions ---------------------------------------------------------------------------------
     def reduce(self, how: Callable[[Column], Column], dim: DimFilter = non_batch) -> TensorFrame:
         """Aggregate over ``dim`` (default: all but batch dimensions); the other dimensions are the keys."""
@@ -109,6 +265,59 @@ class TensorFrame:
         """Population standard deviation."""
         return self.reduce(F.stddev_pop, dim)
 
+    def prod(self, dim: DimFilter = non_batch) -> TensorFrame:
+        return self.reduce(F.product, dim)
+
+    def any(self, dim: DimFilter = non_batch) -> TensorFrame:
+        return self.reduce(F.bool_or, dim)
+
+    def all(self, dim: DimFilter = non_batch) -> TensorFrame:
+        return self.reduce(F.bool_and, dim)
+
+    def finite(self, what: str, dim: DimFilter = non_batch) -> TensorFrame:
+        """``what`` of the finite values: sum, mean, min, max or std."""
+        from axisframe.operators import reduce as R
+
+        return self.reduce(getattr(R, f"finite_{what}"), dim)
+
+    def quantile(self, q: float, dim: DimFilter = non_batch) -> TensorFrame:
+        from axisframe.operators.reduce import quantile
+
+        return quantile(self, q, dim)
+
+    def median(self, dim: DimFilter = non_batch) -> TensorFrame:
+        return self.quantile(0.5, dim)
+
+    def histogram(self, low: float, high: float, bins: int, dim: DimFilter = non_batch) -> TensorFrame:
+        """Counts of equal bins of the first component, for each index of the other dimensions."""
+        v = F.col(self.values[0])
+        rest = self.dims.without(self.dims.only(dim) if callable(dim) else dim)
+        at = F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("long")
+        df = self.df.where((v >= low) & (v <= high)).groupBy(*rest.names, at.alias("bin")).agg(F.count("*").alias("value"))
+        return TensorFrame(df, merge_shapes(rest, Shape((Dim("bin", "instance", bins),))))
+
+    def _arg(self, largest: bool, dim: DimFilter) -> TensorFrame:
+        gone = self.dims.only(dim) if not isinstance(dim, str) else self.dims.only([dim])
+        rest = self.dims.without(gone)
+        v, index = F.col(self.values[0]), F.struct(*[F.col(n) for n in gone.names])
+        order = F.struct(-v if largest else v, index)
+        picked = F.min_by(index, order).alias("__i")
+        df = (self.df.groupBy(*rest.names) if len(rest) else self.df.groupBy()).agg(picked)
+        return TensorFrame(df.select(*rest.names, *[F.col(f"__i.{n}").alias(n) for n in gone.names]), rest, gone.names)
+
+    def argmax(self, dim: DimFilter = non_batch) -> TensorFrame:
+        """Index of the largest value over ``dim``, a component per dimension; of equals, the first in order of the dimensions."""
+        return self._arg(True, dim)
+
+    def argmin(self, dim: DimFilter = non_batch) -> TensorFrame:
+        return self._arg(False, dim)
+
+    def cumulative_sum(self, dim: str) -> TensorFrame:
+        from axisframe.operators.scan import blocked_sum
+
+        keys = list(self.dims.without(dim).names)
+        return self.with_df(blocked_sum(self.df, keys, dim, list(self.values)))
+
 
 def align(a: TensorFrame, b: TensorFrame, f: Callable[[Column, Column], Column], how: str = "inner") -> TensorFrame:
     """Combine by dimension name: equal indices on shared dimensions, every combination on the others.
@@ -125,7 +334,10 @@ def align(a: TensorFrame, b: TensorFrame, f: Callable[[Column, Column], Column],
     elif not len(b.dims) or not len(a.dims):
         df = left.crossJoin(right)  # with one row
     else:
-        df = left.join(right, how="cross")  # an outer product is what was asked for
+        small = min((t.dims.volume or OUTER_CELLS + 1 for t in (a, b)))
+        if small > OUTER_CELLS:
+            raise ValueError(f"an outer product needs a side of at most {OUTER_CELLS} cells, known from its shape")
+        df = left.join(F.broadcast(right), how="cross") if (b.dims.volume or OUTER_CELLS + 1) == small else right.join(F.broadcast(left), how="cross")
     names = a.values if len(a.values) >= len(b.values) else b.values
     if len(a.values) > 1 and len(b.values) > 1 and set(a.values) != set(b.values):
         raise ValueError(f"components {a.values} and {b.values}")
@@ -133,6 +345,59 @@ def align(a: TensorFrame, b: TensorFrame, f: Callable[[Column, Column], Column],
     return TensorFrame(df.select(*dims.names, *[f(pick("a", a, v), pick("b", b, v)).alias(v) for v in names]), dims, names)
 
 
+def close(a: TensorFrame, b: TensorFrame, rel_tolerance: float = 1e-5, abs_tolerance: float = 0.0, equal_nan: bool = False) -> bool:
+    """Whether all cells of both agree within abs + rel * |b|, and neither has a cell that the other lacks."""
+    no = lambda c: F.isnan(c.cast("double"))
+    near = lambda x, y: F.when(no(x) | no(y), no(x) & no(y) & F.lit(equal_nan)).otherwise((x == y) | (F.abs(x - y) <= abs_tolerance + rel_tolerance * F.abs(y)))
+    both = align(a, b, lambda x, y: F.coalesce(near(x, y), F.lit(False)), "full")
+    holds = both.df.agg(*[F.coalesce(F.bool_and(v), F.lit(True)).alias(v) for v in both.values]).first()
+    return all(holds)
+
+
+def equal(a: TensorFrame, b: TensorFrame, equal_nan: bool = False) -> bool:
+    return close(a, b, 0.0, 0.0, equal_nan)
+
+
+def ncat(frames: list[TensorFrame], name: str, kind: str = "channel") -> TensorFrame:
+    """Frames' components behind each other, as labelled components of one frame; shared dimensions are joined."""
+    out = frames[0]
+    for t in frames[1:]:
+        taken = set(out.values) & set(t.values)
+        if taken:
+            raise ValueError(f"components repeat: {sorted(taken)}")
+        shared = [n for n in out.dims.names if n in t.dims]
+        out = TensorFrame(out.df.join(t.df, shared), merge_shapes(out.dims, t.dims), (*out.values, *t.values))
+    return out
+
+
+def tcat(frames: list[TensorFrame], kind: str, name: str = "tcat") -> TensorFrame:
+    """Frames behind each other along their dimension of a kind; a frame without one counts as one cell."""
+    whole = []
+    for t in frames:
+        own = t.dims.of_kind(kind)
+        whole.append(t.rename({own.names[0]: name}) if len(own) else t.with_df(t.df.withColumn(name, F.lit(0).cast("long")), merge_shapes(t.dims, Shape((Dim(name, kind, 1),)))))
+    return concat(whole, name)
+
+
+#: Prefix of a reduction's name for a kind of dimensions.
+KIND_PREFIXES = {"d": "dual", "p": "primal", "i": "instance", "s": "spatial", "c": "channel"}
+
+
+def _typed(name: str, kind: str) -> Callable[[TensorFrame], TensorFrame]:
+    dims = primal if kind == "primal" else lambda shape: shape.of_kind(kind)
+    if name.startswith("finite_"):
+        return lambda t: t.finite(name.removeprefix("finite_"), dims)
+    return lambda t: getattr(t, name)(dims)
+
+
+#: dsum, psum, ..., finite_cstd: reductions over the dimensions of one kind.
+TYPED = {
+    (f"finite_{p}{n.removeprefix('finite_')}" if n.startswith("finite_") else f"{p}{n}"): _typed(n, kind)
+    for n in ("sum", "prod", "mean", "std", "max", "min", "finite_min", "finite_max", "finite_sum", "finite_mean", "finite_std")
+    for p, kind in KIND_PREFIXES.items()
+}
+
+
 def stack(frames: dict[str, TensorFrame], name: str, kind: str = "instance") -> TensorFrame:
     """Frames of equal dimensions along a new one; its labels are the keys, in order."""
     from axisframe.shape import Dim

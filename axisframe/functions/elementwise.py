@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
 
 def nan() -> Column:
     return F.lit(float("nan"))
@@ -98,25 +97,92 @@ def sigmoid(x: Column) -> Column:
 
 
 def soft_plus(x: Column) -> Column:
-    return F.log1p(F.exp(x))
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
 def factorial(x: Column) -> Column:
-    return F.round(F.exp(log_gamma(x.cast("double") + 1)))
+    """Exact up to 20, by the gamma function beyond."""
+    n = x.cast("int")
+    return F.when((n >= 0) & (n <= 20), F.factorial(F.least(F.greatest(n, F.lit(0)), F.lit(20))).cast("double")).otherwise(F.round(F.exp(log_gamma(x.cast("double") + 1))))
 
 
 def degrees(x: Column) -> Column:
     return F.degrees(x)
 
 
-@F.pandas_udf(DoubleType())
-def log_gamma(x: pd.Series) -> pd.Series:
-    return x.map(math.lgamma)
+def radians(x: Column) -> Column:
+    return F.radians(x)
+
+
+def is_none(x: Column) -> Column:
+    return x.isNull()
+
+
+def to_float(x: Column) -> Column:
+    return x.cast("double")
+
+
+def to_int32(x: Column) -> Column:
+    return x.cast("int")
+
+
+def to_int64(x: Column) -> Column:
+    return x.cast("bigint")
+
+
+def cast_same(*columns: Column) -> list[Column]:
+    """All as doubles, in which every number type here has a place."""
+    return [c.cast("double") for c in columns]
+
+
+def safe_mul(a: Column, b: Column) -> Column:
+    return a * b
+
+
+def identity(x: Column) -> Column:
+    return x
+
+
+def close(a: Column, b: Column, rel_tolerance: float = 1e-5, abs_tolerance: float = 0.0) -> Column:
+    """|a - b| <= abs + rel * |b|; NaN is close to nothing."""
+    return (F.abs(a - b) <= abs_tolerance + rel_tolerance * F.abs(b)) & ~F.isnan(a) & ~F.isnan(b)
+
+
+# fixed values: Lanczos' coefficients for g = 7
+_LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for numbers above 0, as a column expression (Lanczos, 1964)."""
+    y = x.cast("double") - 1
+    series = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        series = series + F.lit(c) / (y + i)
+    t = y + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.ln(t) - t + F.ln(series)
+
+
+#: Terms of the series below 3, and of the continued fraction from there on.
+ERF_TERMS, ERF_FRACTIONS = 60, 60
 
 
-@F.pandas_udf(DoubleType())
-def erf(x: pd.Series) -> pd.Series:
-    return x.map(math.erf)
+def erf(x: Column) -> Column:
+    """The error function as a column expression: its Maclaurin-like series near 0, a continued fraction beyond 3."""
+    x = x.cast("double")
+    a = F.abs(x)
+    near = F.least(a, F.lit(3.0))
+    # erf(x) = 2 / sqrt(pi) * exp(-x^2) * sum 2^n x^(2n+1) / (2n+1)!!, all terms positive
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(ERF_TERMS)), F.struct(near.alias("t"), near.alias("s")),
+        lambda s, n: F.struct((s["t"] * 2 * near * near / (2 * n + 1)).alias("t"), (s["s"] + s["t"] * 2 * near * near / (2 * n + 1)).alias("s")), lambda s: s["s"],
+    )
+    small = F.lit(2 / math.sqrt(math.pi)) * F.exp(-near * near) * terms
+    far = F.least(F.greatest(a, F.lit(3.0)), F.lit(27.0))
+    fraction = F.aggregate(F.sequence(F.lit(ERF_FRACTIONS), F.lit(1), F.lit(-1)), far, lambda s, n: far + (n / 2.0) / s)
+    large = 1 - F.exp(-far * far) / (F.lit(math.sqrt(math.pi)) * fraction)
+    return F.when(F.isnan(x), nan()).otherwise(F.signum(x) * F.when(a < 3, small).otherwise(large))
 
 
 #: Spark's own functions that already agree.

@@ -47,3 +47,42 @@ def random_uniform(df: DataFrame, name: str, low: float = 0.0, high: float = 1.0
 
 def random_normal(df: DataFrame, name: str, seed: int = 0) -> DataFrame:
     return df.withColumn(name, F.randn(seed))
+
+
+def full(spark: SparkSession, value: float, **sizes: int) -> DataFrame:
+    """Every cell of the sizes with one value."""
+    return meshgrid(spark, **sizes).withColumn("value", F.lit(value))
+
+
+def zeros(spark: SparkSession, **sizes: int) -> DataFrame:
+    return full(spark, 0.0, **sizes)
+
+
+def ones(spark: SparkSession, **sizes: int) -> DataFrame:
+    return full(spark, 1.0, **sizes)
+
+
+def zeros_like(df: DataFrame, values: list[str]) -> DataFrame:
+    """The same cells with zeros."""
+    return df.withColumns({v: F.lit(0.0) for v in values})
+
+
+def ones_like(df: DataFrame, values: list[str]) -> DataFrame:
+    return df.withColumns({v: F.lit(1.0) for v in values})
+
+
+def range_tensor(spark: SparkSession, **sizes: int) -> DataFrame:
+    """Every cell with its linear index, the first dimension outermost."""
+    from axisframe.operators.lookup import ravel
+
+    return meshgrid(spark, **sizes).withColumn("value", ravel(list(sizes), list(sizes.values())))
+
+
+def kind_range(spark: SparkSession, kind: str, start: int = 0, **stop: int):
+    """A frame of consecutive integers along a dimension of a kind."""
+    from axisframe.frame import TensorFrame
+    from axisframe.shape import Dim, Shape
+
+    ((name, end),) = stop.items()
+    dim = Dim(name, kind, end - start)
+    return TensorFrame(arange(spark, dim.name, start, end), Shape((dim,)))

@@ -45,3 +45,35 @@ def from_csr(csr: DataFrame, row: str, col: str, value: str) -> DataFrame:
 def fit_line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Slope and intercept of each group's least-squares line."""
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+
+
+def fit_hyperplane(df: DataFrame, keys: list[str], xs: list[str], y: str, weight: str | None = None) -> DataFrame:
+    """Weights (an array, in order of ``xs``) and intercept of each group's least-squares plane.
+
+    One aggregation of moments about the group's means, then Gauss elimination on columns. Singular groups get NaN.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    names = [*xs, y]
+    grouped = lambda t: t.groupBy(*keys) if keys else t.groupBy()
+    means = grouped(df).agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"__m{i}") for i, c in enumerate(names)])
+    moved = df.join(F.broadcast(means), keys) if not keys else df.join(means, keys)
+    c = [F.col(n) - F.col(f"__m{i}") for i, n in enumerate(names)]
+    n = len(xs)
+    sums = [F.sum(w * c[i] * c[j]).alias(f"__s{i}_{j}") for i in range(n) for j in range(i, n + 1)]
+    a = grouped(moved).agg(*sums, *[F.first(f"__m{i}").alias(f"__m{i}") for i in range(n + 1)])
+    at = lambda i, j: F.col(f"__s{min(i, j)}_{max(i, j)}")
+    # elimination, a step of columns at a time, so that expressions stay small
+    cells = {(i, j): at(i, j) for i in range(n) for j in range(n + 1)}
+    a = a.withColumns({f"__a{i}_{j}": v for (i, j), v in cells.items()})
+    nan = F.lit(float("nan"))
+    for k in range(n):
+        pivot = F.col(f"__a{k}_{k}")
+        share = {i: F.when(pivot != 0, F.col(f"__a{i}_{k}") / F.when(pivot != 0, pivot)).otherwise(nan) for i in range(n) if i != k}
+        a = a.withColumns({f"__f{i}": f for i, f in share.items()})
+        a = a.withColumns({f"__a{i}_{j}": F.col(f"__a{i}_{j}") - F.col(f"__f{i}") * F.col(f"__a{k}_{j}") for i in share for j in range(n + 1)})
+    weights = [F.when(F.col(f"__a{i}_{i}") != 0, F.col(f"__a{i}_{n}") / F.when(F.col(f"__a{i}_{i}") != 0, F.col(f"__a{i}_{i}"))).otherwise(nan) for i in range(n)]
+    a = a.withColumn("weights", F.array(*weights))
+    intercept = F.col(f"__m{n}")
+    for i in range(n):
+        intercept = intercept - F.get("weights", i) * F.col(f"__m{i}")
+    return a.select(*keys, "weights", intercept.alias("intercept"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Mode -> (aggregate, what cells without an entry hold).
@@ -16,6 +16,20 @@ def gather(values: DataFrame, indices: DataFrame, on: list[str], how: str = "inn
     return indices.join(values, on, how)
 
 
+def placed(entries: DataFrame, sizes: dict[str, int], outside: str = "discard") -> DataFrame:
+    """Entries with their indices rounded and, beyond the grid, clamped to it, discarded or taken around."""
+    from axisframe.operators.boundary import boundary, periodic
+
+    at = {d: F.rint(F.col(d).cast("double")).cast("long") for d in sizes}
+    if outside == "discard":
+        moved = entries.withColumns(at)
+        for d, n in sizes.items():
+            moved = moved.where((F.col(d) >= 0) & (F.col(d) < n))
+        return moved
+    rule = {"clamp": boundary, "periodic": periodic}[outside]
+    return entries.withColumns({d: rule(i, sizes[d]).cast("long") for d, i in at.items()})
+
+
 def scatter(grid: DataFrame, entries: DataFrame, on: list[str], value: str, mode: str, base: Column | None = None, order: list[str] | None = None, name: str = "value") -> DataFrame:
     """Aggregate entries onto the cells of ``grid``; cells without one keep ``base`` or the mode's default.
 
@@ -36,10 +50,14 @@ def scatter(grid: DataFrame, entries: DataFrame, on: list[str], value: str, mode
 
 
 def boolean_mask(df: DataFrame, dim: str, mask: Column, keys: list[str] | None = None) -> DataFrame:
-    """Rows where the mask holds, re-numbered along ``dim`` inside each of ``keys``."""
-    kept = df.where(mask)
-    window = Window.partitionBy(*keys).orderBy(dim) if keys else Window.orderBy(dim)
-    return kept.withColumn(dim, (F.row_number().over(window) - 1).cast("long"))
+    """Rows where the mask holds, re-numbered along ``dim`` inside each of ``keys``; a series is numbered by blocks."""
+    return _counted(df.where(mask), dim, keys or []).withColumn(dim, F.col("__one") - 1).drop("__one")
+
+
+def _counted(df: DataFrame, dim: str, keys: list[str]) -> DataFrame:
+    from axisframe.operators.scan import blocked_sum
+
+    return blocked_sum(df.withColumn("__one", F.lit(1).cast("long")), keys, dim, ["__one"])
 
 
 def nonzero(df: DataFrame, dims: list[str], value: str) -> DataFrame:
@@ -49,8 +67,7 @@ def nonzero(df: DataFrame, dims: list[str], value: str) -> DataFrame:
 
 def nonzero_slices(df: DataFrame, keys: list[str], dim: str, mask: Column) -> DataFrame:
     """Runs of consecutive indices where the mask holds: start and stop (exclusive)."""
-    w = Window.partitionBy(*keys).orderBy(dim)
-    runs = df.where(mask).withColumn("__g", F.col(dim) - F.row_number().over(w))
+    runs = _counted(df.where(mask), dim, keys).withColumn("__g", F.col(dim) - F.col("__one"))
     return runs.groupBy(*keys, "__g").agg(F.min(dim).alias("start"), (F.max(dim) + 1).alias("stop")).drop("__g")
 
 

@@ -36,9 +36,8 @@ def finite_max(x: Column, default: float = float("nan")) -> Column:
 
 
 def finite_std(x: Column) -> Column:
-    """sqrt(E[x^2] - E[x]^2) of the finite values."""
-    f = _finite(x)
-    return F.coalesce(F.sqrt(F.greatest(F.avg(f * f) - F.avg(f) * F.avg(f), F.lit(0.0))), nan())
+    """Population standard deviation of the finite values."""
+    return F.coalesce(F.stddev_pop(_finite(x)), nan())
 
 
 def weighted_mean(tf: TensorFrame, weight: str, dim: DimFilter = non_batch, where_no_weight: float = float("nan")) -> TensorFrame:
@@ -50,9 +49,43 @@ def weighted_mean(tf: TensorFrame, weight: str, dim: DimFilter = non_batch, wher
     return TensorFrame(tf.df.groupBy(*rest.names).agg(*aggs), rest, values)
 
 
+#: Bins into which a selection round parts the values between its bounds.
+SELECT_BINS = 1 << 10
+
+
 def quantile(tf: TensorFrame, q: float, dim: DimFilter = non_batch) -> TensorFrame:
-    """Exact, linear between ranks."""
-    return tf.reduce(lambda c: F.percentile(c, q), dim)
+    """Exact, linear between ranks, of the first component; NaN if there is no value.
+
+    By selection: values are counted in bins, and only the bin that holds the wanted ranks goes on, so no task
+    gathers a group. NaN and null take no part.
+    """
+    rest = tf.dims.without(tf.dims.only(dim) if callable(dim) else dim)
+    out = select_quantile(tf.df.select(*rest.names, F.col(tf.values[0]).cast("double").alias(tf.values[0])), list(rest.names), tf.values[0], q)
+    return TensorFrame(out, rest, tf.values[:1])
+
+
+def select_quantile(df: DataFrame, keys: list[str], value: str, q: float, bins: int = SELECT_BINS) -> DataFrame:
+    """Keys and the quantile of each group."""
+    on = keys or ["__all"]
+    df = df if keys else df.withColumn("__all", F.lit(0))
+    v = F.col(value)
+    df = df.where(v.isNotNull() & ~F.isnan(v)).select(*on, v.alias("__v"))
+    ends = df.groupBy(*on).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    place = q * (F.col("__n") - 1)
+    ends = ends.withColumns({"__k": F.floor(place), "__f": place - F.floor(place)})
+    bin_of = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int").alias("__b")
+    counted = df.join(ends, on).groupBy(*on, bin_of).agg(F.count("*").alias("__c"), F.min("__v").alias("__least"), F.first("__k").alias("__k"), F.first("__f").alias("__f"))
+    w = Window.partitionBy(*on).orderBy("__b")  # over at most ``bins`` rows a group
+    counted = counted.withColumns({"__before": F.sum("__c").over(w) - F.col("__c"), "__next": F.lead("__least").over(w)})
+    hit = counted.where((F.col("__before") <= F.col("__k")) & (F.col("__k") < F.col("__before") + F.col("__c"))).select(*on, F.col("__b").alias("__hit"), "__before", "__c", "__k", "__f", "__next")
+    # equal values come once, with their number
+    inner = df.join(ends.select(*on, "__lo", "__hi"), on).withColumn("__b", bin_of).join(hit, on).where(F.col("__b") == F.col("__hit"))
+    inner = inner.groupBy(*on, "__v").agg(F.count("*").alias("__m"), *[F.first(c).alias(c) for c in ("__before", "__k", "__f", "__next")])
+    w = Window.partitionBy(*on).orderBy("__v")
+    inner = inner.withColumn("__upto", F.col("__before") + F.sum("__m").over(w)).withColumn("__after", F.coalesce(F.lead("__v").over(w), "__next"))
+    own = (F.col("__upto") - F.col("__m") <= F.col("__k")) & (F.col("__k") < F.col("__upto"))
+    upper = F.when(F.col("__k") + 1 < F.col("__upto"), F.col("__v")).otherwise(F.coalesce("__after", "__v"))
+    return inner.where(own).select(*keys, (F.col("__v") + (upper - F.col("__v")) * F.col("__f")).alias(value))
 
 
 def at_extreme(df: DataFrame, keys: list[str], value: str, order: list[str], largest: bool = True) -> DataFrame:
@@ -84,7 +117,7 @@ def count_occurrences(values: DataFrame, queries: DataFrame, on: list[str]) -> D
     return queries.join(counted, on, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def dense_rank_of(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+def rank_of(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Rank from 0 inside each group."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 

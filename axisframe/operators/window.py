@@ -25,7 +25,10 @@ def shift(value: Column, keys: list[str], order: list[str], by: int, outside: st
     w = over(keys, order)
     moved = F.lead(value, by).over(w) if by >= 0 else F.lag(value, -by).over(w)
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edge = {"boundary": F.last(value).over(full) if by >= 0 else F.first(value).over(full), "zero": F.lit(0.0), "nan": nan()}[outside]
+    if outside == "boundary":  # one place beyond the end, the end is the own value
+        edge = value if abs(by) <= 1 else F.last(value).over(full) if by >= 0 else F.first(value).over(full)
+    else:
+        edge = {"zero": F.lit(0.0), "nan": nan()}[outside]
     inside = (F.lead(F.lit(1), by) if by >= 0 else F.lag(F.lit(1), -by)).over(w).isNotNull()
     return F.when(inside, moved).otherwise(edge)
 

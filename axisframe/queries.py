@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisframe.frame import TensorFrame, align, concat, stack
+from axisframe.frame import TYPED, TensorFrame, align, concat, ncat, stack
 from axisframe.functions import elementwise as E
+from axisframe.functions import vector as V
 from axisframe.operators import boundary as B
 from axisframe.operators import generators as G
+from axisframe.operators import grid as GR
 from axisframe.operators import linalg as L
 from axisframe.operators import lookup as K
 from axisframe.operators import neighbors as N
 from axisframe.operators import reduce as R
 from axisframe.operators import sampling as S
+from axisframe.operators import scan as SC
+from axisframe.operators import sparse as SP
 from axisframe.operators import window as W
 from axisframe.plans.iterate import conjugate_gradient, iterate
-from axisframe.shape import batch, channel, instance, merge_shapes, spatial
+from axisframe.shape import Dim, Shape, batch, channel, instance, merge_shapes, spatial
 from axisframe.sources import io as IO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +52,7 @@ def _lineitem(s: SparkSession, d: str) -> TensorFrame:
 def _events(s: SparkSession, d: str) -> DataFrame:
     """Each user's values in order: dims (user_id, i)."""
     e = _t(s, d, "events").select("user_id", "event_id", F.col("value").cast("double").alias("value"), "ts", "event_type")
-    return R.dense_rank_of(e, ["user_id"], [F.col("ts"), F.col("event_id")], "i")
+    return R.rank_of(e, ["user_id"], [F.col("ts"), F.col("event_id")], "i")
 
 
 _SERIES = "WITH e AS (SELECT user_id, event_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), "
@@ -128,8 +132,9 @@ def at_min_order(s, d):
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 3) AS q25, round(quantile_cont(o_totalprice, 0.5), 3) AS q50, round(quantile_cont(o_totalprice, 0.9), 3) AS q90 FROM orders GROUP BY ALL")
 def quantiles(s, d):
-    qs = [F.percentile("o_totalprice", q) for q in (0.25, 0.5, 0.9)]
-    return _t(s, d, "orders").groupBy("o_orderpriority").agg(*[_r(q, 3).alias(n) for q, n in zip(qs, ("q25", "q50", "q90"), strict=True)])
+    t = TensorFrame(_t(s, d, "orders").select("o_orderpriority", F.col("o_totalprice").alias("value")), batch("o_orderpriority"))
+    parts = [t.quantile(q).map(lambda c: _r(c, 3)).df.withColumnRenamed("value", n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.9, "q90"))]
+    return parts[0].join(parts[1], "o_orderpriority").join(parts[2], "o_orderpriority")
 
 
 @query("SELECT c_mktsegment, round(median(c_acctbal), 3) AS value FROM customer GROUP BY ALL")
@@ -189,9 +194,9 @@ def log_gamma(s, d):
     return _t(s, d, "customer").select("c_custkey", _r(E.log_gamma(1 + F.abs("c_acctbal") / 100), 5).alias("log_gamma"))
 
 
-@query()
+@query("WITH RECURSIVE k AS (SELECT c_custkey, c_acctbal / 5000 AS x, 0 AS n, c_acctbal / 5000 AS t, c_acctbal / 5000 AS s FROM customer UNION ALL SELECT c_custkey, x, n + 1, t * 2 * x * x / (2 * n + 3), s + t * 2 * x * x / (2 * n + 3) FROM k WHERE n < 60) SELECT c_custkey, round(2 / sqrt(pi()) * exp(-x * x) * s, 8) + 0.0 AS erf FROM k WHERE n = 60")
 def erf(s, d):
-    return _t(s, d, "customer").select("c_custkey", _r(E.erf(F.col("c_acctbal") / 5000), 8).alias("erf"))
+    return _t(s, d, "customer").select("c_custkey", (_r(E.erf(F.col("c_acctbal") / 5000), 8) + 0.0).alias("erf"))
 
 
 # --- scans and neighbourhoods ----------------------------------------------------------------------
@@ -199,17 +204,17 @@ def erf(s, d):
 
 @query(_SERIES + "x AS (SELECT user_id, i, round(sum(value) OVER (PARTITION BY user_id ORDER BY i), 3) AS value FROM e) SELECT user_id, i, value FROM x")
 def cumsum_user(s, d):
-    return _events(s, d).select("user_id", "i", _r(W.cumulative_sum("value", _KEYS, _ORDER), 3).alias("value"))
+    return SC.blocked_sum(_events(s, d).select("user_id", "i", "value"), _KEYS, "i", ["value"]).withColumn("value", _r(F.col("value"), 3))
 
 
 @query(_SERIES + "x AS (SELECT user_id, i, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS value FROM e) SELECT user_id, i, value FROM x")
 def exclusive_cumsum(s, d):
-    return _events(s, d).select("user_id", "i", _r(W.cumulative_sum("value", _KEYS, _ORDER, include_0=True), 3).alias("value"))
+    return SC.blocked_sum(_events(s, d).select("user_id", "i", "value"), _KEYS, "i", ["value"], include_0=True).withColumn("value", _r(F.col("value"), 3))
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS rank FROM events")
 def sort_rank(s, d):
-    return R.dense_rank_of(_t(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], [F.col("value"), F.col("event_id")]).select("user_id", "event_id", "rank")
+    return R.rank_of(_t(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], [F.col("value"), F.col("event_id")]).select("user_id", "event_id", "rank")
 
 
 @query(_SERIES + "x AS (SELECT user_id, i, coalesce(lag(value) OVER w, value) AS low, coalesce(lead(value) OVER w, value) AS up, coalesce(lead(value, 2) OVER w, 0) AS two FROM e WINDOW w AS (PARTITION BY user_id ORDER BY i)) SELECT * FROM x")
@@ -449,17 +454,20 @@ def embedding_means(s, d):
     return t.reduce(F.avg, []).map(lambda c: _r(c) + 0.0).df
 
 
-@query("WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings) SELECT CAST(a.c AS BIGINT) AS i, CAST(b.c AS BIGINT) AS j, round(sum(a.x * b.x), 2) + 0.0 AS value FROM v a JOIN v b USING (vec_id) WHERE a.c < 8 AND b.c < 8 GROUP BY 1, 2")
-def gram_matrix(s, d):
-    v = _t(s, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("c", "x")).select("vec_id", F.col("c").cast("long").alias("c"), F.col("x").cast("double").alias("x"))
+def _gram(s, d) -> DataFrame:
+    v = _t(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("c", "x")).select("vec_id", F.col("c").cast("long").alias("c"), F.col("x").cast("double").alias("x"))
     return L.matmul(v.select(F.col("c").alias("i"), "vec_id", F.col("x").alias("a")), v.select("vec_id", F.col("c").alias("j"), F.col("x").alias("b")), "i", "vec_id", "j").select("i", "j", (_r(F.col("value"), 2) + 0.0).alias("value"))
 
 
+@query("WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings) SELECT CAST(a.c AS BIGINT) AS i, CAST(b.c AS BIGINT) AS j, round(sum(a.x * b.x), 2) + 0.0 AS value FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2")
+def gram_matrix(s, d):
+    return _gram(s, d)
+
+
 @query("WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings) SELECT CAST(a.c AS BIGINT) AS i, CAST(b.c AS BIGINT) AS j, round(sum(a.x * b.x), 2) + 0.0 AS value FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2")
 def gram_matrix_whole(s, d):
     """Of all components."""
-    v = _t(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("c", "x")).select("vec_id", F.col("c").cast("long").alias("c"), F.col("x").cast("double").alias("x"))
-    return L.matmul(v.select(F.col("c").alias("i"), "vec_id", F.col("x").alias("a")), v.select("vec_id", F.col("c").alias("j"), F.col("x").alias("b")), "i", "vec_id", "j").select("i", "j", (_r(F.col("value"), 2) + 0.0).alias("value"))
+    return _gram(s, d)
 
 
 @query("SELECT l_partkey, l_suppkey, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY ALL")
@@ -467,11 +475,12 @@ def coo_sum_duplicates(s, d):
     return L.sum_duplicates(_t(s, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_quantity").alias("value")), "l_partkey", "l_suppkey").withColumn("value", _r(F.col("value"), 2))
 
 
-@query("WITH a AS (SELECT l_suppkey AS supp, CAST(l_linenumber AS BIGINT) AS line, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT x.supp AS row, y.supp AS col, round(sum(x.v * y.v), 1) AS value FROM a x JOIN a y USING (line) GROUP BY ALL")
+@query("WITH a AS (SELECT l_suppkey AS supp, l_partkey AS part, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT x.supp AS row, y.supp AS col, round(sum(x.v * y.v), 1) AS value FROM a x JOIN a y USING (part) GROUP BY ALL")
 def coo_matmul(s, d):
-    a = L.sum_duplicates(_t(s, d, "lineitem").select("l_suppkey", F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").alias("value")), "l_suppkey", "line")
-    left, right = a.select(F.col("l_suppkey").alias("row"), "line", F.col("value").alias("a")), a.select("line", F.col("l_suppkey").alias("col"), F.col("value").alias("b"))
-    return L.matmul(left, right, "row", "line", "col").withColumn("value", _r(F.col("value"), 1))
+    """Suppliers by suppliers over the parts they share."""
+    a = L.sum_duplicates(_t(s, d, "lineitem").select("l_suppkey", "l_partkey", F.col("l_quantity").alias("value")), "l_suppkey", "l_partkey")
+    left, right = a.select(F.col("l_suppkey").alias("row"), "l_partkey", F.col("value").alias("a")), a.select("l_partkey", F.col("l_suppkey").alias("col"), F.col("value").alias("b"))
+    return L.matmul(left, right, "row", "l_partkey", "col").withColumn("value", _r(F.col("value"), 1))
 
 
 @query("SELECT l_suppkey, min(v) AS least, max(v) AS most FROM (SELECT l_partkey, l_suppkey, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY ALL) GROUP BY 1")
@@ -585,9 +594,9 @@ def grid_sample(s, d):
     return S.grid_sample(_balances(s, d), points, "x", "p", 25).select("event_id", _r(F.col("value"), 4).alias("value"))
 
 
-@query("WITH s AS (SELECT DISTINCT l_suppkey AS i, date_trunc('month', l_shipdate) AS e FROM lineitem) SELECT a.i AS a, b.i AS b, count(*) AS n FROM s a JOIN s b ON a.e = b.e AND a.i <> b.i WHERE a.i <= 20 AND b.i <= 20 GROUP BY ALL")
+@query("WITH s AS (SELECT DISTINCT l_suppkey AS i, date_trunc('month', l_shipdate) AS e FROM lineitem) SELECT a.i AS a, b.i AS b, count(*) AS n FROM s a JOIN s b ON a.e = b.e AND a.i <> b.i GROUP BY ALL")
 def count_intersections(s, d):
-    sets = _t(s, d, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("i"), F.date_trunc("month", "l_shipdate").alias("e"))
+    sets = _t(s, d, "lineitem").select(F.col("l_suppkey").alias("i"), F.date_trunc("month", "l_shipdate").alias("e"))
     return S.count_intersections(sets, "i", "e")
 
 
@@ -605,3 +614,307 @@ def pairwise_differences(s, d):
     t = TensorFrame(b, merge_shapes(instance(x=25)))
     u = TensorFrame(b.select(F.col("x").alias("y"), "value"), merge_shapes(instance(y=25)))
     return (u - t).map(lambda c: _r(c, 2)).df.select("x", "y", "value")
+
+
+# --- grids of two dimensions -----------------------------------------------------------------------
+
+_SIZES = {"x": 8, "y": 6}
+
+
+def _plane(s, d) -> DataFrame:
+    """Sums of the events' values over an 8 x 6 grid of each type."""
+    e = _t(s, d, "events").select("event_type", (F.col("event_id") % 8).cast("long").alias("x"), (F.floor(F.col("event_id") / 8) % 6).cast("long").alias("y"), F.col("value").cast("double").alias("value"))
+    sums = e.groupBy("event_type", "x", "y").agg(_r(F.sum("value"), 3).alias("value"))
+    grid = e.select("event_type").distinct().join(F.broadcast(G.meshgrid(s, **_SIZES)))  # a type's cells are 48
+    return grid.join(sums, ["event_type", "x", "y"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+_PLANE = (
+    "WITH m AS (SELECT event_type, event_id % 8 AS x, (event_id // 8) % 6 AS y, round(sum(value), 3) AS value FROM events GROUP BY ALL), "
+    "g AS (SELECT t.event_type, a.range AS x, b.range AS y, coalesce(m.value, 0) AS value FROM (SELECT DISTINCT event_type FROM events) t CROSS JOIN range(8) a CROSS JOIN range(6) b "
+    "LEFT JOIN m ON m.event_type = t.event_type AND m.x = a.range AND m.y = b.range), "
+    "o AS (SELECT a.range - 1 AS dx, b.range - 1 AS dy FROM range(3) a, range(3) b), "
+    "n AS (SELECT c.event_type, c.x, c.y, dx, dy, c.value AS own, g.value FROM g c CROSS JOIN o JOIN g ON g.event_type = c.event_type AND g.x = least(greatest(c.x + dx, 0), 7) AND g.y = least(greatest(c.y + dy, 0), 5)), "
+    "i AS (SELECT * FROM n WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 5) "
+)
+
+
+@query(_PLANE + "SELECT event_type, x, y, round((sum(value) FILTER (dx = 1 AND dy = 0) - sum(value) FILTER (dx = -1 AND dy = 0)) / 2, 4) AS d_x, round((sum(value) FILTER (dx = 0 AND dy = 1) - sum(value) FILTER (dx = 0 AND dy = -1)) / 2, 4) AS d_y FROM n GROUP BY ALL")
+def gradient_2d(s, d):
+    return _rounded(GR.spatial_gradient(_plane(s, d), _SIZES, ["event_type"]), "d_x", "d_y")
+
+
+def _rounded(df: DataFrame, *columns: str, n: int = 4) -> DataFrame:
+    return df.withColumns({c: _r(F.col(c), n) + 0.0 for c in columns})
+
+
+@query(_PLANE + "SELECT event_type, x, y, round(sum(value) FILTER (abs(dx) + abs(dy) = 1) - 4 * max(own), 4) + 0.0 AS value FROM n GROUP BY ALL")
+def laplace_2d(s, d):
+    return _rounded(GR.laplace(_plane(s, d), _SIZES, ["event_type"]), "value")
+
+
+@query(_PLANE + "SELECT event_type, x, y, max(value) AS value FROM i GROUP BY ALL")
+def neighbor_max_2d(s, d):
+    return GR.neighbor_reduce(_plane(s, d), _SIZES, ["event_type"], F.max)
+
+
+@query(_PLANE + "SELECT event_type, x, y, arg_max(value, own * 0 + value) AS most, arg_min(value, value) AS least FROM i GROUP BY ALL")
+def at_extreme_neighbor(s, d):
+    """The neighbours' values by their own size: the largest and the smallest around."""
+    g = _plane(s, d).withColumn("by", F.col("value"))
+    a = GR.at_neighbor(g, _SIZES, ["event_type"], "value", "by").withColumnRenamed("value", "most")
+    return a.join(GR.at_neighbor(g, _SIZES, ["event_type"], "value", "by", largest=False).withColumnRenamed("value", "least"), ["event_type", "x", "y"])
+
+
+@query(_PLANE + "SELECT event_type, x, y, CASE WHEN max(own) >= 500 OR count(*) FILTER (value >= 500) = 0 THEN max(own) ELSE round(avg(value) FILTER (value >= 500), 4) END AS value, count(*) FILTER (value >= 500) > 0 AS valid FROM i GROUP BY ALL")
+def masked_fill(s, d):
+    g = _plane(s, d).withColumn("valid", F.col("value") >= 500)
+    out = GR.masked_fill(g, _SIZES, ["event_type"])
+    return out.withColumn("value", F.when(F.col("value") >= 500, F.col("value")).otherwise(_r(F.col("value"))))
+
+
+@query(_PLANE + "SELECT event_type, x, y, round(coalesce(CASE WHEN max(own) >= 500 THEN max(own) END, avg(value) FILTER (value >= 500 AND abs(dx) + abs(dy) <= 1), 'nan'::DOUBLE), 4) AS value FROM i GROUP BY ALL")
+def finite_fill_2d(s, d):
+    g = _plane(s, d).withColumn("value", F.when(F.col("value") >= 500, F.col("value")).otherwise(F.lit(float("nan"))))
+    return GR.finite_fill(g, _SIZES, ["event_type"], diagonal=False).withColumn("value", _r(F.col("value")))
+
+
+@query(_PLANE + "SELECT event_type, x, y, round(sum(value * (2 - abs(dx)) * (2 - abs(dy)) / 7.0), 4) AS value FROM i GROUP BY ALL")
+def convolve_2d(s, d):
+    kernel = {(a, b): (2 - abs(a)) * (2 - abs(b)) / 7 for a in (-1, 0, 1) for b in (-1, 0, 1)}
+    return _rounded(GR.convolve(_plane(s, d), _SIZES, ["event_type"], kernel), "value")
+
+
+@query(_PLANE + "SELECT event_type, x, y, max(value) FILTER (dx = 1 AND dy = -1) AS value_0, max(value) FILTER (dx = -1 AND dy = 0) AS value_1 FROM n GROUP BY ALL")
+def index_shift(s, d):
+    return GR.index_shift(_plane(s, d), _SIZES, ["event_type"], [(1, -1), (-1, 0)])
+
+
+@query(_PLANE + "SELECT event_type, x // 2 AS x, y // 2 AS y, round(avg(value), 4) AS value FROM g GROUP BY ALL")
+def downsample_2d(s, d):
+    return _rounded(GR.downsample2x(_plane(s, d), _SIZES, ["event_type"]), "value")
+
+
+@query(_PLANE + ", s AS (SELECT a.range AS sx, b.range AS sy FROM range(2) a, range(2) b) SELECT event_type, 2 * x + sx AS x, 2 * y + sy AS y, round(sum(value * CASE WHEN dx = 0 THEN 0.75 WHEN dx = 2 * sx - 1 THEN 0.25 ELSE 0 END * CASE WHEN dy = 0 THEN 0.75 WHEN dy = 2 * sy - 1 THEN 0.25 ELSE 0 END), 7) AS value FROM n CROSS JOIN s GROUP BY ALL")
+def upsample_2d(s, d):
+    return _rounded(GR.upsample2x(_plane(s, d), _SIZES, ["event_type"]), "value", n=7)
+
+
+_POINTS = (
+    _PLANE + ", q AS (SELECT x, y, sum(value) AS value FROM g GROUP BY ALL), p AS (SELECT event_id, (event_id % 70) / 10.0 AS px, (event_id % 30) / 6.0 AS py FROM events), "
+    "k AS (SELECT event_id, corner, px, py, q.value, abs(1 - cx - (px - floor(px))) * abs(1 - cy - (py - floor(py))) AS w FROM p CROSS JOIN (SELECT 2 * a.range + b.range AS corner, a.range AS cx, b.range AS cy FROM range(2) a, range(2) b) c "
+    "JOIN q ON q.x = least(CAST(floor(px) AS BIGINT) + cx, 7) AND q.y = least(CAST(floor(py) AS BIGINT) + cy, 5)) "
+)
+
+
+def _points(s, d) -> tuple[DataFrame, DataFrame]:
+    grid = _plane(s, d).groupBy("x", "y").agg(F.sum("value").alias("value"))
+    return grid, _t(s, d, "events").select("event_id", (F.col("event_id") % 70 / 10.0).alias("px"), (F.col("event_id") % 30 / 6.0).alias("py"))
+
+
+@query(_POINTS + "SELECT event_id, round(sum(value * w), 2) AS value FROM k GROUP BY 1")
+def grid_sample_2d(s, d):
+    grid, points = _points(s, d)
+    return GR.grid_sample(grid, points, _SIZES, {"x": "px", "y": "py"}).select("event_id", _r(F.col("value"), 2).alias("value"))
+
+
+@query(_POINTS + "SELECT event_id, CAST(corner AS INTEGER) AS corner, round(value, 2) AS value FROM k")
+def closest_grid_values(s, d):
+    grid, points = _points(s, d)
+    return GR.closest_grid_values(grid, points, _SIZES, {"x": "px", "y": "py"}).select("event_id", "corner", _r(F.col("value"), 2).alias("value"))
+
+
+@query(_PLANE + ", q AS (SELECT x, y, sum(value) AS value FROM g GROUP BY ALL) SELECT a.x - 2 AS x, a.y - 1 AS y, round(0.5 * a.value + 0.5 * b.value, 2) AS value FROM q a JOIN q b ON b.x = a.x + 1 AND b.y = a.y WHERE a.x BETWEEN 2 AND 5 AND a.y BETWEEN 1 AND 3")
+def sample_subgrid(s, d):
+    grid, _ = _points(s, d)
+    return _rounded(GR.sample_subgrid(grid, _SIZES, {"x": 2.5, "y": 1.0}, {"x": 4, "y": 3}), "value", n=2)
+
+
+@query(_BAL + "SELECT g.x, CASE WHEN g.i BETWEEN 0 AND 24 THEN 1 ELSE -1 END * b.value AS value FROM g JOIN b ON b.x = least(((g.i % 50) + 50) % 50, 49 - ((g.i % 50) + 50) % 50)")
+def pad_antisymmetric(s, d):
+    return B.pad(_balances(s, d), "x", 25, 3, 5, B.antisymmetric)
+
+
+@query(_BAL + "SELECT g.x, CASE WHEN g.i BETWEEN 0 AND 24 THEN 1 ELSE -1 END * b.value AS value FROM g JOIN b ON b.x = least(((g.i % 48) + 48) % 48, 48 - ((g.i % 48) + 48) % 48)")
+def pad_antireflect(s, d):
+    return B.pad(_balances(s, d), "x", 25, 3, 5, B.antireflect)
+
+
+@query(_BAL + "SELECT g.x, round(CASE WHEN g.i BETWEEN 0 AND 24 THEN b.value ELSE 2 * e.value - b.value END, 2) AS value FROM g JOIN b ON b.x = least(((g.i % 48) + 48) % 48, 48 - ((g.i % 48) + 48) % 48) JOIN b e ON e.x = CASE WHEN g.i < 12.5 THEN 0 ELSE 24 END")
+def pad_symmetric_gradient(s, d):
+    return _rounded(B.pad(_balances(s, d), "x", 25, 3, 5, B.symmetric_gradient), "value", n=2)
+
+
+@query(_BAL + "SELECT g.x, coalesce(b.value, 7.0) AS value FROM g LEFT JOIN b ON b.x = CASE WHEN g.i < 0 THEN g.i + 25 WHEN g.i < 25 THEN g.i END")
+def pad_mixed_sides(s, d):
+    return B.pad(_balances(s, d), "x", 25, 3, 5, (B.periodic, 7.0))
+
+
+@query(_BAL.rsplit(", g AS", 1)[0] + " SELECT x - 2 AS x, value FROM b WHERE x BETWEEN 2 AND 20")
+def pad_negative(s, d):
+    return B.pad(_balances(s, d), "x", 25, -2, -4, B.boundary)
+
+
+# --- frames: operators, reductions and structure ---------------------------------------------------
+
+
+def _customers(s, d) -> TensorFrame:
+    df = _t(s, d, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), "c_custkey", F.col("c_acctbal").alias("value"))
+    return TensorFrame(df, merge_shapes(batch(nation=25), instance("c_custkey")))
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS nation, c_custkey, (c_acctbal >= 0 AND c_acctbal < 5000) OR c_acctbal = 9000 AS value FROM customer")
+def compare_and_logic(s, d):
+    t = _customers(s, d)
+    return ((t >= 0) & (t < 5000) | (t == 9000)).df
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS nation, c_custkey, CAST(floor(c_acctbal / 700) AS BIGINT) AS q, round(c_acctbal - 700 * floor(c_acctbal / 700), 3) AS r, round(abs(c_acctbal) ** 0.5, 5) AS p FROM customer")
+def floor_divide_mod_power(s, d):
+    t = _customers(s, d)
+    q, r, p = (t // 700).df.withColumnRenamed("value", "q"), _rounded((t % 700).df, "value", n=3).withColumnRenamed("value", "r"), _rounded((abs(t) ** 0.5).df, "value", n=5).withColumnRenamed("value", "p")
+    return q.join(r, ["nation", "c_custkey"]).join(p, ["nation", "c_custkey"])
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS cust, o_orderkey, xor(o_orderkey & 255, 5) | 1024 AS bits, (o_orderkey << 2) >> 1 AS moved FROM orders")
+def bit_operators(s, d):
+    df = _t(s, d, "orders").select(F.col("o_custkey").cast("long").alias("cust"), "o_orderkey", F.col("o_orderkey").cast("long").alias("value"))
+    t = TensorFrame(df, merge_shapes(batch("cust"), instance("o_orderkey")))
+    bits, moved = (((t & 255) ^ 5) | 1024).df.withColumnRenamed("value", "bits"), ((t << 2) >> 1).df.withColumnRenamed("value", "moved")
+    return bits.join(moved, ["cust", "o_orderkey"])
+
+
+@query("WITH a AS (SELECT l_suppkey AS supp, l_partkey AS part, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), p AS (SELECT p_partkey AS part, p_size AS v FROM part) SELECT supp, round(sum(a.v * p.v), 1) AS value FROM a JOIN p USING (part) GROUP BY 1")
+def contract_dual(s, d):
+    a = TensorFrame(L.sum_duplicates(_t(s, d, "lineitem").select(F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("~part"), F.col("l_quantity").alias("value")), "supp", "~part"), merge_shapes(instance("supp"), Shape((Dim("part", "dual"),))))
+    p = TensorFrame(_t(s, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").cast("double").alias("value")), instance("part"))
+    return (a @ p).df.withColumn("value", _r(F.col("value"), 1))
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS nation, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS largest, arg_min(c_custkey, (c_acctbal, c_custkey)) AS smallest FROM customer GROUP BY 1")
+def arg_extremes(s, d):
+    t = _customers(s, d)
+    a, b = (x.df.withColumnRenamed("c_custkey", n) for x, n in ((t.argmax(), "largest"), (t.argmin(), "smallest")))
+    return a.join(b, "nation")
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(least(floor((c_acctbal + 1000) / 1100.0), 9) AS BIGINT) AS bin, count(*) AS value FROM customer WHERE c_acctbal BETWEEN -1000 AND 10000 GROUP BY ALL")
+def histogram_by_nation(s, d):
+    return _customers(s, d).histogram(-1000.0, 10000.0, 10).df
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS nation, bool_or(c_acctbal > 9000) AS some, bool_and(c_acctbal > -900) AS every, round(sum(c_acctbal), 2) AS isum, round(avg(c_acctbal), 4) AS imean, max(c_acctbal) AS imax FROM customer GROUP BY 1")
+def typed_reductions(s, d):
+    t = _customers(s, d)
+    parts = [(t > 9000).any().df.withColumnRenamed("value", "some"), (t > -900).all().df.withColumnRenamed("value", "every")]
+    parts += [_rounded(TYPED[n](t).df, "value", n=k).withColumnRenamed("value", n) for n, k in (("isum", 2), ("imean", 4), ("finite_imax", 4))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "nation")
+    return out.withColumnRenamed("finite_imax", "imax")
+
+
+@query("SELECT l_orderkey * 8 + l_linenumber AS flat, l_quantity AS value, l_orderkey // 2 AS half, l_orderkey % 2 AS odd FROM lineitem")
+def pack_flatten_unpack(s, d):
+    df = _t(s, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("order"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").alias("value"))
+    t = TensorFrame(df, merge_shapes(instance("order"), instance(line=8)))
+    back = t.flatten().unpack("flat", order=1 << 40, line=8).unpack("order", half=1 << 39, odd=2).pack(["half", "odd", "line"], "flat")
+    return back.df.select("flat", "value", F.floor(F.col("flat") / 16).alias("half"), (F.floor(F.col("flat") / 8) % 2).alias("odd"))
+
+
+@query("SELECT c.range AS copy, CAST(s_nationkey AS BIGINT) AS nation, round(sum(s_acctbal), 2) AS value FROM supplier, range(3) c WHERE s_nationkey NOT BETWEEN 5 AND 9 GROUP BY ALL")
+def expand_slice_off(s, d):
+    t = _nations(s, d, "supplier", "s_nationkey", "s_acctbal")
+    out = t.slice_off(nation=slice(5, 10)).expand(copy=3)
+    return out.map(lambda c: _r(c, 2)).df.withColumn("nation", F.when(F.col("nation") >= 5, F.col("nation") + 5).otherwise(F.col("nation")))
+
+
+@query("SELECT l_returnflag, l_linestatus, CAST(c AS BIGINT) AS component, round(CASE c WHEN 0 THEN sum(l_quantity) WHEN 1 THEN sum(l_extendedprice) ELSE sum(l_discount) END, 2) AS value FROM lineitem, range(3) r(c) GROUP BY l_returnflag, l_linestatus, c")
+def components_to_rows(s, d):
+    return _lineitem(s, d).sum().components_to_rows("component").map(lambda c: _r(c, 2)).df
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS nation, round(sum(c_acctbal), 2) AS customer, round(any_value(s.v), 2) AS supplier FROM customer JOIN (SELECT s_nationkey, sum(s_acctbal) AS v FROM supplier GROUP BY 1) s ON s_nationkey = c_nationkey GROUP BY 1")
+def concat_components(s, d):
+    a, b = _nations(s, d, "customer", "c_nationkey", "c_acctbal"), _nations(s, d, "supplier", "s_nationkey", "s_acctbal")
+    named = lambda t, n: TensorFrame(t.df.withColumnRenamed("value", n), t.dims, (n,))
+    return ncat([named(a, "customer"), named(b, "supplier")], "vector").map(lambda c: _r(c, 2)).df
+
+
+# --- vectors and sparse matrices -------------------------------------------------------------------
+
+_VEC = "WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS u, embedding[5]::DOUBLE AS w, embedding[6]::DOUBLE AS q FROM embeddings) "
+
+
+@query(_VEC + "SELECT vec_id, round(y * q - z * w, 5) + 0.0 AS cx, round(z * u - x * q, 5) + 0.0 AS cy, round(x * w - y * u, 5) + 0.0 AS cz, round(x * cos(z) - y * sin(z), 5) + 0.0 AS rx, round(x * sin(z) + y * cos(z), 5) + 0.0 AS ry, round(x * least(sqrt(x * x + y * y), 0.1) / sqrt(x * x + y * y), 5) + 0.0 AS sx FROM v")
+def vector_functions(s, d):
+    e = [F.get("embedding", i).cast("double") for i in range(6)]
+    c, r, k = V.cross(e[:3], e[3:]), V.rotate(e[:2], e[2]), V.clip_length(e[:2], 0.0, 0.1)
+    return _rounded(_t(s, d, "embeddings").select("vec_id", *[x.alias(n) for n, x in zip(("cx", "cy", "cz", "rx", "ry", "sx"), [*c, *r, k[0]], strict=True)]), "cx", "cy", "cz", "rx", "ry", "sx", n=5)
+
+
+def _line_matrix(s, d) -> DataFrame:
+    m = _t(s, d, "lineitem").join(_t(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").cast("long").alias("row"), (F.col("l_linenumber") - 1).cast("long").alias("col"), F.col("l_quantity").alias("value"))
+    return m.where(F.col("row") != F.col("col") + 3)
+
+
+_MATRIX = "WITH m AS (SELECT CAST(s_nationkey AS BIGINT) AS row, CAST(l_linenumber - 1 AS BIGINT) AS col, l_quantity AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> l_linenumber + 2), a AS (SELECT row, col, sum(value) AS value FROM m GROUP BY ALL) "
+
+
+@query(_MATRIX + "SELECT r.range AS row, c.range AS col, round(coalesce(a.value, 0), 1) AS value FROM range(25) r CROSS JOIN range(7) c LEFT JOIN a ON a.row = r.range AND a.col = c.range")
+def sparse_to_dense(s, d):
+    return SP.dense(_line_matrix(s, d), {"row": 25, "col": 7}).select("row", "col", _r(F.col("value"), 1).alias("value"))
+
+
+@query(_MATRIX + "SELECT row, col, round(value, 1) AS value FROM a WHERE row <> col UNION ALL SELECT range, range, 1.0 FROM range(7)")
+def with_diagonal(s, d):
+    a = L.sum_duplicates(_line_matrix(s, d), "row", "col")
+    return SP.with_diagonal(a, "row", "col", 1.0, 7).select("row", "col", _r(F.col("value"), 1).alias("value"))
+
+
+@query(_MATRIX + "SELECT row, round(sum(value * (col + 1)), 1) AS csr, round(sum(value * (col + 1)), 1) AS compact, round(sum(value * (col + 1)), 1) AS moved FROM a GROUP BY 1")
+def matrix_vector_formats(s, d):
+    a = L.sum_duplicates(_line_matrix(s, d), "row", "col")
+    x = s.range(7).select(F.col("id").alias("col"), (F.col("id") + 1).cast("double").alias("x"))
+    csr = SP.dot_csr(L.to_csr(a, "row", "col", "value"), x, "row", "col", "x").select("row", _r(F.col("x"), 1).alias("csr"))
+    compact = SP.dot_compact(SP.to_compact(a, "row", "col"), x, "row", "col", "x").select("row", _r(F.col("x"), 1).alias("compact"))
+    moved = L.matvec(SP.transpose(SP.transpose(a, "row", "col"), "row", "col"), x, "row", "col", "value", "x").select("row", _r(F.col("x"), 1).alias("moved"))
+    return csr.join(compact, "row").join(moved, "row")
+
+
+@query(_MATRIX + "SELECT c_custkey, col, round(value, 1) AS value FROM customer JOIN a ON row = c_nationkey")
+def sparse_gather(s, d):
+    at = _t(s, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("at"))
+    return SP.gather_rows(L.sum_duplicates(_line_matrix(s, d), "row", "col"), "row", at, "at").select("c_custkey", "col", _r(F.col("value"), 1).alias("value"))
+
+
+@query(_MATRIX + "SELECT 25 * b.range + row AS row, 7 * b.range + col AS col, round(value, 1) AS value FROM a, range(2) b")
+def sparse_batch(s, d):
+    a = L.sum_duplicates(_line_matrix(s, d), "row", "col")
+    return SP.add_batch(a, "b", 2, "row", "col", 25, 7).select("row", "col", _r(F.col("value"), 1).alias("value"))
+
+
+@query("WITH e AS (SELECT DISTINCT o_custkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey) SELECT e.o_custkey AS a, e.c_nationkey AS b, round(y.v - x.v, 2) AS value FROM e JOIN (SELECT c_custkey AS k, c_acctbal AS v FROM customer) x ON x.k = o_custkey JOIN (SELECT c_custkey AS k, c_acctbal AS v FROM customer) y ON y.k = c_nationkey")
+def map_pairs(s, d):
+    nodes = _t(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("value"))
+    edges = _t(s, d, "orders").join(_t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("a"), F.col("c_nationkey").alias("b")).distinct()
+    return SP.map_pairs(nodes, edges, "k", "a", "b", lambda x, y: _r(y - x, 2))
+
+
+@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY 1")
+def fit_hyperplane(s, d):
+    """Of one explaining column, so that SQL can give it; tests fit more."""
+    return L.fit_hyperplane(_t(s, d, "lineitem"), ["l_returnflag"], ["l_quantity"], "l_extendedprice").select("l_returnflag", _r(F.get("weights", 0)).alias("slope"))
+
+
+@query("SELECT page_id, regexp_replace(url, '^(.*)/[^/]*$', '\\1') AS folder FROM pages WHERE url IS NOT NULL")
+def split_paths(s, d):
+    p = _t(s, d, "pages").where("url is not null")
+    return p.select("page_id", IO.split_path(F.col("url"))[0].alias("folder"))
+
+
+@query("WITH d AS (SELECT 100 + (s_suppkey % 3) AS k, s_suppkey AS id, s_acctbal AS x FROM supplier) SELECT a.id AS l_id, b.id AS r_id, round(least(abs(a.x - b.x), 11000 - abs(a.x - b.x)), 2) AS distance FROM d a JOIN d b ON least(abs(a.x - b.x), 11000 - abs(a.x - b.x)) <= 30")
+def range_join_periodic(s, d):
+    """Balances on a circle from -1,000 to 10,000."""
+    p = _t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"))
+    return N.range_join_periodic(p, p, "x", 30.0, -1000.0, 10000.0).select("l_id", "r_id", _r(F.col("distance"), 2).alias("distance"))

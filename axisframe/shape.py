@@ -185,12 +185,101 @@ def concat_shapes(*shapes: Shape) -> Shape:
     return Shape(tuple(d for s in shapes for d in s))
 
 
+def concat_shapes_(*shapes: Shape) -> Shape:
+    """As :func:`concat_shapes`; a name that comes again is the same dimension."""
+    return merge_shapes(*shapes)
+
+
+class InvalidShapeSpec(ValueError):
+    """A text that isn't a list of dimensions."""
+
+
+def split_top_level_comma(text: str) -> list[str]:
+    """Parts between commas that lie outside parentheses."""
+    parts, depth, at = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            parts.append(text[at:i])
+            at = i + 1
+    return [p.strip() for p in [*parts, text[at:]] if p.strip()]
+
+
 def shape_spec(text: str) -> Shape:
     """Parse "x:s=4,points:i,vector:c=(x,y)": name, kind's first letter, size or labels."""
     import re
 
     letters = {k[0]: k for k in KINDS}
     out = []
-    for name, kind, labels, size in re.findall(r"(~?\w+):([bdisc])(?:=(?:\(([^)]*)\)|(\d+)))?", text):
+    for part in split_top_level_comma(text):
+        m = re.fullmatch(r"(~?\w+):([bdisc])(?:=(?:\(([^)]*)\)|(\d+)))?", part)
+        if m is None:
+            raise InvalidShapeSpec(f"no dimension: {part!r} in {text!r}")
+        name, kind, labels, size = m.groups()
         out.append(Dim(name, letters[kind], int(size) if size else None, tuple(v.strip() for v in labels.split(",")) if labels else None))
     return Shape(tuple(out))
+
+
+def to_spec(shape: Shape) -> str:
+    """The text that :func:`shape_spec` reads."""
+    tail = lambda d: f"=({','.join(d.labels)})" if d.labels else f"={d.size}" if d.size is not None else ""
+    return ",".join(f"{d.name}:{d.kind[0]}{tail(d)}" for d in shape)
+
+
+def auto(spec: str, default: str = "channel") -> Shape:
+    """Dimensions from a spec; those without a kind get the default one, "~" ones are dual."""
+    return Shape(tuple(d for part in split_top_level_comma(spec) for d in (shape_spec(part) if ":" in part else (Dim(part, "dual" if part.startswith("~") else default),))))
+
+
+def pure_merge(*shapes: Shape) -> Shape:
+    """Merge shapes that are all of one kind."""
+    kinds = {k for s in shapes for k in s.kinds}
+    if len(kinds) > 1:
+        raise IncompatibleShapes(f"kinds {sorted(kinds)}")
+    return merge_shapes(*shapes)
+
+
+def kind_size(shape: Shape, kind: str) -> int | None:
+    """Number of cells that the dimensions of one kind make up."""
+    return shape.of_kind(kind).volume
+
+
+def shape_stack(name: str, kind: str, *shapes: Shape) -> Shape:
+    """The shape of frames along a new dimension; sizes that differ are unknown."""
+    merged: dict[str, Dim] = {}
+    for d in (d for s in shapes for d in s):
+        have = merged.get(d.name)
+        merged[d.name] = d if have is None or have.size == d.size else replace(have, size=None, labels=None)
+    return Shape((*merged.values(), Dim(name, kind, len(shapes)))).canonical()
+
+
+def unstack_shape(shape: Shape, dim: str) -> list[Shape]:
+    """A shape per index of the dimension."""
+    if shape[dim].size is None:
+        raise ValueError(f"the size of {dim} is unknown")
+    return [shape.without(dim)] * shape[dim].size
+
+
+def after_gather(shape: Shape, item: dict[str, int | slice]) -> Shape:
+    """The shape that is left when indices or slices are taken; names that aren't there do nothing."""
+    for name, s in item.items():
+        if name in shape:
+            size = shape[name].size
+            shape = shape.without(name) if isinstance(s, int) else shape.with_size(name, None if size is None else len(range(*s.indices(size))))
+    return shape
+
+
+def transposed(shape: Shape) -> Shape:
+    """Dual dimensions as channel ones and channel ones as dual ones."""
+    swap = {"dual": "channel", "channel": "dual"}
+    return Shape(tuple(Dim(d.name.lstrip("~"), swap.get(d.kind, d.kind), d.size, d.labels) for d in shape))
+
+
+def mask(shape: Shape, names: DimFilter) -> tuple[bool, ...]:
+    """Which dimensions are among the named ones."""
+    chosen = _chosen(shape, names)
+    return tuple(d.name in chosen for d in shape)
+
+
+def first_index(shape: Shape) -> dict[str, int]:
+    return dict.fromkeys(shape.names, 0)
