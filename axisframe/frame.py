@@ -12,7 +12,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.shape import Dim, DimFilter, Shape, channel, merge_shapes, non_batch, primal
+from axisframe.shape import Dim, DimFilter, IncompatibleShapes, Shape, channel, merge_shapes, non_batch, primal
 
 
 #: Cells that the smaller side of an outer product may have.
@@ -346,7 +346,11 @@ def align(a: TensorFrame, b: TensorFrame, f: Callable[[Column, Column], Column],
 
 
 def close(a: TensorFrame, b: TensorFrame, rel_tolerance: float = 1e-5, abs_tolerance: float = 0.0, equal_nan: bool = False) -> bool:
-    """Whether all cells of both agree within abs + rel * |b|, and neither has a cell that the other lacks."""
+    """Whether all cells of both agree within abs + rel * |b|, and neither has a cell that the other lacks; shapes that don't fit are not close."""
+    try:
+        merge_shapes(a.dims, b.dims)
+    except IncompatibleShapes:
+        return False
     no = lambda c: F.isnan(c.cast("double"))
     near = lambda x, y: F.when(no(x) | no(y), no(x) & no(y) & F.lit(equal_nan)).otherwise((x == y) | (F.abs(x - y) <= abs_tolerance + rel_tolerance * F.abs(y)))
     both = align(a, b, lambda x, y: F.coalesce(near(x, y), F.lit(False)), "full")

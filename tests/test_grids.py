@@ -87,7 +87,7 @@ def test_frame_operators(spark):
     assert ncat([left, right], "vector").values == ("u", "v") and tcat([t, t], "instance").dims["tcat"].size == 4
     assert (t > 0).bool_to_int().dtype == "int" and t.components_to_rows("c").df.count() == 4
     with pytest.raises(ValueError):
-        TensorFrame(df, batch("p")) + TensorFrame(df, batch("q"))  # an outer product of unknown sizes
+        TensorFrame(df.withColumnRenamed("b", "p"), batch("p")) + TensorFrame(df.withColumnRenamed("b", "q"), batch("q"))  # an outer product of unknown sizes
 
 
 def test_quantiles_and_scans(spark):
