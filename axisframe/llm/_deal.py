@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Postings that a task collects before it emits them: bounds its memory.
 FLUSH = 1 << 18
 #: Buckets per shuffle partition: a task holds one bucket at a time.
-SPREAD = 8
+SPREAD = 2
 PACKED = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
 PACKED_DDL = "bucket int, n int, data binary"
 
