@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,6 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes and rows of an Arrow batch, at most: what a task and its Python worker hold at a time, texts of more bytes aside.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to those above, where they are wider; they never change a result."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = re.match(r"-?\d+", spark.conf.get(name))
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(name, most)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -34,6 +47,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost nothing before it."""
     path = new_folder(df.sparkSession, name)
+    bounded_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -12,8 +12,8 @@ _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _MULT = _RNG.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-#: Bytes of text hashed at a time: bounds the working arrays, not the texts.
-CHUNK = 1 << 20
+#: Bytes of text hashed at a time: bounds the working arrays, not the texts. The smaller number is for work with many arrays.
+CHUNK, SMALL_CHUNK = 1 << 20, 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -47,8 +47,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _LOW_CODES = mix(np.arange(1, 4097, dtype=np.uint64))
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, bytes, row offsets into the bytes) of runs of rows of about CHUNK bytes; null is empty."""
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, bytes, row offsets into the bytes) of runs of rows of about ``size`` bytes; null is empty."""
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
@@ -58,7 +58,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         b = min(b, len(column))
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm._store import cut
+from axisframe.llm._store import bounded_batches, cut
 
 # fixed values of the template: "### role: text</turn>\n"; inside roles and texts its control strings are broken up
 OPEN, MID, CLOSE = "### ", ": ", "</turn>\n"
@@ -154,6 +154,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
         if at is not None:
             yield pa.RecordBatch.from_pylist([at.close()], schema=WINDOW)
 
+    bounded_batches(conversations.sparkSession)
     rows = conversations.select(
         F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     )

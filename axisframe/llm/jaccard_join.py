@@ -27,7 +27,7 @@ from axisframe.llm._store import bitmap_of, cut, may_hold
 from axisframe.llm._text import _MULT, chunks, mix, windows, words
 
 #: Shingles that recur inside so many distinct shingles read by a task are counted for the order.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 #: Frequency ranks sent to the tasks (12 bytes each). They only order the shingles: results don't depend on them.
 RANKS = 1 << 17
 #: Lists of at most so many postings give their partnered pairs; larger ones are compared through a central set.
@@ -361,6 +361,7 @@ def jaccard_components(documents: DataFrame, percent: int = 80, k: int = 5, id_c
 
     postings = docs.mapInArrow(*_postings(k, percent, ranks))
     posted = cut(postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(*_lists(percent)), "lists")
+    ranks.destroy()
     owner = docrep.where("rep is not null").select("doc_id", "rep")
     small = posted.where("other is not null").select("doc_id", "other").distinct().join(owner, "doc_id").select("other", F.col("rep").alias("a")).join(owner.select(F.col("doc_id").alias("other"), F.col("rep").alias("b")), "other")
     small = small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from axisframe.llm._deal import FLUSH, PACKED_DDL, Packer, bucket_bits, buckets, dealt, loose, run_starts
 from axisframe.llm._graph import components, joined_components
 from axisframe.llm._store import bitmap_of, cut, may_hold
-from axisframe.llm._text import _MULT, chunks, code_points, mix, prefix_hash_codes, span_hash
+from axisframe.llm._text import _MULT, SMALL_CHUNK, chunks, code_points, mix, prefix_hash_codes, span_hash
 
 TAU, SIMILARITY = 2, 0.8
 #: Open lists of at most so many lines are compared inside a task; larger ones are refined.
@@ -173,7 +173,7 @@ def _postings(tau: int, similarity: float, bits: int):
 
         for batch in batches:
             names = batch.column("line").to_numpy()
-            for a, b, data, off in chunks(batch.column("text")):
+            for a, b, data, off in chunks(batch.column("text"), SMALL_CHUNK):
                 fresh = []
                 for i, x in enumerate(names[a:b].tolist()):
                     if x not in done:

@@ -17,8 +17,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm._store import bitmap_of, cut, may_hold
-from axisframe.llm._text import LOWER, chunks, prefix_hash, span_hash
+from axisframe.llm._store import bitmap_of, bounded_batches, cut, may_hold
+from axisframe.llm._text import LOWER, SMALL_CHUNK, chunks, prefix_hash, span_hash
 
 #: Labelled rows that are learnt from, at most.
 SAMPLE_ROWS = 24_000
@@ -75,7 +75,7 @@ def _mine():
     def run(batches):
         for batch in batches:
             label = batch.column("label").to_numpy()
-            for a, b, data, off in chunks(batch.column("text")):
+            for a, b, data, off in chunks(batch.column("text"), SMALL_CHUNK):
                 s, e, row, h, pre = _words(data, off)
                 rows, hs = [row], [h]
                 for at, begin in _beginnings(pre, s, e):
@@ -148,7 +148,7 @@ def _features(lexicon: tuple[np.ndarray, np.ndarray]):
 
     def run(batches):
         for batch in batches:
-            for a, b, data, off in chunks(batch.column("text")):
+            for a, b, data, off in chunks(batch.column("text"), SMALL_CHUNK):
                 x = measure(data, off)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.record_batch([batch.column(c).slice(a, b - a) for c in ("doc_id", "label", "part")] + [lists], schema=schema)
@@ -180,8 +180,10 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
     Learns from at most ``sample_rows`` labelled documents that aren't held out; null labels, null ids and
     labels without a document are left out, repeated labels of an id count as their largest. Null and empty
     texts are scored like any other, from features that are all 0. With one class of labels or none, every
-    score is that class's rate (0 without labels). Only texts make a score; other columns are ignored.
+    score is that class's rate (0 without labels). A lexicon entry needs at least 3 and 1 % of the toxic texts it is
+    mined from and 4 times its share of the others; at most LEXICON_SIZE entries stay, the clearest first. Only texts make a score; other columns are ignored.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("label")).where("doc_id is not null and label is not null")
     marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))

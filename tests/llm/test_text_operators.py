@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from axisframe.llm import jaccard_join as J
 from axisframe.llm.decontaminate import decontaminate
-from axisframe.llm.exact_dedup import build_filter, exact_dedup, in_filter
+from axisframe.llm.exact_dedup import build_filter, dedup_batch, exact_dedup, in_filter, write_snapshot
 from axisframe.llm.line_dedup import dedup_lines, edit_distance, line_classes, line_report, probes, segments
 from axisframe.llm.substring_dedup import align, chains, passages, remove_passages, repeated_passages
 
@@ -65,6 +65,24 @@ def test_exact_dedup(spark):
     assert exact_dedup(table(spark, []), F.lit(True)).count() == 0
 
 
+def test_groups_of_null_ids_meet(spark):
+    """Equal texts whose rows that stay have no id, on either side and on both; rows that repeat an id aren't multiplied."""
+    rows = [(None, "x y"), (None, "xy"), (1, "xy"), (None, "null only"), (None, "nullonly"), (2, "z"), (2, "z"), (2, "z")]
+    for side in (F.col("doc_id").isNull(), F.col("doc_id").isNotNull(), F.length("text") % 2 == 0):
+        got = sorted(((r.doc_id, r.text_sha256[:4], r.keep_id, r.group_size) for r in exact_dedup(table(spark, rows), side).collect()), key=str)
+        digest = lambda t: hashlib.sha256(t.encode()).hexdigest()[:4]
+        want = [(None, digest("xy"), None, 3)] * 2 + [(1, digest("xy"), None, 3)] + [(None, digest("nullonly"), None, 2)] * 2 + [(2, digest("z"), 2, 3)] * 3
+        assert got == sorted(want, key=str)
+
+
+def test_a_second_batch_meets_the_written_snapshot(spark):
+    old = table(spark, [(1, "a b"), (2, "c"), (3, None)])
+    folder = write_snapshot(old)
+    for batch in ([(10, "ab"), (11, "new"), (12, "")], [(20, "c"), (21, "c "), (22, "ab!")]):
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in dedup_batch(table(spark, batch), folder, old).where("not in_snapshot").collect()}
+        assert got == ({10: (1, 2), 11: (11, 1), 12: (3, 2)} if batch[0][0] == 10 else {20: (21, 3), 21: (21, 3), 22: (22, 1)})
+
+
 # --- decontamination -------------------------------------------------------------------------------
 
 
@@ -153,6 +171,10 @@ def test_jaccard_odd_rows(spark):
     rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "a b c d e f g"), (7, "A b c d e f g")]
     got = J.jaccard_components(table(spark, rows)).collect()
     assert len(got) == 4 and {r.component_id for r in got} == {5}
+    near = " ".join(words_of(60, 1))
+    rows = [(1, near), (None, near + " x"), (None, near + " y"), (None, "only null ids have these words here"), (3, "p q r s t"), (3, "u v w x y"), (4, "u v w x y"), (None, None), (8, None)]
+    got = sorted(((r.doc_id, r.component_id) for r in J.jaccard_components(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (None, 1), (None, None), (3, 3), (3, 3), (4, 3), (None, None), (8, 8)], key=str)
     assert J.jaccard_components(table(spark, [])).count() == 0
 
 
@@ -207,34 +229,54 @@ def line_rows():
     return [*rows, (30, None), (31, ""), (32, "short one\nshort one"), (33, "eleven chars\neleven chars\neleven charz"), (34, rows[0][1]), (35, "\n\n" + rows[1][1])]
 
 
-def test_line_classes(spark):
-    rows = line_rows()
-    lines = [(i, n, x) for i, t in rows for n, x in enumerate((t or "").split("\n")) if len(x) >= 10]
-    at = {(i, n): k for k, (i, n, _) in enumerate(sorted(lines))}
-    links = [(at[a[:2]], at[b[:2]]) for a in lines for b in lines if a < b and (a[2] == b[2] or (min(len(a[2]), len(b[2])) >= 20 and distance(a[2], b[2]) <= 2))]
-    comp, order = components(at.values(), links), sorted(lines)
-    got = {(r.doc_id, r.line_no): (r.first_doc, r.first_line) for r in line_classes(table(spark, rows)).collect()}
-    assert got == {k: order[comp[v]][:2] for k, v in at.items()}
+def line_classes_by_force(rows, tau=2, similarity=0.8):
+    """(id, line number, first id, first line, other lines of the class) of all lines, nulls last, repeated rows in the table's order."""
+    lines = sorted((i is None, i or 0, k, n, x) for k, (i, t) in enumerate(rows) for n, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b\x0c"))
+    allowed = lambda a, b: min(tau, int((1 - similarity) * max(len(a), len(b)) + 1e-9))
+    close = lambda a, b: a == b or (abs(len(a) - len(b)) <= allowed(a, b) and distance(a, b) <= allowed(a, b))
+    comp = components(range(len(lines)), [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if close(lines[a][4], lines[b][4])])
+    size = {c: list(comp.values()).count(c) for c in set(comp.values())}
+    name = lambda line: None if line[0] else line[1]
+    return sorted(((name(x), x[3], name(lines[comp[k]]), lines[comp[k]][3], size[comp[k]] - 1) for k, x in enumerate(lines)), key=str)
+
+
+@pytest.mark.parametrize("block", [512, 12])
+def test_line_classes(spark, block):
+    """Lines of 3 to 20 characters too, templates with numbers, a hot beginning, repeated and null ids; with a small block, large lists are refined."""
+    r, rows = random.Random(3), line_rows()
+    short = ["".join(r.choice("ab") for _ in range(r.randrange(3, 21))) for _ in range(120)]
+    rows += [(100 + i, "\n".join(r.choice(short) for _ in range(3))) for i in range(40)]
+    rows += [(300 + i, f"common words that stand before {r.randrange(10**6):06d} and after it") for i in range(40)]
+    rows += [(400 + i, "a long shared beginning of lines " + "".join(r.choice("abcdefghijklmn") for _ in range(40))) for i in range(20)]
+    rows += [(5, "x1\ngamma unique other"), (500, " \t"), (None, "null id line here"), (None, rows[0][1])]
+    got = sorted(((x.doc_id, x.line_no, x.first_doc, x.first_line, x.n_others) for x in line_classes(table(spark, rows).coalesce(1), block=block).collect()), key=str)
+    assert got == line_classes_by_force(rows)
+
+
+def test_lines_of_repeated_ids(spark):
+    rows = [(5, "alpha line number one\nbeta line number two"), (5, "alpha line number one\ngamma unique important line"), (6, "gamma unique important line")]
+    out = sorted(r.text for r in dedup_lines(table(spark, rows).coalesce(1)).collect())
+    assert out == sorted(["alpha line number one\nbeta line number two", "gamma unique important line"])
 
 
 def test_line_classes_count_other_lines(spark):
-    """A-B-C with A and C over 2 edits apart: 2 links, but each line has 2 others in its class; short lines have no edits."""
+    """A-B-C with A and C over 2 edits apart: each line has 2 others in its class; below 5 code points only equal lines link."""
     a = "a line of enough characters"
-    rows = [(1, a), (2, a[:-2] + "xx"), (3, a[:-2] + "xx" + "yy"), (4, "fifteen letters"), (5, "fifteen letterz"), (6, "fifteen letters"), (7, "nine char"), (8, "nine char")]
+    rows = [(1, a), (2, a[:-2] + "xx"), (3, a[:-2] + "xx" + "yy"), (4, "fifteen letters"), (5, "fifteen letterz"), (6, "fifteen letterzzz"), (7, "four"), (8, "fous"), (9, "four")]
     classes = line_classes(table(spark, rows))
-    assert "n_links" not in classes.columns and "n_links" not in line_report(table(spark, rows)).columns
-    assert {r.doc_id: (r.first_doc, r.n_others) for r in classes.collect()} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 1), 5: (5, 0), 6: (4, 1)}
+    assert {r.doc_id: (r.first_doc, r.n_others) for r in classes.collect()} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 2), 5: (4, 2), 6: (4, 2), 7: (7, 1), 8: (8, 0), 9: (7, 1)}
+    assert {r.doc_id for r in line_classes(table(spark, rows), min_chars=5).collect()} == {1, 2, 3, 4, 5, 6}
 
 
 def test_line_report_and_texts(spark):
-    rows = [(1, "a line of enough characters\nanother line of enough characters"), (2, "a line of enough charactery\nfresh line of enough characters"), (3, "a line of enough characters"), (4, None), (None, "a line of enough characters"), (5, "tiny")]
-    df = table(spark, rows)
+    rows = [(1, "a line of enough characters\nanother line of enough characters"), (2, "a line of enough charactery\nfresh line of enough characters"), (3, "a line of enough characters"), (4, None), (None, "a line of enough characters"), (5, "tiny"), (6, " \n\t")]
+    df = table(spark, rows).withColumns({"row": F.lit(1), "gone": F.lit(2), "__gone": F.lit(3)})
     report = {r.doc_id: (r.n_lines, r.n_dropped, r.repeats_of) for r in line_report(df).collect()}
-    assert report == {1: (2, 0, []), 2: (2, 1, [1]), 3: (1, 1, [1]), 4: (0, 0, []), None: (0, 0, []), 5: (0, 0, [])}
+    assert report == {1: (2, 0, []), 2: (2, 1, [1]), 3: (1, 1, [1]), 4: (0, 0, []), None: (1, 1, [1]), 5: (1, 0, []), 6: (0, 0, [])}
     out = dedup_lines(df)
     assert out.columns == df.columns
-    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "fresh line of enough characters", 4: None, None: rows[4][1], 5: "tiny"}
-    assert dedup_lines(table(spark, [])).count() == 0
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "fresh line of enough characters", 4: None, 5: "tiny", 6: " \n\t"}
+    assert dedup_lines(table(spark, [])).count() == 0 and line_report(table(spark, [])).count() == 0
 
 
 # --- passages --------------------------------------------------------------------------------------
