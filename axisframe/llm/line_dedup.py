@@ -364,7 +364,7 @@ def _classes(documents: DataFrame, row: Column, tau: int, similarity: float, min
     packed = long.mapInArrow(*_postings(tau, similarity, bucket_bits(documents.sparkSession)))
     lists = cut(dealt(packed).mapInArrow(_lists, "key long, line long, own boolean").groupBy("key", "line").agg(F.bool_or("own").alias("own")), "lists")
     listed = lists.select("line").distinct()
-    texts = long.where(may_hold(bitmap_of(listed, "line"), F.col("line"))).join(listed, "line", "left_semi").groupBy(F.unhex(F.md5("text")).alias("id")).agg(F.first("line").alias("line"), F.first("text").alias("text"))
+    texts = long.where(may_hold(bitmap_of(listed, "line"), F.col("line"))).groupBy(F.unhex(F.md5("text")).alias("id")).agg(F.first("line").alias("line"), F.first("text").alias("text")).join(listed, "line", "left_semi")
     label = _links(cut(texts, "texts"), lists, tau, similarity, block)
     # first line and number of lines, by text, then by class; only classes of several lines meet the lines again
     by_text = lines.where("id is not null").groupBy("id").agg(F.min(_first()).alias("first"), F.count("*").alias("m")).join(label, "id", "left").withColumn("class", F.coalesce("root", "id"))
