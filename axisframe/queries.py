@@ -669,17 +669,17 @@ def at_extreme_neighbor(s, d):
     return a.join(GR.at_neighbor(g, _SIZES, ["event_type"], "value", "by", largest=False).withColumnRenamed("value", "least"), ["event_type", "x", "y"])
 
 
-@query(_PLANE + "SELECT event_type, x, y, CASE WHEN max(own) >= 500 OR count(*) FILTER (value >= 500) = 0 THEN max(own) ELSE round(avg(value) FILTER (value >= 500), 4) END AS value, count(*) FILTER (value >= 500) > 0 AS valid FROM i GROUP BY ALL")
+@query(_PLANE + "SELECT event_type, x, y, CASE WHEN max(own) >= 500 OR count(*) FILTER (value >= 500) = 0 THEN round(max(own), 6) ELSE round(avg(value) FILTER (value >= 500), 6) END AS value, count(*) FILTER (value >= 500) > 0 AS valid FROM i GROUP BY ALL")
 def masked_fill(s, d):
     g = _plane(s, d).withColumn("valid", F.col("value") >= 500)
     out = GR.masked_fill(g, _SIZES, ["event_type"])
-    return out.withColumn("value", F.when(F.col("value") >= 500, F.col("value")).otherwise(_r(F.col("value"))))
+    return out.withColumn("value", _r(F.col("value"), 6))
 
 
-@query(_PLANE + "SELECT event_type, x, y, round(coalesce(CASE WHEN max(own) >= 500 THEN max(own) END, avg(value) FILTER (value >= 500 AND abs(dx) + abs(dy) <= 1), 'nan'::DOUBLE), 4) AS value FROM i GROUP BY ALL")
+@query(_PLANE + "SELECT event_type, x, y, round(coalesce(CASE WHEN max(own) >= 500 THEN max(own) END, avg(value) FILTER (value >= 500 AND abs(dx) + abs(dy) <= 1), 'nan'::DOUBLE), 6) AS value FROM i GROUP BY ALL")
 def finite_fill_2d(s, d):
     g = _plane(s, d).withColumn("value", F.when(F.col("value") >= 500, F.col("value")).otherwise(F.lit(float("nan"))))
-    return GR.finite_fill(g, _SIZES, ["event_type"], diagonal=False).withColumn("value", _r(F.col("value")))
+    return GR.finite_fill(g, _SIZES, ["event_type"], diagonal=False).withColumn("value", _r(F.col("value"), 6))
 
 
 @query(_PLANE + "SELECT event_type, x, y, round(sum(value * (2 - abs(dx)) * (2 - abs(dy)) / 7.0), 4) AS value FROM i GROUP BY ALL")
@@ -693,9 +693,9 @@ def index_shift(s, d):
     return GR.index_shift(_plane(s, d), _SIZES, ["event_type"], [(1, -1), (-1, 0)])
 
 
-@query(_PLANE + "SELECT event_type, x // 2 AS x, y // 2 AS y, round(avg(value), 4) AS value FROM g GROUP BY ALL")
+@query(_PLANE + "SELECT event_type, x // 2 AS x, y // 2 AS y, round(avg(value), 6) AS value FROM g GROUP BY ALL")
 def downsample_2d(s, d):
-    return _rounded(GR.downsample2x(_plane(s, d), _SIZES, ["event_type"]), "value")
+    return _rounded(GR.downsample2x(_plane(s, d), _SIZES, ["event_type"]), "value", n=6)
 
 
 @query(_PLANE + ", s AS (SELECT a.range AS sx, b.range AS sy FROM range(2) a, range(2) b) SELECT event_type, 2 * x + sx AS x, 2 * y + sy AS y, round(sum(value * CASE WHEN dx = 0 THEN 0.75 WHEN dx = 2 * sx - 1 THEN 0.25 ELSE 0 END * CASE WHEN dy = 0 THEN 0.75 WHEN dy = 2 * sy - 1 THEN 0.25 ELSE 0 END), 7) AS value FROM n CROSS JOIN s GROUP BY ALL")
@@ -715,22 +715,22 @@ def _points(s, d) -> tuple[DataFrame, DataFrame]:
     return grid, _t(s, d, "events").select("event_id", (F.col("event_id") % 70 / 10.0).alias("px"), (F.col("event_id") % 30 / 6.0).alias("py"))
 
 
-@query(_POINTS + "SELECT event_id, round(sum(value * w), 2) AS value FROM k GROUP BY 1")
+@query(_POINTS + "SELECT event_id, round(sum(value * w), 6) AS value FROM k GROUP BY 1")
 def grid_sample_2d(s, d):
     grid, points = _points(s, d)
-    return GR.grid_sample(grid, points, _SIZES, {"x": "px", "y": "py"}).select("event_id", _r(F.col("value"), 2).alias("value"))
+    return GR.grid_sample(grid, points, _SIZES, {"x": "px", "y": "py"}).select("event_id", _r(F.col("value"), 6).alias("value"))
 
 
-@query(_POINTS + "SELECT event_id, CAST(corner AS INTEGER) AS corner, round(value, 2) AS value FROM k")
+@query(_POINTS + "SELECT event_id, CAST(corner AS INTEGER) AS corner, round(value, 3) AS value FROM k")
 def closest_grid_values(s, d):
     grid, points = _points(s, d)
-    return GR.closest_grid_values(grid, points, _SIZES, {"x": "px", "y": "py"}).select("event_id", "corner", _r(F.col("value"), 2).alias("value"))
+    return GR.closest_grid_values(grid, points, _SIZES, {"x": "px", "y": "py"}).select("event_id", "corner", _r(F.col("value"), 3).alias("value"))
 
 
-@query(_PLANE + ", q AS (SELECT x, y, sum(value) AS value FROM g GROUP BY ALL) SELECT a.x - 2 AS x, a.y - 1 AS y, round(0.5 * a.value + 0.5 * b.value, 2) AS value FROM q a JOIN q b ON b.x = a.x + 1 AND b.y = a.y WHERE a.x BETWEEN 2 AND 5 AND a.y BETWEEN 1 AND 3")
+@query(_PLANE + ", q AS (SELECT x, y, sum(value) AS value FROM g GROUP BY ALL) SELECT a.x - 2 AS x, a.y - 1 AS y, round(0.5 * a.value + 0.5 * b.value, 4) AS value FROM q a JOIN q b ON b.x = a.x + 1 AND b.y = a.y WHERE a.x BETWEEN 2 AND 5 AND a.y BETWEEN 1 AND 3")
 def sample_subgrid(s, d):
     grid, _ = _points(s, d)
-    return _rounded(GR.sample_subgrid(grid, _SIZES, {"x": 2.5, "y": 1.0}, {"x": 4, "y": 3}), "value", n=2)
+    return _rounded(GR.sample_subgrid(grid, _SIZES, {"x": 2.5, "y": 1.0}, {"x": 4, "y": 3}), "value", n=4)
 
 
 @query(_BAL + "SELECT g.x, CASE WHEN g.i BETWEEN 0 AND 24 THEN 1 ELSE -1 END * b.value AS value FROM g JOIN b ON b.x = least(((g.i % 50) + 50) % 50, 49 - ((g.i % 50) + 50) % 50)")
