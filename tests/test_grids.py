@@ -168,3 +168,12 @@ def test_paths(spark):
     assert [r.n for r in df.select(IO.relative_path(F.col("p"), F.col("s")).alias("n")).collect()] == [posixpath.relpath(p, s) for p, s in pairs]
     df = spark.createDataFrame([("/usr/lib/x",), ("/usr/local/y",), ("/usr/lib64",)], ["p"])
     assert IO.common_prefix(df, "p").first()[0] == "/usr/l" and IO.common_path(df, "p").first()[0] == "/usr"
+
+
+def test_dense_cells_and_odd_places(spark):
+    a = spark.range(60).select("id", (F.col("id") % 4).cast("double").alias("x"))
+    pairs = lambda **o: sorted((r.l_id, r.r_id) for r in N.range_join(a, a, ["x"], 1.0, **o).collect())
+    assert pairs(cell_rows=3) == pairs() == sorted((i, j) for i in range(60) for j in range(60) if abs(i % 4 - j % 4) <= 1)
+    points = spark.createDataFrame([(i, float(v)) for i, v in enumerate([0, 0, 0, 5, 5, 1000])] + [(9, None), (10, NAN)], ["p", "x"])
+    queries = spark.createDataFrame([(0, -3.0), (1, 2.5), (2, 700.0), (3, None), (4, NAN)], ["q", "x"])
+    assert {r.q: r.p for r in N.nearest_1d(points, queries, "x", "p", "q", buckets=4).collect()} == {0: 0, 1: 0, 2: 5, 3: None, 4: None}
