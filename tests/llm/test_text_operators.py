@@ -240,16 +240,15 @@ def line_classes_by_force(rows, tau=2, similarity=0.8):
     return sorted(((name(x), x[3], name(lines[comp[k]]), lines[comp[k]][3], size[comp[k]] - 1) for k, x in enumerate(lines)), key=str)
 
 
-@pytest.mark.parametrize("block", [512, 12])
-def test_line_classes(spark, block):
-    """Lines of 3 to 20 characters too, templates with numbers, a hot beginning, repeated and null ids; with a small block, large lists are refined."""
+def test_line_classes(spark):
+    """Lines of 3 to 20 characters too, templates with numbers, a hot beginning, repeated and null ids; with a small block, some lists are refined."""
     r, rows = random.Random(3), line_rows()
     short = ["".join(r.choice("ab") for _ in range(r.randrange(3, 21))) for _ in range(120)]
     rows += [(100 + i, "\n".join(r.choice(short) for _ in range(3))) for i in range(40)]
     rows += [(300 + i, f"common words that stand before {r.randrange(10**6):06d} and after it") for i in range(40)]
     rows += [(400 + i, "a long shared beginning of lines " + "".join(r.choice("abcdefghijklmn") for _ in range(40))) for i in range(20)]
     rows += [(5, "x1\ngamma unique other"), (500, " \t"), (None, "null id line here"), (None, rows[0][1])]
-    got = sorted(((x.doc_id, x.line_no, x.first_doc, x.first_line, x.n_others) for x in line_classes(table(spark, rows).coalesce(1), block=block).collect()), key=str)
+    got = sorted(((x.doc_id, x.line_no, x.first_doc, x.first_line, x.n_others) for x in line_classes(table(spark, rows).coalesce(1), block=12).collect()), key=str)
     assert got == line_classes_by_force(rows)
 
 
