@@ -12,7 +12,7 @@ from axisframe.llm.substring_dedup import repeated_passages
 
 np = pytest.importorskip("numpy")
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents pages benchmark labels conversations embeddings".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
@@ -98,4 +98,4 @@ def test_toxic_features_against_plain_python():
 
 
 def test_registered_names(spark):
-    assert len(Q.QUERIES) == 10 and {int(n[2:].split("_")[0]) for n in Q.QUERIES} == set(range(1, 11)) and set(Q.ORACLE_SQL) <= set(Q.QUERIES)
+    assert len(Q.QUERIES) == 13 and {int(n[2:].split("_")[0]) for n in Q.QUERIES} == set(range(1, 14)) and set(Q.ORACLE_SQL) <= set(Q.QUERIES)
