@@ -55,16 +55,71 @@ class TensorFrame:
 
         return self._binary(o, divide)
 
+    def _whole(self, o) -> bool:
+        kinds = [self.dtype, o.dtype if isinstance(o, TensorFrame) else "int" if type(o) is int else "double"]
+        return all(k in ("tinyint", "smallint", "int", "bigint") for k in kinds)
+
     def __floordiv__(self, o):
-        return self._binary(o, lambda a, b: F.floor(a / b))
+        """Rounded down; whole numbers stay whole, and null where the divisor is 0."""
+        from axisframe.functions import elementwise as E
+
+        return self._binary(o, E.floor_divide if self._whole(o) else E.floor_divide_ieee)
 
     def __mod__(self, o):
-        """Has the divisor's sign."""
-        return self._binary(o, lambda a, b: a - b * F.floor(a / b))
+        """Has the divisor's sign; whole numbers stay whole, and null where the divisor is 0."""
+        from axisframe.functions import elementwise as E
+
+        return self._binary(o, E.floor_mod if self._whole(o) else E.floor_mod_ieee)
 
     def __pow__(self, o):
         return self._binary(o, F.pow)
 
+    def _reflected(self, o, f: Callable[[Column, Column], Column]) -> TensorFrame:
+        """f(o, own component), for an operand on the left that isn't a frame."""
+        return self.map(lambda c: f(o if isinstance(o, Column) else F.lit(o), c))
+
+    def __radd__(self, o):
+        return self._reflected(o, lambda a, b: a + b)
+
+    def __rsub__(self, o):
+        return self._reflected(o, lambda a, b: a - b)
+
+    def __rmul__(self, o):
+        return self._reflected(o, lambda a, b: a * b)
+
+    def __rtruediv__(self, o):
+        from axisframe.functions.elementwise import divide
+
+        return self._reflected(o, lambda a, b: divide(a.cast("double"), b.cast("double")))
+
+    def __rfloordiv__(self, o):
+        from axisframe.functions import elementwise as E
+
+        return self._reflected(o, E.floor_divide if self._whole(o) else E.floor_divide_ieee)
+
+    def __rmod__(self, o):
+        from axisframe.functions import elementwise as E
+
+        return self._reflected(o, E.floor_mod if self._whole(o) else E.floor_mod_ieee)
+
+    def __rpow__(self, o):
+        return self._reflected(o, F.pow)
+
+    def __rand__(self, o):
+        return self & o
+
+    def __ror__(self, o):
+        return self | o
+
+    def __rxor__(self, o):
+        return self ^ o
+
+    def __rlshift__(self, o):
+        return self._reflected(o, lambda a, b: F.call_function("shiftleft", a, b.cast("int")))
+
+    def __rrshift__(self, o):
+        return self._reflected(o, lambda a, b: F.call_function("shiftright", a, b.cast("int")))
+
     def __lt__(self, o):
         return self._compare(o, lambda a, b: a < b)
 
@@ -280,7 +335,8 @@ class TensorFrame:
 
         return self.reduce(getattr(R, f"finite_{what}"), dim)
 
-    def quantile(self, q: float, dim: DimFilter = non_batch) -> TensorFrame:
+    def quantile(self, q: float | dict[str, float], dim: DimFilter = non_batch) -> TensorFrame:
+        """One quantile of the first component, or several as components of these names."""
         from axisframe.operators.reduce import quantile
 
         return quantile(self, q, dim)
@@ -300,13 +356,16 @@ class TensorFrame:
         gone = self.dims.only(dim) if not isinstance(dim, str) else self.dims.only([dim])
         rest = self.dims.without(gone)
         v, index = F.col(self.values[0]), F.struct(*[F.col(n) for n in gone.names])
-        order = F.struct(-v if largest else v, index)
+        order = F.struct(~F.isnan(v.cast("double")), -v if largest else v, index)  # NaN is found first
         picked = F.min_by(index, order).alias("__i")
         df = (self.df.groupBy(*rest.names) if len(rest) else self.df.groupBy()).agg(picked)
         return TensorFrame(df.select(*rest.names, *[F.col(f"__i.{n}").alias(n) for n in gone.names]), rest, gone.names)
 
     def argmax(self, dim: DimFilter = non_batch) -> TensorFrame:
-        """Index of the largest value over ``dim``, a component per dimension; of equals, the first in order of the dimensions."""
+        """Index of the largest value over ``dim``, a component per dimension; of equals, the first in order of the dimensions.
+
+        NaN, if there is any, is what both ``argmax`` and ``argmin`` find.
+        """
         return self._arg(True, dim)
 
     def argmin(self, dim: DimFilter = non_batch) -> TensorFrame:
@@ -316,7 +375,7 @@ class TensorFrame:
         from axisframe.operators.scan import blocked_sum
 
         keys = list(self.dims.without(dim).names)
-        return self.with_df(blocked_sum(self.df, keys, dim, list(self.values)))
+        return self.with_df(blocked_sum(self.df, keys, dim, list(self.values), longest=self.dims[dim].size))
 
 
 def align(a: TensorFrame, b: TensorFrame, f: Callable[[Column, Column], Column], how: str = "inner") -> TensorFrame:
@@ -330,7 +389,9 @@ def align(a: TensorFrame, b: TensorFrame, f: Callable[[Column, Column], Column],
     right = b.df.select(*b.dims.names, *[F.col(v).alias(f"__b_{v}") for v in b.values])
     left = a.df.select(*a.dims.names, *[F.col(v).alias(f"__a_{v}") for v in a.values])
     if shared:
-        df = left.join(right, shared, how)
+        same = fold(Column.__and__, [F.col(n).eqNullSafe(F.col(f"__r_{n}")) for n in shared])  # a null index is an index
+        df = left.join(right.withColumnsRenamed({n: f"__r_{n}" for n in shared}), same, how)
+        df = df.withColumns({n: F.coalesce(n, f"__r_{n}") for n in shared}) if how == "full" else df
     elif not len(b.dims) or not len(a.dims):
         df = left.crossJoin(right)  # with one row
     else:

@@ -30,7 +30,28 @@ def round_even(x: Column) -> Column:
 
 
 def floor_mod(a: Column, b: Column) -> Column:
-    return F.pmod(a, b)
+    """The remainder with the divisor's sign, in the operands' type; null where the divisor is 0."""
+    by = F.when(b != 0, b)
+    r = a % by
+    return F.when((r != 0) & ((r < 0) != (by < 0)), r + by).otherwise(r)
+
+
+def floor_divide(a: Column, b: Column) -> Column:
+    """Of whole numbers: the largest whole number up to the quotient, exact in 64 bits; null where the divisor is 0."""
+    return F.call_function("div", a - floor_mod(a, b), F.when(b != 0, b))
+
+
+def floor_mod_ieee(a: Column, b: Column) -> Column:
+    """As :func:`floor_mod`, in doubles; NaN where the divisor is 0."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(a.isNotNull() & (b == 0), nan()).otherwise(floor_mod(a, b))
+
+
+def floor_divide_ieee(a: Column, b: Column) -> Column:
+    """The quotient by :func:`divide`, rounded down, in doubles; infinite or NaN where the divisor is 0."""
+    q = divide(a.cast("double"), b.cast("double"))
+    near = F.rint(q)
+    return F.when(near > q, near - 1).otherwise(near)
 
 
 def _log(f, x: Column) -> Column:
@@ -154,9 +175,9 @@ _LANCZOS = (
 )
 
 
-def log_gamma(x: Column) -> Column:
-    """Logarithm of the gamma function for numbers above 0, as a column expression (Lanczos, 1964)."""
-    y = x.cast("double") - 1
+def _log_gamma(x: Column) -> Column:
+    """For numbers from a half on (Lanczos, 1964)."""
+    y = x - 1
     series = F.lit(_LANCZOS[0])
     for i, c in enumerate(_LANCZOS[1:], 1):
         series = series + F.lit(c) / (y + i)
@@ -164,6 +185,15 @@ def log_gamma(x: Column) -> Column:
     return F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.ln(t) - t + F.ln(series)
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function's absolute value, as a column expression; infinite at 0, -1, -2, ... and at infinity."""
+    x = x.cast("double")
+    low = F.when((x < 0.5) & (x > -inf()), x)  # reflected: gamma(x) gamma(1 - x) = pi / sin(pi x)
+    sine = F.abs(F.sin(math.pi * (low - F.floor(low))))
+    reflected = F.when(low == F.floor(low), inf()).otherwise(math.log(math.pi) - F.ln(F.when(sine > 0, sine)) - _log_gamma(1 - low))
+    return F.when(F.isnan(x), x).when(F.abs(x) == inf(), inf()).when(x < 0.5, reflected).otherwise(_log_gamma(F.greatest(x, F.lit(0.5))))
+
+
 #: Terms of the series below 3, and of the continued fraction from there on.
 ERF_TERMS, ERF_FRACTIONS = 60, 60
 

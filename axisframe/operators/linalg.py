@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axisframe.operators.scan import key_of
+
 
 def dot_arrays(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -50,13 +52,15 @@ def fit_line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def fit_hyperplane(df: DataFrame, keys: list[str], xs: list[str], y: str, weight: str | None = None) -> DataFrame:
     """Weights (an array, in order of ``xs``) and intercept of each group's least-squares plane.
 
-    One aggregation of moments about the group's means, then Gauss elimination on columns. Singular groups get NaN.
+    One aggregation of moments about the group's means, then Gauss elimination on columns. Singular groups get NaN;
+    null keys are a key.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     names = [*xs, y]
-    grouped = lambda t: t.groupBy(*keys) if keys else t.groupBy()
+    df = df.withColumn("__k", key_of(keys))
+    grouped = lambda t: t.groupBy("__k")
     means = grouped(df).agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"__m{i}") for i, c in enumerate(names)])
-    moved = df.join(F.broadcast(means), keys) if not keys else df.join(means, keys)
+    moved = df.join(means, "__k")
     c = [F.col(n) - F.col(f"__m{i}") for i, n in enumerate(names)]
     n = len(xs)
     sums = [F.sum(w * c[i] * c[j]).alias(f"__s{i}_{j}") for i in range(n) for j in range(i, n + 1)]
@@ -76,4 +80,4 @@ def fit_hyperplane(df: DataFrame, keys: list[str], xs: list[str], y: str, weight
     intercept = F.col(f"__m{n}")
     for i in range(n):
         intercept = intercept - F.get("weights", i) * F.col(f"__m{i}")
-    return a.select(*keys, "weights", intercept.alias("intercept"))
+    return a.select(*[F.col(f"__k.{k}").alias(k) for k in keys], "weights", intercept.alias("intercept"))

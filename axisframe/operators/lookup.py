@@ -85,8 +85,9 @@ def ravel(dims: list[str], sizes: list[int]) -> Column:
 
 
 def unravel(index: Column, dims: list[str], sizes: list[int]) -> dict[str, Column]:
+    """The inverse of :func:`ravel`, in whole numbers of 64 bits."""
     out, rest = {}, index
     for d, n in reversed(list(zip(dims, sizes, strict=True))):
         out[d] = F.pmod(rest, F.lit(n))
-        rest = F.floor(rest / n)
+        rest = F.call_function("div", rest - out[d], F.lit(n))
     return out

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from axisframe.frame import TensorFrame
 from axisframe.functions.elementwise import is_finite, nan
+from axisframe.operators.scan import key_of
+from axisframe.plans.lineage import cut
 from axisframe.shape import DimFilter, non_batch
 
 
@@ -49,43 +51,68 @@ def weighted_mean(tf: TensorFrame, weight: str, dim: DimFilter = non_batch, wher
     return TensorFrame(tf.df.groupBy(*rest.names).agg(*aggs), rest, values)
 
 
-#: Bins into which a selection round parts the values between its bounds.
-SELECT_BINS = 1 << 10
+#: Bins into which a selection round parts the values between its bounds, and values that are sorted at once in the end.
+SELECT_BINS, SELECT_SMALL = 1 << 10, 1 << 16
 
 
-def quantile(tf: TensorFrame, q: float, dim: DimFilter = non_batch) -> TensorFrame:
-    """Exact, linear between ranks, of the first component; NaN if there is no value.
-
-    By selection: values are counted in bins, and only the bin that holds the wanted ranks goes on, so no task
-    gathers a group. NaN and null take no part.
-    """
+def quantile(tf: TensorFrame, q: float | dict[str, float], dim: DimFilter = non_batch) -> TensorFrame:
+    """Exact, linear between ranks, of the first component; NaN if there is no value. Several come as components."""
     rest = tf.dims.without(tf.dims.only(dim) if callable(dim) else dim)
-    out = select_quantile(tf.df.select(*rest.names, F.col(tf.values[0]).cast("double").alias(tf.values[0])), list(rest.names), tf.values[0], q)
-    return TensorFrame(out, rest, tf.values[:1])
+    wanted = q if isinstance(q, dict) else {tf.values[0]: q}
+    return TensorFrame(select_quantiles(tf.df, list(rest.names), tf.values[0], wanted), rest, list(wanted))
 
 
-def select_quantile(df: DataFrame, keys: list[str], value: str, q: float, bins: int = SELECT_BINS) -> DataFrame:
+def select_quantile(df: DataFrame, keys: list[str], value: str, q: float, bins: int = SELECT_BINS, small: int = SELECT_SMALL) -> DataFrame:
     """Keys and the quantile of each group."""
-    on = keys or ["__all"]
-    df = df if keys else df.withColumn("__all", F.lit(0))
-    v = F.col(value)
-    df = df.where(v.isNotNull() & ~F.isnan(v)).select(*on, v.alias("__v"))
-    ends = df.groupBy(*on).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    place = q * (F.col("__n") - 1)
-    ends = ends.withColumns({"__k": F.floor(place), "__f": place - F.floor(place)})
-    bin_of = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int").alias("__b")
-    counted = df.join(ends, on).groupBy(*on, bin_of).agg(F.count("*").alias("__c"), F.min("__v").alias("__least"), F.first("__k").alias("__k"), F.first("__f").alias("__f"))
-    w = Window.partitionBy(*on).orderBy("__b")  # over at most ``bins`` rows a group
-    counted = counted.withColumns({"__before": F.sum("__c").over(w) - F.col("__c"), "__next": F.lead("__least").over(w)})
-    hit = counted.where((F.col("__before") <= F.col("__k")) & (F.col("__k") < F.col("__before") + F.col("__c"))).select(*on, F.col("__b").alias("__hit"), "__before", "__c", "__k", "__f", "__next")
-    # equal values come once, with their number
-    inner = df.join(ends.select(*on, "__lo", "__hi"), on).withColumn("__b", bin_of).join(hit, on).where(F.col("__b") == F.col("__hit"))
-    inner = inner.groupBy(*on, "__v").agg(F.count("*").alias("__m"), *[F.first(c).alias(c) for c in ("__before", "__k", "__f", "__next")])
-    w = Window.partitionBy(*on).orderBy("__v")
-    inner = inner.withColumn("__upto", F.col("__before") + F.sum("__m").over(w)).withColumn("__after", F.coalesce(F.lead("__v").over(w), "__next"))
-    own = (F.col("__upto") - F.col("__m") <= F.col("__k")) & (F.col("__k") < F.col("__upto"))
-    upper = F.when(F.col("__k") + 1 < F.col("__upto"), F.col("__v")).otherwise(F.coalesce("__after", "__v"))
-    return inner.where(own).select(*keys, (F.col("__v") + (upper - F.col("__v")) * F.col("__f")).alias(value))
+    return select_quantiles(df, keys, value, {value: q}, bins, small)
+
+
+def select_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], bins: int = SELECT_BINS, small: int = SELECT_SMALL) -> DataFrame:
+    """Keys and a column for each of ``qs`` (name -> quantile), exact and linear between ranks, all found together.
+
+    By selection: the wanted ranks of a group lie in intervals of values. A round counts each interval's values
+    in bins; the bins that hold wanted ranks are the next intervals, bounded by their own least and greatest
+    value, so that a far outlier is alone after one round. An interval of one value is done, and one of at most
+    ``small`` values is sorted. No task gathers more of a group. NaN and null take no part; a group without
+    other values gets NaN. Null keys are a group.
+    """
+    if not all(0 <= q <= 1 for q in qs.values()):
+        raise ValueError("quantiles lie between 0 and 1")
+    v = F.col(value).cast("double")
+    rows = df.select(key_of(keys).alias("__k"), F.when(~F.isnan(v), v).alias("__v"))
+    ends = rows.groupBy("__k").agg(F.count("__v").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    place = {name: q * (F.col("__n") - 1) for name, q in qs.items()}
+    ends = cut(ends, "quantile-ends")
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in place.values()])))
+    found = ends.where("__n > 0").select("__k", "__lo", "__hi", F.lit(0).cast("long").alias("__before"), F.col("__n").alias("__c"), ranks.alias("__want"))
+    rows = rows.where("__v is not null")
+
+    def met(intervals: DataFrame) -> DataFrame:
+        """Rows with the interval that they lie in; a group has two intervals a quantile, at most."""
+        return rows.join(intervals, "__k").where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+
+    wide = F.col("__hi") - F.col("__lo")
+    # halves, where the difference leaves the doubles; infinities go to the ends
+    half = lambda c: F.greatest(F.least(c, F.lit(1.7e308)), F.lit(-1.7e308)) / 2
+    share = F.when(wide < float("inf"), (F.col("__v") - F.col("__lo")) / F.when(wide > 0, wide)).otherwise((half(F.col("__v")) - half(F.col("__lo"))) / (half(F.col("__hi")) - half(F.col("__lo"))))
+    while (found.where("__lo < __hi").agg(F.max("__c")).first()[0] or 0) > small:
+        counted = met(found.where("__lo < __hi")).groupBy("__k", "__before", F.least(F.floor(share * bins), F.lit(bins - 1)).alias("__b"))
+        counted = counted.agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.first("__want").alias("__want"))
+        before = F.col("__before") + F.sum("__c").over(Window.partitionBy("__k", "__before").orderBy("__b")) - F.col("__c")  # over at most ``bins`` rows
+        counted = counted.withColumn("__start", before).withColumn("__want", F.filter("__want", lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__c"))))
+        counted = counted.where(F.size("__want") > 0).select("__k", "__lo", "__hi", F.col("__start").alias("__before"), "__c", "__want")
+        found = cut(counted.unionByName(found.where("__lo = __hi")), "quantile-intervals")
+    done = found.where("__lo = __hi").select("__k", F.explode("__want").alias("__r"), F.col("__lo").alias("__x"))
+    ordered = met(found.where("__lo < __hi")).groupBy("__k", "__before").agg(F.sort_array(F.collect_list("__v")).alias("__s"), F.first("__want").alias("__want"))
+    picked = F.transform("__want", lambda r: F.struct(r.alias("r"), F.get("__s", (r - F.col("__before")).cast("int")).alias("x")))
+    picked = ordered.select("__k", F.explode(picked).alias("p")).select("__k", F.col("p.r").alias("__r"), F.col("p.x").alias("__x"))
+    values = done.unionByName(picked).groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("__r", "__x"))).alias("__at"))
+    at = lambda r: F.try_element_at("__at", r.cast("long"))
+    out = []
+    for name, p in place.items():
+        low, rest = at(F.floor(p)), p - F.floor(p)
+        out.append(F.coalesce(F.when(rest == 0, low).otherwise(low + (at(F.ceil(p)) - low) * rest), nan()).alias(name))
+    return ends.join(values, "__k", "left").select(*[F.col(f"__k.{k}").alias(k) for k in keys], *out)
 
 
 def at_extreme(df: DataFrame, keys: list[str], value: str, order: list[str], largest: bool = True) -> DataFrame:
@@ -111,6 +138,48 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def bin_of(x: Column, edges: list[float]) -> Column:
+    """The bin between sorted ``edges`` that holds a value, the last one closed; null for values outside, NaN and null.
+
+    A binary search: each step of a fold over log2 of the bins halves what is left.
+    """
+    bins = len(edges) - 1
+    if bins < 1 or any(a >= b for a, b in zip(edges, edges[1:], strict=False)):
+        raise ValueError("edges rise, and there are two of them at least")
+    held, x = F.array(*[F.lit(float(e)) for e in edges]), x.cast("double")
+    start = F.struct(F.lit(0).alias("a"), F.lit(bins).alias("b"))
+    middle = lambda s: F.shiftright(s["a"] + s["b"], 1)
+
+    def half(s: Column, _: Column) -> Column:
+        up = F.get(held, middle(s)) <= x
+        return F.when(s["b"] - s["a"] <= 1, s).otherwise(F.struct(F.when(up, middle(s)).otherwise(s["a"]).alias("a"), F.when(up, s["b"]).otherwise(middle(s)).alias("b")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(bins.bit_length() + 1)), start, half, lambda s: s["a"])
+    return F.when(~F.isnan(x) & (x >= float(edges[0])) & (x <= float(edges[-1])), found.cast("long"))
+
+
+def histogram_nd(df: DataFrame, keys: list[str], edges: dict[str, list[float]], weight: str | None = None, name: str = "value", fill: bool = False) -> DataFrame:
+    """Keys, a bin column bin_<column> for each of ``edges`` (column -> its rising edges), and the count or sum of weights.
+
+    Bins are half open, the last one of a column closed; a row counts if all its columns lie inside. Values
+    outside, NaN and null don't count, nor do rows of null weight; null keys are a key. ``fill`` gives empty
+    bins 0, for every key that has rows.
+    """
+    bins = [f"bin_{c}" for c in edges]
+    rows = df.select(*keys, *[bin_of(F.col(c), e).alias(b) for (c, e), b in zip(edges.items(), bins, strict=True)], *([F.col(weight).cast("double").alias("__w")] if weight else []))
+    amount = F.sum("__w") if weight else F.count("*")
+    inside = rows.where(" and ".join([f"`{b}` is not null" for b in bins] + ["__w is not null"] * bool(weight)))
+    counted = inside.groupBy(*keys, *bins).agg(amount.alias(name))
+    if not fill:
+        return counted
+    grid = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    for b, e in zip(bins, edges.values(), strict=True):
+        grid = grid.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(e) - 2).cast("long"))))
+    zero = F.lit(0.0 if weight else 0).cast("double" if weight else "long")
+    grid, counted = grid.withColumn("__c", key_of([*keys, *bins])), counted.select(key_of([*keys, *bins]).alias("__c"), name)
+    return grid.join(counted, "__c", "left").select(*keys, *bins, F.coalesce(name, zero).alias(name))
+
+
 def count_occurrences(values: DataFrame, queries: DataFrame, on: list[str]) -> DataFrame:
     """For every query row, how often its features occur among the values."""
     counted = values.groupBy(*on).agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from axisframe.frame import TYPED, TensorFrame, align, concat, ncat, stack
 from axisframe.functions import elementwise as E
 from axisframe.functions import vector as V
 from axisframe.operators import boundary as B
+from axisframe.operators import decompose as D
 from axisframe.operators import generators as G
 from axisframe.operators import grid as GR
 from axisframe.operators import linalg as L
@@ -21,7 +22,7 @@ from axisframe.operators import sampling as S
 from axisframe.operators import scan as SC
 from axisframe.operators import sparse as SP
 from axisframe.operators import window as W
-from axisframe.plans.iterate import conjugate_gradient, iterate
+from axisframe.plans.iterate import bicgstab, conjugate_gradient, iterate
 from axisframe.shape import Dim, Shape, batch, channel, instance, merge_shapes, spatial
 from axisframe.sources import io as IO
 
@@ -55,6 +56,11 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return R.rank_of(e, ["user_id"], [F.col("ts"), F.col("event_id")], "i")
 
 
+def _longest(s: SparkSession, d: str) -> int:
+    """Events of the user that has most."""
+    return _t(s, d, "events").groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+
+
 _SERIES = "WITH e AS (SELECT user_id, event_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), "
 _KEYS, _ORDER = ["user_id"], ["i"]
 
@@ -133,8 +139,7 @@ def at_min_order(s, d):
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 3) AS q25, round(quantile_cont(o_totalprice, 0.5), 3) AS q50, round(quantile_cont(o_totalprice, 0.9), 3) AS q90 FROM orders GROUP BY ALL")
 def quantiles(s, d):
     t = TensorFrame(_t(s, d, "orders").select("o_orderpriority", F.col("o_totalprice").alias("value")), batch("o_orderpriority"))
-    parts = [t.quantile(q).map(lambda c: _r(c, 3)).df.withColumnRenamed("value", n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.9, "q90"))]
-    return parts[0].join(parts[1], "o_orderpriority").join(parts[2], "o_orderpriority")
+    return t.quantile({"q25": 0.25, "q50": 0.5, "q90": 0.9}).map(lambda c: _r(c, 3)).df
 
 
 @query("SELECT c_mktsegment, round(median(c_acctbal), 3) AS value FROM customer GROUP BY ALL")
@@ -204,7 +209,7 @@ def erf(s, d):
 
 @query(_SERIES + "x AS (SELECT user_id, i, round(sum(value) OVER (PARTITION BY user_id ORDER BY i), 3) AS value FROM e) SELECT user_id, i, value FROM x")
 def cumsum_user(s, d):
-    return SC.blocked_sum(_events(s, d).select("user_id", "i", "value"), _KEYS, "i", ["value"]).withColumn("value", _r(F.col("value"), 3))
+    return SC.blocked_sum(_events(s, d).select("user_id", "i", "value"), _KEYS, "i", ["value"], longest=_longest(s, d)).withColumn("value", _r(F.col("value"), 3))
 
 
 @query(_SERIES + "x AS (SELECT user_id, i, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS value FROM e) SELECT user_id, i, value FROM x")
@@ -775,7 +780,7 @@ def compare_and_logic(s, d):
 @query("SELECT CAST(c_nationkey AS BIGINT) AS nation, c_custkey, CAST(floor(c_acctbal / 700) AS BIGINT) AS q, round(c_acctbal - 700 * floor(c_acctbal / 700), 3) AS r, round(abs(c_acctbal) ** 0.5, 5) AS p FROM customer")
 def floor_divide_mod_power(s, d):
     t = _customers(s, d)
-    q, r, p = (t // 700).df.withColumnRenamed("value", "q"), _rounded((t % 700).df, "value", n=3).withColumnRenamed("value", "r"), _rounded((abs(t) ** 0.5).df, "value", n=5).withColumnRenamed("value", "p")
+    q, r, p = (t // 700).cast("bigint").df.withColumnRenamed("value", "q"), _rounded((t % 700).df, "value", n=3).withColumnRenamed("value", "r"), _rounded((abs(t) ** 0.5).df, "value", n=5).withColumnRenamed("value", "p")
     return q.join(r, ["nation", "c_custkey"]).join(p, ["nation", "c_custkey"])
 
 
@@ -921,3 +926,84 @@ def range_join_periodic(s, d):
     """Balances on a circle from -1,000 to 10,000."""
     p = _t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"))
     return N.range_join_periodic(p, p, "x", 30.0, -1000.0, 10000.0).select("l_id", "r_id", _r(F.col("distance"), 2).alias("distance"))
+
+
+# --- nearest points, radii, histograms, solvers and decompositions ---------------------------------
+
+_PARTS = "WITH p AS (SELECT p_partkey AS id, p_retailprice AS x, p_size * 20.0 AS y, (p_partkey * 37 % 101) * 5.0 AS z FROM part), q AS (SELECT o_orderkey AS k, o_totalprice / 200 AS x, (o_orderkey * 31 % 1201) * 1.0 AS y, (o_custkey * 17 % 499) * 1.0 AS z FROM orders) "
+
+
+def _places(s, d) -> tuple[DataFrame, DataFrame]:
+    """Parts by price and size, and orders as places to ask from."""
+    p = _t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("x"), (F.col("p_size") * 20.0).alias("y"), (F.col("p_partkey") * 37 % 101 * 5.0).alias("z"))
+    q = _t(s, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 200).alias("x"), (F.col("o_orderkey") * 31 % 1201 * 1.0).alias("y"), (F.col("o_custkey") * 17 % 499 * 1.0).alias("z"))
+    return p, q
+
+
+@query(_PARTS + "SELECT k, struct_extract(r, 2) AS id, round(struct_extract(r, 1), 6) AS distance FROM (SELECT k, min(row(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), id)) AS r FROM q, p GROUP BY k)")
+def nearest_2d(s, d):
+    p, q = _places(s, d)
+    return N.nearest(p, q, ["x", "y"], "id", "k").select("k", "id", _r(F.col("distance"), 6).alias("distance"))
+
+
+@query(_PARTS + "SELECT k, struct_extract(r, 2) AS id, round(struct_extract(r, 1), 6) AS distance FROM (SELECT k, min(row(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)), id)) AS r FROM q, p GROUP BY k)")
+def nearest_3d(s, d):
+    p, q = _places(s, d)
+    return N.nearest(p, q, ["x", "y", "z"], "id", "k").select("k", "id", _r(F.col("distance"), 6).alias("distance"))
+
+
+@query(
+    "WITH c AS (SELECT s_suppkey AS id, s_acctbal AS x, (s_suppkey * 37 % 1000) * 1.0 AS y, CASE WHEN s_suppkey % 50 = 0 THEN 900.0 ELSE 20.0 + s_nationkey END AS radius FROM supplier), "
+    "g AS (SELECT a.id AS l_id, b.id AS r_id, a.radius, abs(a.x - b.x) AS dx, least(abs(a.y - b.y), 1000 - abs(a.y - b.y)) AS dy FROM c a, c b) SELECT l_id, r_id, round(sqrt(dx * dx + dy * dy), 3) AS distance FROM g WHERE sqrt(dx * dx + dy * dy) <= radius"
+)
+def range_join_radii(s, d):
+    """Suppliers on a cylinder, each with a reach of its own."""
+    radius = F.when(F.col("s_suppkey") % 50 == 0, 900.0).otherwise(20.0 + F.col("s_nationkey"))
+    p = _t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") * 37 % 1000 * 1.0).alias("y"), radius.alias("radius"))
+    return N.range_join_radii(p, p, ["x", "y"], "radius", {"y": (0.0, 1000.0)}).select("l_id", "r_id", _r(F.col("distance"), 3).alias("distance"))
+
+
+@query(
+    "WITH v AS (SELECT l_returnflag, l_discount, CASE WHEN l_quantity > 45 THEN 'nan'::DOUBLE ELSE l_extendedprice END AS price, CASE WHEN l_quantity < 3 THEN -1.0 ELSE l_quantity END AS quantity FROM lineitem), "
+    "b AS (SELECT l_returnflag, CASE WHEN price < 5000 THEN 0 WHEN price < 20000 THEN 1 WHEN price < 50000 THEN 2 ELSE 3 END AS p, CASE WHEN quantity < 1 THEN NULL WHEN quantity < 10 THEN 0 WHEN quantity < 25 THEN 1 ELSE 2 END AS q, l_discount FROM v WHERE NOT isnan(price) AND price BETWEEN 0 AND 90000 AND quantity BETWEEN 1 AND 45) "
+    "SELECT f.l_returnflag, CAST(x.range AS BIGINT) AS bin_price, CAST(y.range AS BIGINT) AS bin_quantity, round(coalesce(sum(b.l_discount), 0), 2) AS value FROM (SELECT DISTINCT l_returnflag FROM lineitem) f CROSS JOIN range(4) x CROSS JOIN range(3) y LEFT JOIN b ON b.l_returnflag = f.l_returnflag AND b.p = x.range AND b.q = y.range GROUP BY 1, 2, 3"
+)
+def histogram_2d_weighted(s, d):
+    """Discounts by uneven bins of price and quantity; some prices are NaN and some quantities lie outside."""
+    t = _t(s, d, "lineitem").select("l_returnflag", "l_discount", F.when(F.col("l_quantity") > 45, F.lit(float("nan"))).otherwise(F.col("l_extendedprice")).alias("price"), F.when(F.col("l_quantity") < 3, -1.0).otherwise(F.col("l_quantity")).alias("quantity"))
+    out = R.histogram_nd(t, ["l_returnflag"], {"price": [0, 5000, 20000, 50000, 90000], "quantity": [1, 10, 25, 45]}, "l_discount", fill=True)
+    return out.withColumn("value", _r(F.col("value"), 2))
+
+
+@query(
+    "WITH RECURSIVE b AS (SELECT k.range AS half, CAST(n_nationkey AS BIGINT) AS x, round(coalesce(sum(c_acctbal) FILTER (c_custkey % 2 = k.range), 0), 2) AS value FROM nation CROSS JOIN range(2) k LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2), "
+    "f AS (SELECT half, 0 AS i, -1 / (8.0::DOUBLE + half) AS c, value / (8.0::DOUBLE + half) AS d FROM b WHERE x = 0 UNION ALL SELECT f.half, f.i + 1, -1 / (8 + f.half + 2 * f.c), (b.value + 2 * f.d) / (8 + f.half + 2 * f.c) FROM f JOIN b ON b.x = f.i + 1 AND b.half = f.half), "
+    "r AS (SELECT half, CAST(24 AS BIGINT) AS i, d AS x FROM f WHERE i = 24 UNION ALL SELECT r.half, r.i - 1, f.d - f.c * r.x FROM r JOIN f ON f.i = r.i - 1 AND f.half = r.half) SELECT half, i AS row, round(x, 2) AS x FROM r"
+)
+def solve_nonsymmetric(s, d):
+    """Two drifting systems over the nations, (8 or 9, -2 below, -1 above) x = balances of half of the customers, together."""
+    n = _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("row")).withColumn("half", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    c = _t(s, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("row"), (F.col("c_custkey") % 2).alias("half")).agg(F.sum("c_acctbal").alias("y"))
+    y = n.join(c, ["row", "half"], "left").select("half", "row", _r(F.coalesce("y", F.lit(0.0)), 2).alias("y"))
+    entries = F.array(F.struct(F.lit(0).alias("o"), (8.0 + F.col("half")).alias("value")), F.struct(F.lit(-1).alias("o"), F.lit(-2.0).alias("value")), F.struct(F.lit(1).alias("o"), F.lit(-1.0).alias("value")))
+    a = n.select("half", "row", F.explode(entries).alias("e")).select("half", "row", (F.col("row") + F.col("e.o")).alias("col"), F.col("e.value").alias("value")).where("col between 0 and 24")
+    return bicgstab(a, y, "row", "col", batch=["half"], tolerance=1e-9).select("half", "row", _r(F.col("x"), 2).alias("x"))
+
+
+@query(
+    "WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS c FROM embeddings), g AS (SELECT a.c AS i, b.c AS j, sum(a.x * b.x) AS v FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2) "
+    "SELECT 1 AS power, round(sum(v) FILTER (i = j), 2) AS moment FROM g UNION ALL SELECT 2, round(sum(v * v), 1) FROM g UNION ALL SELECT 3, round(sum(x.v * y.v * z.v), 0) FROM g x JOIN g y ON y.i = x.j JOIN g z ON z.i = y.j AND z.j = x.i"
+)
+def singular_moments(s, d):
+    """Sums of the embeddings' singular values to the powers 2, 4 and 6: traces of powers of their Gram matrix."""
+    values = D.svd(_t(s, d, "embeddings"), "vec_id", "embedding").values
+    return s.createDataFrame([(k, round(float((values ** (2 * k)).sum()), n)) for k, n in ((1, 2), (2, 1), (3, 0))], "power int, moment double")
+
+
+@query("SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 4) AS squared, round(list_sum(CAST(embedding AS DOUBLE[])), 4) + 0.0 AS total FROM embeddings")
+def singular_vectors(s, d):
+    """Rows put together again from singular vectors and values: their squared norms and sums."""
+    out = D.svd(_t(s, d, "embeddings"), "vec_id", "embedding")
+    scaled = F.zip_with("left", F.array(*[F.lit(float(x)) for x in out.values]), lambda u, x: u * x)
+    sums = F.array(*[F.lit(float(x)) for x in out.right.sum(0)])
+    return out.left.withColumn("us", scaled).select("vec_id", _r(L.dot_arrays(F.col("us"), F.col("us"))).alias("squared"), (_r(L.dot_arrays(F.col("us"), sums)) + 0.0).alias("total"))
