@@ -101,6 +101,13 @@ class _Windows:
         done = None
         if self.new and self.sums[-1] + turn[2] > self.budget:
             done = self.close()
+        if not self.new and self.sums[-1] + turn[2] > self.budget:
+            # history gives way, the oldest turn first; the system turn stays
+            kept = [t for t in self.repeated if t is not self.system]
+            room = self.budget - turn[2] - (self.system[2] if self.system else 0)
+            while kept and sum(t[2] for t in kept) > room:
+                kept.pop(0)
+            self._start(([self.system] if self.system else []) + kept)
         if self.window == 0 and not self.new and role == "system" and self.system is None:
             self.system = turn
         self.new.append(turn)
@@ -130,8 +137,9 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
 
     Turns come by turn, then role, then text, nulls first; repeated rows are turns of their own. Null roles
     and texts are empty; rows with a null id form one conversation. ``count`` gives the tokens of formatted turns,
-    so the template and its escapes are inside the budget. A turn beyond the budget is kept whole
-    in a window of its own, besides what is repeated. An empty table gives no windows. Rows stream through a
+    so the template and its escapes are inside the budget. History is given up, the oldest
+    turn first, where the next turn needs its room; a turn that is beyond the budget even with the system turn alone
+    is kept whole in a window of its own with that, the only kind of window beyond the budget. An empty table gives no windows. Rows stream through a
     task in order, so a very long conversation needs no more memory than its longest window. Other columns are ignored.
     """
 

@@ -100,6 +100,10 @@ def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (percent * (n + m) + 99 + percent) // (100 + percent)
 
 
+#: Sets that a task remembers to have posted: those forgotten are posted once more, as by another task.
+DONE = 1 << 18
+
+
 def _postings(k: int, percent: int, hot):
     """Prefix postings (shingle, doc_id, n, pos); a set that a task has posted isn't posted by it again."""
     schema = pa.schema([("shingle", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
@@ -114,6 +118,8 @@ def _postings(k: int, percent: int, hot):
                 post = np.zeros(b - a, bool)
                 for i, key in enumerate(zip(d1.tolist(), d2.tolist(), strict=True)):
                     if size[i] and key not in done:
+                        if len(done) >= DONE:
+                            done.clear()
                         done.add(key)
                         post[i] = True
                 own = post[rows]

@@ -151,6 +151,10 @@ def keyed(code: np.ndarray, char: np.ndarray, n: np.ndarray, salt: np.ndarray, t
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+#: Lines that a task remembers to have posted: those forgotten are posted once more, as by another task.
+DONE = 1 << 18
+
+
 def _postings(tau: int, similarity: float, bits: int):
     """Packed (key, line): a line's name is even, its last bit tells the line's own segments from probes."""
 
@@ -177,6 +181,8 @@ def _postings(tau: int, similarity: float, bits: int):
                 fresh = []
                 for i, x in enumerate(names[a:b].tolist()):
                     if x not in done:
+                        if len(done) >= DONE:
+                            done.clear()
                         done.add(x)
                         fresh.append(i)
                 fresh = np.array(fresh, np.int64)

@@ -174,14 +174,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, row_col: str | None = None) -> DataFrame:
     """One row per document row: doc_id, held_out, score (0 to 1, calibrated), predicted (1 from ``threshold`` on).
 
     Learns from at most ``sample_rows`` labelled documents that aren't held out; null labels, null ids and
     labels without a document are left out, repeated labels of an id count as their largest. Null and empty
     texts are scored like any other, from features that are all 0. With one class of labels or none, every
     score is that class's rate (0 without labels). A lexicon entry needs at least 3 and 1 % of the toxic texts it is
-    mined from and 4 times its share of the others; at most LEXICON_SIZE entries stay, the clearest first. Only texts make a score; other columns are ignored.
+    mined from and 4 times its share of the others; at most LEXICON_SIZE entries stay, the clearest first. Only texts make a score; other columns are ignored. With ``row_col``, a column of row numbers,
+    the result has it in place of doc_id and held_out.
     """
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -197,6 +198,8 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
     grow, check = fitted.where("part < 8"), fitted.where("part >= 8")
     classes = lambda df: {int(r[0]): r[1] for r in df.groupBy("label").count().collect()}
     grown, checked, every = classes(grow), classes(check), classes(marks)
+    if row_col:
+        docs = documents.select(F.col(f"`{row_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     all_docs = docs.withColumn("label", F.lit(None).cast("double")).withColumn("part", F.lit(0))
     if len(grown) < 2:
         rate = every.get(1, 0) / max(1, sum(every.values()))
@@ -212,4 +215,6 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
         else:
             scored = scored.select("doc_id", F.col("chance").alias("score"))
     score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
+    if row_col:
+        return scored.select(F.col("doc_id").alias(row_col), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
