@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from axisframe.llm._store import cut
 from axisframe.llm.decontaminate import decontaminate
@@ -13,15 +14,22 @@ from axisframe.llm.toxicity import toxicity_scores
 from axisframe.llm.unigram import encode_pieces
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id isn't in ``gone``; rows with a null id stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents written once with numbers of their rows, and the numbers' column: stages decide by row, whatever the ids are."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def _without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    return docs.join(gone.select(row), row, "left_anti").drop(row)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.where("predicted = 1"))
+    docs, row = _numbered(docs)
+    return _without(docs, row, toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row).where("predicted = 1"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +38,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, the document with the smallest id stays."""
-    return _without(docs, jaccard_components(docs).where("component_id <> doc_id"))
+    """Of each component, the row with the smallest id stays (null ids last, then by row); documents without words stay."""
+    docs, row = _numbered(docs)
+    found = jaccard_components(docs, id_col=row).where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+    found = cut(found.join(docs.select(row, F.col("doc_id").alias("own_id")), row), "components")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("null"), "own_id", F.col(row).alias("row"))).alias("first"))
+    return _without(docs, row, found.join(first, "component_id").where(F.col(row) != F.col("first.row")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0"))
+    docs, row = _numbered(docs)
+    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).where("n_hit > 0")
+    return _without(docs, row, hit.select(F.col("doc_id").alias(row)))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
