@@ -96,3 +96,23 @@ def test_memories_that_forget_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(LD, "DONE", 2)
     monkeypatch.setattr(J, "DONE", 2)
     assert (read(line_classes(docs)), read(jaccard_components(sets))) == want
+
+
+def test_rows_of_files_keep_their_numbers(spark, tmp_path):
+    """However the files are split, a row has one number; tables that aren't files are numbered, too."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    df = spark.range(3000).selectExpr("id as doc_id", "repeat(cast(id as string), 20) as text", "'r' as row")
+    df.repartition(3).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    numbers = lambda: {r.doc_id: r[name] for r in pipeline._numbered(docs)[0].collect()}
+    name = pipeline._numbered(docs)[1]
+    assert name not in docs.columns
+    whole = numbers()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        assert numbers() == whole and len(set(whole.values())) == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    made, row = pipeline._numbered(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"))
+    assert len({r[row] for r in made.collect()}) == 2
