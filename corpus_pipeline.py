@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +16,23 @@ from axisframe.llm.unigram import encode_pieces
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents written once with numbers of their rows, and the numbers' column: stages decide by row, whatever the ids are."""
-    row = "row"
-    while row in docs.columns:
-        row += "_"
-    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    """The documents with numbers of their rows, and the numbers' column: stages decide by row, whatever the ids are.
+
+    A row of a file table has the file's number and its place in the file, which are the same in every job. Any other
+    table is written once with numbers.
+    """
+    row, file, place = "row", "file", "place"
+    while {row, file, place} & set(docs.columns):
+        row, file, place = f"{row}_", f"{file}_", f"{place}_"
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:  # not a table of files
+        return cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    # as many rows as files, whose list the driver has already
+    names = sorted(r[0] for r in placed.select(file).distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), f"{file} string, {row} long")
+    numbered = placed.join(F.broadcast(files), file).withColumn(row, F.shiftleft(F.col(row), 40) + F.col(place))
+    return numbered.select(*docs.columns, row), row
 
 
 def _without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
