@@ -229,6 +229,12 @@ class TensorFrame:
             raise ValueError(f"{dim} has size {self.dims[dim].size}")
         return self.with_df(self.df.drop(dim), self.dims.without(dim))
 
+    def swap_axes(self, a: str, b: str) -> TensorFrame:
+        """Two dimensions' places in the order of dimensions, and of columns, exchanged; cells stay what they are."""
+        names = [{a: b, b: a}.get(n, n) for n in self.dims.names]
+        dims = self.dims.only(names, reorder=True)
+        return self.with_df(self.df.select(*dims.names, *self.values), dims)
+
     def unstack(self, dim: str) -> list[TensorFrame]:
         """A frame per index of a dimension of known size."""
         return [self[{dim: i}] for i in range(self.dims[dim].size)]

@@ -26,8 +26,20 @@ def sum_duplicates(coo: DataFrame, row: str, col: str, value: str = "value") ->
     return coo.groupBy(row, col).agg(F.sum(value).alias(value))
 
 
-def matmul(a: DataFrame, b: DataFrame, row: str, inner: str, col: str, left: str = "a", right: str = "b") -> DataFrame:
-    """Product of coordinate matrices a(row, inner, left) and b(inner, col, right)."""
+def products(a: DataFrame, b: DataFrame, inner: str) -> int:
+    """How many products of entries a multiplication takes: a bound of the result's entries, from two counts for each inner index."""
+    n, m = (x.groupBy(inner).agg(F.count("*").alias(c)) for x, c in ((a, "n"), (b, "m")))
+    return int(n.join(m, inner).agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("m"))).first()[0] or 0)
+
+
+def matmul(a: DataFrame, b: DataFrame, row: str, inner: str, col: str, left: str = "a", right: str = "b", most_products: int | None = None) -> DataFrame:
+    """Product of coordinate matrices a(row, inner, left) and b(inner, col, right).
+
+    Products are summed where they are made before they are shuffled; a frequent inner index is split by Spark's
+    adaptive skew join. With ``most_products`` they are counted first, and more of them raise.
+    """
+    if most_products is not None and (count := products(a, b, inner)) > most_products:
+        raise ValueError(f"{count} products are more than {most_products}")
     return a.join(b, inner).groupBy(row, col).agg(F.sum(F.col(left) * F.col(right)).alias("value"))
 
 
@@ -35,9 +47,13 @@ def matvec(a: DataFrame, x: DataFrame, row: str, inner: str, value: str, vec: st
     return a.join(x, inner).groupBy(row).agg(F.sum(F.col(value) * F.col(vec)).alias(vec))
 
 
-def to_csr(coo: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """A row's entries in an array, in column order."""
-    return coo.groupBy(row).agg(F.sort_array(F.collect_list(F.struct(F.col(col).alias("col"), F.col(value).alias("value")))).alias("entries"))
+#: Columns that one array of a compressed row spans.
+ROW_BLOCK = 1 << 16
+
+
+def to_csr(coo: DataFrame, row: str, col: str, value: str, width: int = ROW_BLOCK) -> DataFrame:
+    """A row's entries in arrays in column order, one for each block of ``width`` columns that has any, so that a full row is no one array."""
+    return coo.groupBy(row, F.floor(F.col(col) / width).alias("block")).agg(F.sort_array(F.collect_list(F.struct(F.col(col).alias("col"), F.col(value).alias("value")))).alias("entries"))
 
 
 def from_csr(csr: DataFrame, row: str, col: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisframe.plans.lineage import cut
+
 #: Places in a block: what one task sorts of a series.
 BLOCK = 1 << 12
 
@@ -40,3 +42,17 @@ def blocked_sum(df: DataFrame, keys: list[str], order: str, values: list[str], i
     offsets = offsets.select("__k", "__b", *[(F.col(f"__o_{v}") + F.col(f"__w_{v}")).alias(f"__o_{v}") for v in values])
     out = dealt.withColumns({v: F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).join(offsets, ["__k", "__b"])
     return out.withColumns({v: F.col(v) + F.col(f"__o_{v}") for v in values}).select(*df.columns)
+
+
+def sorted_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Rank from 0 inside each group, of any size: rows are sorted over all tasks and numbered part by part.
+
+    The sorted table is written once; a row's rank is its place in its part and group, and the group's rows in
+    the parts before. Null keys are a group. Rows that tie in ``order`` come in any order.
+    """
+    rows = cut(df.withColumn("__k", key_of(keys)).orderBy("__k", *order).withColumn("__n", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__n", 33)), "sorted")
+    sizes = rows.groupBy("__k", "__part").agg(F.count("*").alias("__c"))  # a group's parts are consecutive: as many as it fills
+    before = Window.partitionBy("__k").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__k", "__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__k", "__part").orderBy("__n")) - 1
+    return rows.withColumn("__i", inside).join(sizes, ["__k", "__part"]).select(*df.columns, (F.col("__i") + F.col("__before")).cast("long").alias(name))

@@ -80,6 +80,13 @@ def to_compact(coo: DataFrame, row: str, col: str, value: str = "value") -> Data
     return entries.select(row, F.transform(slots, lambda s: s["col"]).alias("cols"), F.transform(slots, lambda s: s["value"]).alias("values"))
 
 
+def compressed_to_compact(csr: DataFrame, row: str, entries: str = "entries") -> DataFrame:
+    """From one array of entries a row, without going through single entries again."""
+    most = csr.agg(F.max(F.size(entries))).first()[0] or 0
+    slots = F.transform(F.sequence(F.lit(0), F.lit(max(0, most - 1))), lambda i: F.coalesce(F.get(entries, i), F.struct(F.lit(-1).cast("long").alias("col"), F.lit(0.0).alias("value"))))
+    return csr.select(row, F.transform(slots, lambda s: s["col"]).alias("cols"), F.transform(slots, lambda s: s["value"]).alias("values"))
+
+
 def from_compact(compact: DataFrame, row: str, col: str, value: str = "value") -> DataFrame:
     entries = F.filter(F.arrays_zip("cols", "values"), lambda e: e["cols"] >= 0)
     return compact.select(row, F.explode(entries).alias("e")).select(row, F.col("e.cols").alias(col), F.col("e.values").alias(value))

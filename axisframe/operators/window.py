@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisframe.functions.elementwise import is_finite, nan
+from axisframe.operators.scan import key_of
 
 
 def over(keys: list[str], order: list[str]) -> Window:
@@ -64,7 +65,17 @@ def convolve(value: Column, keys: list[str], order: list[str], kernel: list[floa
     return out
 
 
+def softmax(df: DataFrame, keys: list[str], value: str, name: str | None = None) -> DataFrame:
+    """exp(value) over its sum in each group, by two aggregates joined back, so that no group is one task; null keys are a group."""
+    name, rows = name or value, df.withColumn("__k", key_of(keys))
+    most = rows.groupBy("__k").agg(F.max(value).alias("__m"))
+    rows = rows.join(most, "__k").withColumn("__e", F.exp(F.col(value) - F.col("__m")))
+    total = rows.groupBy("__k").agg(F.sum("__e").alias("__s"))
+    return rows.join(total, "__k").withColumn(name, F.col("__e") / F.col("__s")).drop("__k", "__m", "__e", "__s")
+
+
 def soft_max(value: Column, keys: list[str]) -> Column:
+    """As :func:`softmax`, as a window expression for groups that fit a task."""
     w = Window.partitionBy(*keys)
     e = F.exp(value - F.max(value).over(w))
     return e / F.sum(e).over(w)

@@ -219,7 +219,7 @@ def exclusive_cumsum(s, d):
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS rank FROM events")
 def sort_rank(s, d):
-    return R.rank_of(_t(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], [F.col("value"), F.col("event_id")]).select("user_id", "event_id", "rank")
+    return SC.sorted_rank(_t(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], [F.col("value"), F.col("event_id")]).select("user_id", "event_id", "rank")
 
 
 @query(_SERIES + "x AS (SELECT user_id, i, coalesce(lag(value) OVER w, value) AS low, coalesce(lead(value) OVER w, value) AS up, coalesce(lead(value, 2) OVER w, 0) AS two FROM e WINDOW w AS (PARTITION BY user_id ORDER BY i)) SELECT * FROM x")
@@ -254,7 +254,7 @@ def convolve_1d(s, d):
 @query("SELECT o_orderkey, round(exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY o_custkey), 6) AS value FROM (SELECT o_orderkey, o_custkey, o_totalprice / 100000 AS x, max(o_totalprice / 100000) OVER (PARTITION BY o_custkey) AS m FROM orders)")
 def softmax_group(s, d):
     o = _t(s, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 100000).alias("x"))
-    return o.select("o_orderkey", _r(W.soft_max(F.col("x"), ["o_custkey"]), 6).alias("value"))
+    return W.softmax(o, ["o_custkey"], "x").select("o_orderkey", _r(F.col("x"), 6).alias("value"))
 
 
 @query(_SERIES + "x AS (SELECT user_id, i // 2 AS i, round(avg(value), 4) AS value FROM e GROUP BY ALL) SELECT * FROM x")
@@ -1007,3 +1007,6 @@ def singular_vectors(s, d):
     scaled = F.zip_with("left", F.array(*[F.lit(float(x)) for x in out.values]), lambda u, x: u * x)
     sums = F.array(*[F.lit(float(x)) for x in out.right.sum(0)])
     return out.left.withColumn("us", scaled).select("vec_id", _r(L.dot_arrays(F.col("us"), F.col("us"))).alias("squared"), (_r(L.dot_arrays(F.col("us"), sums)) + 0.0).alias("total"))
+
+
+from axisframe import function_queries  # noqa: E402, F401  registers its queries beside these

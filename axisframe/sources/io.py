@@ -12,17 +12,25 @@ _KEY = "axisframe.shape"
 
 
 def save(tf: TensorFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write the frame; its shape goes into the first column's metadata, so no side file can be lost."""
-    first = tf.df.columns[0]
+    """Write the frame; its shape goes into the metadata of the first column that the files hold, so no side file can be lost."""
+    first = next(c for c in tf.df.columns if c not in (partition_by or []))
     df = tf.df.withMetadata(first, {_KEY: tf.dims.to_json(), "values": list(tf.values)})
     df.write.mode("errorifexists").partitionBy(*(partition_by or [])).parquet(path)
 
 
-def load(spark: SparkSession, path: str | list[str]) -> TensorFrame:
-    """Read frames written by :func:`save`; columns and row groups are pruned by what is used of them."""
+def load(spark: SparkSession, path: str | list[str], components: list[str] | None = None) -> TensorFrame:
+    """Read frames written by :func:`save`, whole or some of their components; columns and row groups are pruned by what is used of them.
+
+    A folder of saved frames that share their dimensions can be read at once, as can a list of such folders.
+    """
     df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     meta = next(f.metadata for f in df.schema.fields if _KEY in f.metadata)
-    return TensorFrame(df, Shape.from_json(meta[_KEY]), tuple(meta["values"]))
+    dims, values = Shape.from_json(meta[_KEY]), list(meta["values"])
+    unknown = set(components or ()) - set(values)
+    if unknown:
+        raise ValueError(f"no components {sorted(unknown)} among {values}")
+    values = values if components is None else components
+    return TensorFrame(df.select(*dims.names, *values), dims, tuple(values))
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

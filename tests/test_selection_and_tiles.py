@@ -300,3 +300,37 @@ def test_log_gamma_everywhere(spark):
     assert all(close(g, math.lgamma(x)) for g, x in zip(got, xs, strict=True))
     odd = [r[0] for r in spark.createDataFrame([(0.0,), (-3.0,), (INF,), (-INF,), (NAN,)], "x double").select(E.log_gamma(F.col("x"))).collect()]
     assert odd[:4] == [INF] * 4 and math.isnan(odd[4])
+
+
+def test_ranks_and_softmax_of_groups_over_all_tasks(spark, keyed):
+    from axisframe.operators import window as W
+
+    got = {(r.k, r.j, r.i): r.rank for r in SC.sorted_rank(keyed, ["k", "j"], [F.desc("value")]).collect()}
+    assert got == {(k, j, i): 5 - i for k, j in ((None, 1), ("a", 1), (None, None)) for i in range(6)}
+    many = spark.range(5000).select(F.lit(None).cast("string").alias("k"), ((F.col("id") * 7919) % 5000).alias("v"))
+    assert all(r.rank == r.v for r in SC.sorted_rank(many, ["k"], [F.col("v")]).collect())
+    soft = W.softmax(keyed, ["k", "j"], "value", "share").collect()
+    total = sum(math.exp(i) for i in range(6))
+    assert len(soft) == 18 and all(close(r.share, math.exp(r.i) / total) for r in soft)
+
+
+def test_full_rows_are_several_arrays(spark):
+    coo = spark.createDataFrame([(0, c, float(c)) for c in range(50)] + [(1, 3, 1.0)], "row long, col long, value double")
+    csr = L.to_csr(coo, "row", "col", "value", width=16)
+    assert {(r.row, r.block, len(r.entries)) for r in csr.collect()} == {(0, 0, 16), (0, 1, 16), (0, 2, 16), (0, 3, 2), (1, 0, 1)}
+    assert sorted(map(tuple, L.from_csr(csr, "row", "col", "value").collect())) == sorted(map(tuple, coo.collect()))
+    a, b = coo.withColumnsRenamed({"value": "a", "col": "m"}), coo.withColumnsRenamed({"value": "b", "row": "m"})
+    assert L.products(a, b, "m") == 51  # index 0: one entry by the 50 of row 0; index 1: one by one; index 3 meets nothing below row 2
+    with pytest.raises(ValueError):
+        L.matmul(a, b, "row", "m", "col", most_products=10)
+
+
+def test_components_are_read_alone(spark, tmp_path):
+    from axisframe.sources import io as IO
+
+    t = TensorFrame(spark.createDataFrame([(0, 1.0, 2.0)], "i long, u double, v double"), instance(i=1), ("u", "v"))
+    IO.save(t, str(tmp_path / "f"))
+    back = IO.load(spark, str(tmp_path / "f"), ["v"])
+    assert back.values == ("v",) and back.df.columns == ["i", "v"] and back.dims == t.dims
+    with pytest.raises(ValueError):
+        IO.load(spark, str(tmp_path / "f"), ["w"])
