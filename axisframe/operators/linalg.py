@@ -28,8 +28,8 @@ def sum_duplicates(coo: DataFrame, row: str, col: str, value: str = "value") ->
 
 def products(a: DataFrame, b: DataFrame, inner: str) -> int:
     """How many products of entries a multiplication takes: a bound of the result's entries, from two counts for each inner index."""
-    n, m = (x.groupBy(inner).agg(F.count("*").alias(c)) for x, c in ((a, "n"), (b, "m")))
-    return int(n.join(m, inner).agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("m"))).first()[0] or 0)
+    n, m = (x.groupBy(inner).agg(F.count("*").alias(c)) for x, c in ((a, "__n"), (b, "__m")))
+    return int(n.join(m, inner).agg(F.sum(F.col("__n").cast("decimal(38,0)") * F.col("__m"))).first()[0] or 0)
 
 
 def matmul(a: DataFrame, b: DataFrame, row: str, inner: str, col: str, left: str = "a", right: str = "b", most_products: int | None = None) -> DataFrame:

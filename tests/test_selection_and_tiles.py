@@ -57,6 +57,15 @@ def test_null_keys_are_keys(keyed):
     assert of(GR.neighbor_reduce(keyed, {"i": 6}, keys, F.max), "i", "value") == {(*k, i, float(base[k] + min(i + 1, 5))) for k in every for i in range(6)}
     counted = R.histogram_nd(keyed, keys, {"i": [0, 3, 5]}, fill=True)
     assert of(counted, "bin_i", "value") == {(*k, b, 3) for k in every for b in (0, 1)}
+    for rule, low in ((7.0, 7.0), (B.boundary, None), (B.symmetric_gradient, None), ((B.periodic, 7.0), None)):
+        padded = {(r.k, r.j, r.i): r.value for r in B.pad(keyed, "i", 6, 1, 1, rule, keys=keys).collect()}
+        assert len(padded) == 24 and all(padded[*k, i + 1] == base[k] + i for k in every for i in range(6))
+        assert low is None or all(padded[*k, 0] == low for k in every)
+    holds = keyed.select(*keys).distinct().withColumn("holds", F.col("k").isNull())
+    padded = {(r.k, r.j): r.value for r in B.pad_where(keyed, "i", 6, 1, 0, holds, B.boundary, 7.0, keys=keys).where("i = 0").collect()}
+    assert padded == {k: (base[k] if k[0] is None else 7.0) for k in every}
+    both = B.pad_directed(keyed.withColumn("w", F.col("value")), "i", 6, 1, 0, "w", (0.0, B.boundary), ["value", "w"], keys=keys)
+    assert {(r.k, r.j, r.value, r.w) for r in both.where("i = 0").collect()} == {(*k, float(base[k]), 0.0) for k in every}
     t = TensorFrame(keyed, merge_shapes(batch("k,j"), instance(i=6)))
     shares = t / t.sum("i")
     assert shares.df.count() == 18 and close(shares.df.agg(F.sum("value")).first()[0], 3.0)
