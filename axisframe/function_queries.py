@@ -99,7 +99,7 @@ def losses(s, d):
 
 
 @query(
-    "WITH n AS (SELECT count(*) AS n FROM customer) SELECT range AS x, 0.0 AS zero, 1.0 AS one, 3 * range + 2 AS index, range + 5 AS batch_range, range AS spatial_range FROM range((SELECT n FROM n))"
+    "WITH n AS (SELECT count(*) AS n FROM customer) SELECT range AS x, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS one, 3 * range + 2 AS index, range + 5 AS batch_range, range AS spatial_range FROM range((SELECT n FROM n))"
 )
 def zeros_ones_ranges(s, d):
     """Grids of as many cells as there are customers."""
@@ -119,7 +119,7 @@ def ranges_by_kind(s, d):
     return reduce(lambda a, b: a.join(b, "x"), out).withColumn("kinds", F.lit(",".join(t.dims.kinds[0] for t in frames)))
 
 
-@query("SELECT l_returnflag, true AS inside, true AS centred, true AS spread, 0.0 AS zero, 1.0 AS one, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, true AS inside, true AS centred, true AS spread, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS one, count(*) AS n FROM lineitem GROUP BY 1")
 def random_draws(s, d):
     """Draws beside each line item: bounds and moments; zeros and ones like the table's columns."""
     df = G.random_normal(G.random_uniform(_t(s, d, "lineitem").select("l_returnflag", "l_quantity", "l_discount"), "u", 2.0, 5.0, seed=1), "z", seed=2)
@@ -230,7 +230,7 @@ def pad_where_segment(s, d):
 
 
 @query(
-    _MATRIX + ", n AS (SELECT count(*) AS n, round(sum(value), 1) AS total FROM a) SELECT row, col, row * 10.0 + col AS formula, round(value, 1) AS other, round(n / 175.0, 6) AS sparsity, n AS stored, total, true AS same, n > 1 AND false AS turned FROM a, n"
+    _MATRIX + ", n AS (SELECT count(*) AS n, round(sum(value), 1) AS total FROM a) SELECT row, col, row * 10.0::DOUBLE + col AS formula, round(value, 1) AS other, round(n / 175.0, 6) AS sparsity, n AS stored, total, true AS same, n > 1 AND false AS turned FROM a, n"
 )
 def sparse_patterns(s, d):
     """New values on a pattern, what is stored, and whether patterns are the same; through the compact form and back."""
@@ -273,7 +273,7 @@ def stored_frames(s, d):
     return sums.join(folders.withColumn("listed", F.lit(True)), "folder")
 
 
-@query("SELECT CAST(c_nationkey AS BIGINT) AS nation, round(sum(c_acctbal), 2) AS minus, round(2 * sum(c_acctbal), 2) AS double, round(1000 / sum(c_acctbal), 8) AS under, CAST(floor(1e9 / sum(c_acctbal)) AS BIGINT) AS floor, 2.0 ** 3 AS power FROM customer GROUP BY 1")
+@query("SELECT CAST(c_nationkey AS BIGINT) AS nation, round(sum(c_acctbal), 2) AS minus, round(2 * sum(c_acctbal), 2) AS double, round(1000 / sum(c_acctbal), 8) AS under, CAST(floor(1e9 / sum(c_acctbal)) AS BIGINT) AS floor, 2.0::DOUBLE ** 3 AS power FROM customer GROUP BY 1")
 def reflected_operators(s, d):
     """Numbers on the left of frames."""
     t = _nations(s, d, "customer", "c_nationkey", "c_acctbal")
