@@ -344,6 +344,38 @@ def test_passages_with_regularly_changed_words(spark):
     assert got == {(1000 + 100 * n + c, 100 * n + c) for n in range(4) for c in range(5)}
 
 
+def _common_words(x, y):
+    row = [0] * (len(y) + 1)
+    for w in x:
+        new = [0]
+        for j, v in enumerate(y):
+            new.append(row[j] + 1 if w == v else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("kinds", ["change", "change, add, leave out"])
+def test_changed_passages_amid_fragments(spark, kinds):
+    """Fragments of 20 words of a passage stand before each of its copies: copies that are 0.8 equal to an earlier one, by common subsequences, are found."""
+    r, rows, texts = random.Random(12), [], {}
+    bases = [words_of(60, 2000 + f) for f in range(12)]
+    for copy, rate in enumerate((0, 0.03, 0.06, 0.09)):
+        for f, base in enumerate(bases):
+            for _ in range(5):
+                a = r.randrange(41)
+                rows.append((len(rows), " ".join(words_of(15, 10**6 + len(rows)) + base[a : a + 20] + words_of(15, 2 * 10**6 + len(rows)))))
+            own = []
+            for w in base:
+                kind = r.choice(kinds.split(", ")) if r.random() < rate else "keep"
+                own += {"keep": [w], "change": [f"x{r.random()}"], "add": [w, f"x{r.random()}"], "leave out": []}[kind]
+            texts[len(rows)] = (f, own)
+            rows.append((len(rows), " ".join(words_of(20, 3 * 10**6 + len(rows)) + own + words_of(20, 4 * 10**6 + len(rows)))))
+    want = {d for d, (f, x) in texts.items() for e, (g, y) in texts.items() if e < d and f == g and min(len(x), len(y)) >= 50 and _common_words(x, y) >= 0.8 * max(len(x), len(y))}
+    found = repeated_passages(table(spark, rows)).collect()
+    assert len(want) >= 30 and len(want & {p.doc_id for p in found}) >= 0.9 * len(want)
+    assert {p.doc_id for p in found} <= set(texts) and all(p.n_equal >= 0.8 * max(p.end_word - p.start_word, p.ref_end - p.ref_start) for p in found)
+
+
 def test_verbatim_passages_amid_nested_boilerplate(spark):
     """All words of runs of 50 words that an earlier document has, against brute force over all pairs."""
     r, line = random.Random(6), words_of(90, 3)
