@@ -11,7 +11,7 @@ from axisframe.llm import jaccard_join as J
 from axisframe.llm.decontaminate import decontaminate
 from axisframe.llm.exact_dedup import build_filter, dedup_batch, exact_dedup, in_filter, write_snapshot
 from axisframe.llm.line_dedup import dedup_lines, edit_distance, line_classes, line_report, probes, segments
-from axisframe.llm.substring_dedup import align, chains, passages, remove_passages, repeated_passages
+from axisframe.llm.substring_dedup import align, chains, denser, passages, remove_passages, repeated_passages
 
 np = pytest.importorskip("numpy")
 SCHEMA = "doc_id long, text string, key string, rep long, line long, start int, bucket long, words string"
@@ -354,6 +354,18 @@ def _common_words(x, y):
     return row[-1]
 
 
+def test_denser_chains_over_missing_and_repeated_words():
+    x = np.arange(120, dtype=np.uint32)
+    y = np.delete(x, [45, 80])
+    y[60] = 999
+    got = passages(x, y, np.array([[62, 66, 61]]))
+    assert got and max(b - a for a, b, *_ in got) >= 60 and all(e >= 0.8 * max(b - a, d - c) for a, b, c, d, e in got)
+    same = np.full(100, 7, np.uint32)  # every run equals every other one
+    for c in denser(same, same, np.array([[40, 60, 40]])):
+        assert all((same[s:e] == same[o : o + e - s]).all() for s, e, o in c.tolist())
+    assert denser(same, same, np.array([[40, 60, 40]])) and not denser(x, x[::-1], np.array([[40, 44, 40]])) and not denser(x[:2], x, np.array([[0, 2, 0]]))
+
+
 @pytest.mark.parametrize("kinds", ["change", "change, add, leave out"])
 def test_changed_passages_amid_fragments(spark, kinds):
     """Fragments of 20 words of a passage stand before each of its copies: copies that are 0.8 equal to an earlier one, by common subsequences, are found."""
