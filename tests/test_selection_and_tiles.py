@@ -343,3 +343,25 @@ def test_components_are_read_alone(spark, tmp_path):
     assert back.values == ("v",) and back.df.columns == ["i", "v"] and back.dims == t.dims
     with pytest.raises(ValueError):
         IO.load(spark, str(tmp_path / "f"), ["w"])
+
+
+
+@pytest.mark.parametrize("kind", ["frequent", "both", "rare"])
+def test_shared_elements_by_bits_and_joins(spark, kind):
+    """Frequent elements as bits, in words, and the others joined; repeated rows and nulls."""
+    from axisframe.operators import sampling as S
+
+    r = random.Random(3)
+    common = [(i, e) for i in range(40) for e in range(-70, 0) if r.random() < 0.7] if kind != "rare" else []
+    rare = [(r.randrange(40), r.randrange(1, 200)) for _ in range(150)] if kind != "frequent" else []
+    rows = [*common, *rare, *common[:9], *rare[:9], (None, 1), (3, None), (77, 999)]
+    held = {}
+    for i, e in rows:
+        if i is not None and e is not None:
+            held.setdefault(i, set()).add(e)
+    want = {(a, b): n for a in held for b in held if a != b and (n := len(held[a] & held[b]))}
+    out = S.count_intersections(spark.createDataFrame(rows, "i long, e long"), "i", "e")
+    got = out.collect()
+    assert len(got) == len(want) and {(x.a, x.b): x.n for x in got} == want
+    if kind == "frequent":  # a pair is counted where it is made
+        assert "bit_count" in out._jdf.queryExecution().analyzed().toString()
