@@ -365,3 +365,11 @@ def test_shared_elements_by_bits_and_joins(spark, kind):
     assert len(got) == len(want) and {(x.a, x.b): x.n for x in got} == want
     if kind == "frequent":  # a pair is counted where it is made
         assert "bit_count" in out._jdf.queryExecution().analyzed().toString()
+
+
+
+def test_probed_cells_are_not_broadcast(spark):
+    """The copies of a small table in the cells that are probed outgrow the driver, whatever Spark estimates."""
+    p = spark.range(50).select("id", F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(2.0).alias("radius"))
+    for out in (N.range_join(p, p, ["x", "y"], 5.0), N.range_join_radii(p, p, ["x", "y"], "radius"), N.range_join_periodic(p, p, "x", 5.0, 0.0, 50.0)):
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
