@@ -373,3 +373,12 @@ def test_probed_cells_are_not_broadcast(spark):
     p = spark.range(50).select("id", F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(2.0).alias("radius"))
     for out in (N.range_join(p, p, ["x", "y"], 5.0), N.range_join_radii(p, p, ["x", "y"], "radius"), N.range_join_periodic(p, p, "x", 5.0, 0.0, 50.0)):
         assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_nearest_on_a_line_with_rounded_ties(spark):
+    """0.30000000000000004 and 0.3 apart are as near to six decimals, so the smaller id wins; many points may tie."""
+    p = spark.createDataFrame([(3, 1.1), (1, 1.7), (5, 1.1000001), (0, 1.7000002), (8, 50.0), (9, -50.0)], "p long, x double")
+    q = spark.createDataFrame([(0, 1.4), (1, 0.0), (2, 60.0), (3, None), (4, 1.7)], "q long, x double")
+    got = {r.q: (r.p, r.distance) for r in N.nearest_1d(p, q, "x", "p", "q", digits=6).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: 0, 1: 3, 2: 8, 3: None, 4: 0} and close(got[0][1], 0.3000002) and got[2][1] == 10.0
