@@ -93,7 +93,8 @@ def is_finite(x: Column) -> Column:
 
 
 def is_nan(x: Column) -> Column:
-    return F.isnan(x)
+    """Null of null, as the other tests."""
+    return F.when(x.isNotNull(), F.isnan(x))
 
 
 def is_inf(x: Column) -> Column:

@@ -382,3 +382,11 @@ def test_nearest_on_a_line_with_rounded_ties(spark):
     q = spark.createDataFrame([(0, 1.4), (1, 0.0), (2, 60.0), (3, None), (4, 1.7)], "q long, x double")
     got = {r.q: (r.p, r.distance) for r in N.nearest_1d(p, q, "x", "p", "q", digits=6).collect()}
     assert {k: v[0] for k, v in got.items()} == {0: 0, 1: 3, 2: 8, 3: None, 4: 0} and close(got[0][1], 0.3000002) and got[2][1] == 10.0
+
+
+
+def test_null_is_not_known_to_be_nan(spark):
+    from axisframe.functions import elementwise as E
+
+    df = spark.createDataFrame([(0, None), (1, NAN), (2, 1.0)], "i long, v double")
+    assert [r.n for r in df.orderBy("i").select(E.is_nan(F.col("v")).alias("n")).collect()] == [None, True, False]
