@@ -390,3 +390,27 @@ def test_null_is_not_known_to_be_nan(spark):
 
     df = spark.createDataFrame([(0, None), (1, NAN), (2, 1.0)], "i long, v double")
     assert [r.n for r in df.orderBy("i").select(E.is_nan(F.col("v")).alias("n")).collect()] == [None, True, False]
+
+
+@pytest.mark.parametrize("region_points", [8, 10**6])
+def test_nearest_far_outside_on_a_lattice(spark, region_points):
+    """Places far outside see many boxes at about one distance: none is written but the places and their answers; ties go by id over regions."""
+    r = random.Random(5)
+    points = [(i, 900.0 + i % 10, 20.0 * r.randrange(20), 5.0 * r.randrange(40)) for i in range(600)]
+    asked = [(i, r.choice([-2000.0, 100.0, 4000.0, 905.5]), 10.0 * r.randrange(50), 2.5 * r.randrange(90)) for i in range(300)]
+    p, q = spark.createDataFrame(points, "p long, x double, y double, z double"), spark.createDataFrame(asked, "q long, x double, y double, z double")
+    out = N.nearest(p, q, ["x", "y", "z"], "p", "q", region_points=region_points)
+    want = {i: min((math.sqrt((u[0] - v[1]) ** 2 + (u[1] - v[2]) ** 2 + (u[2] - v[3]) ** 2), v[0]) for v in points) for i, *u in asked}
+    assert {x.q: (x.distance, x.p) for x in out.collect()} == want
+
+
+def test_most_boxes_are_not_searched():
+    from axisframe.operators._boxes import Tree
+
+    at = np.random.default_rng(2).uniform(0, 100, (4000, 3))
+    far = np.array([[-900.0, 50.0, 50.0], [50.0, 2000.0, 40.0], [50.0, 50.0, 50.0]])
+    tree, seen = Tree(at, 16), []
+    own, tree._closer = tree._closer, lambda here, who, leaf, *more: (seen.append(len(leaf)), own(here, who, leaf, *more))[1]
+    d, i = tree.nearest(far, np.full(3, np.inf))
+    all_pairs = np.sqrt(((far[:, None] - at) ** 2).sum(2))
+    assert i.tolist() == all_pairs.argmin(1).tolist() and np.allclose(d, all_pairs.min(1)) and sum(seen) < 100
