@@ -414,3 +414,21 @@ def test_most_boxes_are_not_searched():
     d, i = tree.nearest(far, np.full(3, np.inf))
     all_pairs = np.sqrt(((far[:, None] - at) ** 2).sum(2))
     assert i.tolist() == all_pairs.argmin(1).tolist() and np.allclose(d, all_pairs.min(1)) and sum(seen) < 100
+
+
+@pytest.mark.parametrize("part", [3, 1024])
+def test_products_are_dealt_in_ranges(spark, monkeypatch, part):
+    """Frequent inner indices as several arrays, null ones without products, null rows as rows; products are made after ranges are dealt."""
+    from axisframe.operators import linalg as L
+
+    monkeypatch.setattr(L, "PART_ENTRIES", part)
+    r = random.Random(4)
+    left = [(r.randrange(9), r.choice([0, 0, 0, 1, 2, 3]), float(r.randrange(5))) for _ in range(60)] + [(5, None, 1.0), (None, 1, 2.0)]
+    right = [(r.choice([0, 0, 1, 3, 8]), r.randrange(7), float(r.randrange(5))) for _ in range(50)] + [(None, 5, 1.0)]
+    want = {}
+    for (i, k, u), (m, j, v) in itertools.product(left, right):
+        if k is not None and k == m:
+            want[i, j] = want.get((i, j), 0.0) + u * v
+    out = L.matmul(spark.createDataFrame(left, "r long, k long, a double"), spark.createDataFrame(right, "k long, c long, b double"), "r", "k", "c")
+    assert {(x.r, x.c): x.value for x in out.collect()} == want
+    assert "rangepartitioning" in out._jdf.queryExecution().executedPlan().toString()
