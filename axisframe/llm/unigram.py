@@ -6,8 +6,8 @@ next space) on its own: units are looked up by their hash, and each new one is s
 A character that no piece covers alone costs the penalty score and is written as byte pieces.
 
 A model file of another kind than unigram has ranks or counts for scores, whose sums mean nothing. Its pieces
-then get log probabilities by expectation maximisation over their best segmentations of a bounded sample of the
-texts; the pieces themselves are never changed, and every text is encoded.
+then get log probabilities by expectation maximisation over their best segmentations of all texts: the different
+units are counted once, and a round segments each of them. The pieces themselves are never changed.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Units remembered by a task before it forgets them all: bounds memory only.
 CACHE_UNITS = 1 << 21
-#: Documents whose segmentations estimate the scores, at most, and rounds of that.
-FIT_ROWS, FIT_ROUNDS = 5_000, 3
+#: Rounds of the scores' estimation.
+FIT_ROUNDS = 3
 #: Uses that every piece is given besides its counted ones.
 PRIOR_USES = 0.1
 #: Longer units are segmented one by one.
@@ -236,8 +236,8 @@ class Encoder:
     def forget(self) -> None:
         self.key, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts data[off[i]:off[i + 1]], and how many each has; an empty text has none."""
+    def units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The units of the texts data[off[i]:off[i + 1]] with their leading spaces: bytes, starts, ends, places of the texts' heads, texts that have any."""
         raw = data.tobytes()
         if MARKER.encode() in raw:
             texts = [raw[a:b].replace(MARKER.encode(), b" ") for a, b in zip(off[:-1], off[1:], strict=True)]
@@ -258,6 +258,11 @@ class Encoder:
         begin[head] = True
         starts = np.flatnonzero(begin)
         ends = np.r_[starts[1:], len(out)][: len(starts)]
+        return out, starts, ends, head, full
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts data[off[i]:off[i + 1]], and how many each has; an empty text has none."""
+        out, starts, ends, head, full = self.units(data, off)
         row = full[np.searchsorted(head, starts, "right") - 1] if len(starts) else starts
         keys, first, which = np.unique(span_hash(prefix_hash(out), starts, ends), return_index=True, return_inverse=True)
         slot = np.searchsorted(self.key, keys)
@@ -276,7 +281,7 @@ class Encoder:
         slot = np.searchsorted(self.key, keys)
         n = self.n[slot][which]
         ids = self.pool[_ragged(self.at[slot][which], n)]
-        per_text = np.bincount(row, weights=n, minlength=len(size)).astype(np.int64)
+        per_text = np.bincount(row, weights=n, minlength=len(off) - 1).astype(np.int64)
         if len(self.key) > CACHE_UNITS:
             self.forget()
         return ids, per_text
@@ -309,34 +314,45 @@ def is_log(scores: np.ndarray) -> bool:
     return bool(len(scores)) and 0.5 < float(np.exp(np.minimum(scores, 0.0)).sum()) < 2.0
 
 
-def fitted(documents: DataFrame, model: PieceModel, rows: int = FIT_ROWS, rounds: int = FIT_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> PieceModel:
-    """``model`` with log probabilities from the best segmentations of the first ``rows`` documents in hash order of their ids.
+def fitted(documents: DataFrame, model: PieceModel, rounds: int = FIT_ROUNDS, text_col: str = "text") -> PieceModel:
+    """``model`` with log probabilities from the best segmentations of all texts.
 
-    A round segments the sample, counts each piece (at most the vocabulary's number of rows reach the driver) and
-    rescores. Without any text the scores stay.
+    The different units of the texts and their numbers are counted once. A round segments each unit, counts the
+    pieces (at most the vocabulary's number of rows reach the driver) and rescores. Without any text the scores stay.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    edge = docs.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if edge is None:
+    bounded_batches(spark)
+    split = Encoder(model)
+
+    def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in chunks(batch.column("text")):
+                out, starts, ends, _, _ = split.units(data, off)
+                _, first, n = np.unique(span_hash(prefix_hash(out), starts, ends), return_index=True, return_counts=True)
+                raw = out.tobytes()
+                yield pa.record_batch([pa.array([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], pa.binary()), pa.array(n, pa.int64())], names=["unit", "n"])
+
+    texts = documents.select(F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    units = cut(texts.mapInArrow(count_units, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")), "fit-units")
+    if units.isEmpty():
         return model
-    # null and repeated ids share a hash, so the rows are counted, too
-    sample = cut(docs.where(F.col("h") <= edge).orderBy("h", F.xxhash64("text"), "text").limit(rows).select("text"), "fit-sample")
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            encoder = Encoder(sent.value)
-            n = np.zeros(len(sent.value.score), np.int64)
+            uses = np.zeros(len(sent.value.score))
             for batch in batches:
-                for _, _, data, off in chunks(batch.column("text")):
-                    n += np.bincount(encoder.encode(data, off)[0], minlength=len(n))
-            used = np.flatnonzero(n)
-            yield pa.record_batch([pa.array(used), pa.array(n[used])], names=["piece", "uses"])
-
-        uses = {r.piece: r.uses for r in sample.mapInArrow(count, "piece long, uses long").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}
+                raw = batch.column("unit").to_pylist()
+                ends = np.cumsum([len(u) for u in raw])
+                ids, per_unit = segment(sent.value, np.frombuffer(b"".join(raw), np.uint8), np.r_[0, ends[:-1]], ends)
+                uses += np.bincount(ids, weights=np.repeat(batch.column("n").to_numpy(), per_unit), minlength=len(uses))
+            used = np.flatnonzero(uses)
+            yield pa.record_batch([pa.array(used), pa.array(uses[used].astype(np.int64))], names=["piece", "uses"])
+
+        uses = {r.piece: r.uses for r in units.mapInArrow(count, "piece long, uses long").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}
         sent.destroy()
-        model = model.rescored({i: n for i, n in uses.items() if i not in set(model.byte_id.tolist())})
+        bytes_of = set(model.byte_id.tolist())
+        model = model.rescored({i: n for i, n in uses.items() if i not in bytes_of})
     return model
 
 
@@ -347,14 +363,13 @@ def encode_pieces(documents: DataFrame, model_path: str, model: PieceModel | Non
     holds unless the text has the marker character itself, which reads back as a space. Null and empty
     texts have no ids and decode to the empty text. Repeated rows and null ids pass through; other columns
     are ignored; an empty table gives no rows. The trie (its size is the vocabulary's) is broadcast. Scores that
-    are no log probabilities are estimated from at most FIT_ROWS documents of the table; ``model`` gives a fitted
-    one instead.
+    are no log probabilities are estimated from all texts of the table; ``model`` gives a fitted one instead.
     """
     bounded_batches(documents.sparkSession)
     if model is None:
         model = PieceModel.from_file(model_path)
         if not is_log(model.score[model.value[model.value >= 0]]):
-            model = fitted(documents, PieceModel.by_rank(model_path), id_col=id_col, text_col=text_col)
+            model = fitted(documents, PieceModel.by_rank(model_path), text_col=text_col)
     model = documents.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded", pa.string()), ("lossless", pa.bool_())])
 

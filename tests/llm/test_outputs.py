@@ -333,3 +333,21 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     # of the copies of document 1 one row has its line; 2 repeats it within an edit; texts without lines stay
     assert sorted(map(str, ids)) == sorted(["1", "3", "4", "None", "None", "5", "6", "7", "8"]) and all(x.lossless for x in got)
     assert pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_scores_come_from_all_documents(spark):
+    """A word that only the last of 6,000 documents hold counts as often as it is there, however many come before in any order."""
+    from axisframe.llm.unigram import Encoder, PieceModel, fitted
+
+    model = PieceModel.by_rank(path("piece_bpe_32k.model"))
+    texts = [("the quick brown fox", 5999), ("zebra  zebra é", 1), (None, 1), ("", 1)]
+    df = spark.createDataFrame([(t,) for t, n in texts for _ in range(n)], "text string")
+    want = model
+    for _ in range(3):
+        uses = {}
+        for t, n in texts:
+            raw = (t or "").encode()
+            for i in Encoder(want).encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist():
+                uses[i] = uses.get(i, 0) + n
+        want = want.rescored({i: n for i, n in uses.items() if i not in set(want.byte_id.tolist())})
+    assert np.array_equal(fitted(df, model).score, want.score)
