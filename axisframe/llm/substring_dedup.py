@@ -2,17 +2,20 @@
 
 A seed is a run of k words whose first part has the least hash of its parts (an open syncmer): which runs are
 seeds depends on the run alone, so two documents that share a run agree on it. With a seed go fingerprints of
-the passage of the shortest length that begins with it and of the one that ends with it. Of the documents that
-hold a seed, each is joined with the first one and with the one before it, in order of ids, and with the first
-one whose passage after or before the seed is the same, so that a verbatim passage is found whoever else holds
-parts of it. For passages with changed words, seeds are also paired (strobemers, Sahlin 2021): a seed goes with
-the least seed between two fifths of the shortest passage and its length ahead, and with the least one as far
-behind, and each document is joined with the first and the preceding one that hold the same pair. Shorter
-fragments of a passage hold no such pair and so don't come between its copies. Of a seed that is very frequent in what a task reads, the task joins its own rows, passes on the
-first, second and last document under the seed, and the first one of each passage under seed and passage, so
-that no task gathers the seed; first and last ones of each pair of seeds go on likewise. A pair's matches on one diagonal are segments, ordered segments are chained with
-gap costs (prefix maxima in a Fenwick tree), and chains are aligned word by word, which finds passages with
-changed, missing or added words.
+its context, the words up to the shortest passage's length from it on either side. Rows of a seed with the same
+context are copies: those of later documents are joined with the first one, whose context holds every shortest
+passage around the seed. Rows with different contexts are all joined with each other, so whoever else holds a
+seed never comes between two documents: of a passage's verbatim copies, the earliest one is first under every
+seed, so a later document meets it with all of them. Where two documents share runs of seeds, the ends and the
+least of each few seeds stand for the run.
+
+Seeds with very many contexts go in two steps. Their rows are joined with the first and preceding documents.
+Where that leaves a seed's words out of every passage, the row is compared with all earlier rows of the seed, in
+blocks inside tasks: pairs with as many equal pairs of words around the seed as a passage keeps are candidates.
+No pair is written before.
+
+A pair's matches on one diagonal are segments, ordered segments are chained with gap costs (prefix maxima in a
+Fenwick tree), and chains are aligned word by word, which finds passages with changed, missing or added words.
 """
 
 from __future__ import annotations
@@ -34,66 +37,90 @@ K, SUB = 4, 2
 MIN_WORDS, SIMILARITY = 50, 0.8
 #: Words between two segments of a passage on either side, at most; what a word of gap costs a chain.
 MAX_GAP, GAP_COST = 40, 0.25
-#: A seed's rows in one flush beyond this are joined where they were read.
+#: A seed's rows in one flush beyond this are joined with their copies where they were read.
 HOT = FLUSH >> 11
-_SEED, _PAIR = ["<u8", "<i8", "<i4", "<u2", "<u2", "<u2", "<u2"], ["<u8", "<i8", "<i8", "<i4", "<i4", "<i4"]
+#: Contexts of a seed that are joined outright; of more, those left open are compared in blocks of about so many rows.
+MOST, BLOCK = 32, 1 << 13
+#: Pairs of rows at a time, at most; seeds of which the least one stands for a shared run.
+PAIRS, STAND_IN = 1 << 20, 7
+#: Seed, document, place, context, seed before and after, words after (highest bit: stands for a run).
+_SEED, _PAIR = ["<u8", "<i8", "<i4", "<u4", "<u2", "<u2", "<u2"], ["<u8", "<i8", "<i8", "<i4", "<i4", "<i4"]
 
 
 def _pairs(doc: np.ndarray, other: np.ndarray, pos: np.ndarray, opos: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """Columns of matches; the key brings a pair's matches together."""
-    return [mix(doc.view(np.uint64) * _MULT[60] + other.view(np.uint64) * _MULT[61]), doc, other, pos, opos, size.astype(np.int32)]
+    return [mix(doc.view(np.uint64) * _MULT[60] + other.view(np.uint64) * _MULT[61]), doc, other, pos.astype(np.int32), opos.astype(np.int32), np.broadcast_to(size, len(doc)).astype(np.int32)]
 
 
-def _grouped(seed: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a mark, by seed and mark, and where groups of equal ones begin."""
-    own = np.flatnonzero(mark)
-    own = own[np.lexsort((own, mark[own], seed[own]))]
-    return own, np.r_[True, (seed[own][1:] != seed[own][:-1]) | (mark[own][1:] != mark[own][:-1])] if len(own) else np.zeros(0, bool)
-
+def _heads(rows: np.ndarray, *marks: np.ndarray) -> np.ndarray:
+    """For each of the rising ``rows``, the first one with the same marks."""
+    order = np.lexsort((rows, *(m[rows] for m in marks)))
+    at = rows[order]
+    new = np.r_[True, np.logical_or.reduce([m[at[1:]] != m[at[:-1]] for m in marks])] if len(at) else np.zeros(0, bool)
+    out = np.empty(len(rows), np.int64)
+    out[order] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] if len(at) else at
+    return out
 
-def _joined(rows: list[np.ndarray], k: int, n: int) -> list[np.ndarray]:
-    """Matches among rows (seed, document, place, passage after, passage before, seed ahead, seed behind) sorted by seed, document and place.
 
-    A match has its words as size: a passage's, a seed's, or a seed's as a negative number for a pair of seeds.
-    """
-    seed, doc, pos, after, before, ahead, behind = rows
-    place = np.arange(len(seed))
-    new_seed = np.r_[True, seed[1:] != seed[:-1]]
-    new_doc = new_seed | np.r_[True, doc[1:] != doc[:-1]]
-    first = np.maximum.accumulate(np.where(new_seed, place, 0))
-    begins = np.flatnonzero(new_doc)
-    last = begins[np.maximum(np.cumsum(new_doc) - 2, 0)]
+def _copies(rows: list[np.ndarray], k: int, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Matches of rows with the first row of the same seed and context, where that is of another document; and the other rows."""
+    seed, doc, pos, context, _, _, span = rows
+    first = _heads(np.arange(len(seed)), context, seed)
     a = np.flatnonzero(doc != doc[first])
-    b = a[last[a] != first[a]]
-    left, right, start, size = [a, b], [first[a], last[b]], [0, 0], [k, k]
-    for passage, back in ((after, 0), (before, n - k)):
-        own, new = _grouped(seed, passage)
-        head = own[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))] if len(own) else own
-        hit = doc[own] != doc[head]
-        left.append(own[hit])
-        right.append(head[hit])
-        start.append(back)
-        size.append(n)
-    for mark in (ahead, behind):
-        own, new = _grouped(seed, mark)
-        if not len(own):
-            continue
-        at = np.arange(len(own))
-        head = own[np.maximum.accumulate(np.where(new, at, 0))]
-        turn = new | np.r_[True, doc[own][1:] != doc[own][:-1]]
-        turns = np.flatnonzero(turn)
-        previous = own[turns[np.maximum(np.cumsum(turn) - 2, 0)]]
-        same = (seed[previous] == seed[own]) & (mark[previous] == mark[own]) & (doc[previous] != doc[head])
-        for partner, hit in ((head, doc[head] != doc[own]), (previous, same)):
-            # the seed's own matches lead to its first and preceding documents already
-            hit = hit & (doc[partner] != doc[first[own]]) & (doc[partner] != doc[last[own]])
-            left.append(own[hit])
-            right.append(partner[hit])
-            start.append(0)
-            size.append(-k)
-    shift, wide = (np.repeat(v, [len(x) for x in left]) for v in (start, size))
-    left, right = np.concatenate(left), np.concatenate(right)
-    return _pairs(doc[left], doc[right], (pos[left] - shift).astype(np.int32), (pos[right] - shift).astype(np.int32), wide)
+    b = first[a]
+    back = np.minimum(pos[a] + k, n) - k
+    return _pairs(doc[a], doc[b], pos[a] - back, pos[b] - back, back + (span[a] & np.uint16(0x7FFF))), np.flatnonzero(doc == doc[first])
+
+
+def _earlier(own: np.ndarray, seed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with all rows before it under its seed, a bounded number of pairs at a time."""
+    at, count = run_starts(seed[own])
+    start = np.repeat(at, count)
+    many = np.arange(len(own)) - start
+    total = np.cumsum(many)
+    i = 0
+    while i < len(own):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
+        m = many[i:j]
+        left = np.repeat(np.arange(i, j), m)
+        yield own[left], own[np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m) + start[left]]
+        i = j
+
+
+def _joined(rows: list[np.ndarray], k: int, n: int, thin: bool, most: int = MOST) -> Iterator[list[np.ndarray]]:
+    """Matches among rows sorted by seed, document and place.
+
+    A match has its words as size: a seed's, as a negative number for a run of seeds, or a passage's. Rows of seeds
+    with more than ``most`` contexts also go on themselves, as size 0 with the seed instead of the other document.
+    """
+    seed, doc, pos, _, behind, ahead, span = rows
+    match, own = _copies(rows, k, n)
+    yield match
+    at, count = run_starts(seed[own])
+    many = np.repeat(count > most, count)
+    for a, b in _earlier(own[~many], seed):
+        other = doc[a] != doc[b]
+        a, b = a[other], b[other]
+        size = np.full(len(a), k)
+        if thin:
+            left, right = (behind[a] == behind[b]) & (behind[a] > 0), (ahead[a] == ahead[b]) & (ahead[a] > 0)
+            size[left | right] = -k
+            keep = ~(left & right) | (((span[a] | span[b]) >> np.uint16(15)) > 0)
+            a, b, size = a[keep], b[keep], size[keep]
+        yield _pairs(doc[a], doc[b], pos[a], pos[b], size)
+    hot = own[many]
+    if not len(hot):
+        return
+    first = _heads(hot, seed)
+    new = np.r_[True, (seed[hot][1:] != seed[hot][:-1]) | (doc[hot][1:] != doc[hot][:-1])]
+    begins = np.flatnonzero(new)
+    last = hot[begins[np.maximum(np.cumsum(new) - 2, 0)]]
+    last = np.where(seed[last] == seed[hot], last, first)
+    other = last != first
+    for a, b in ((hot, first), (hot[other], last[other])):
+        a, b = a[doc[a] != doc[b]], b[doc[a] != doc[b]]
+        yield _pairs(doc[a], doc[b], pos[a], pos[b], k)
+    yield _pairs(doc[hot], seed[hot].view(np.int64), pos[hot], pos[hot], 0)
 
 
 def _sorted(columns: list[np.ndarray], least: int = 2) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -108,42 +135,25 @@ def _sorted(columns: list[np.ndarray], least: int = 2) -> tuple[list[np.ndarray]
 
 
 def _gathered(packer: Packer, k: int, n: int) -> Iterator[pa.RecordBatch]:
-    """What a task has collected: matches among very frequent seeds' rows, and what it passes on."""
+    """What a task has collected: matches of copies among very frequent seeds' rows, and the rows it passes on."""
     hot, rest = _sorted(packer.taken(), HOT)
     if len(hot[0]):
-        match = _joined(hot, k, n)
+        match, own = _copies(hot, k, n)
         if len(match[0]):
             yield loose(match)
-        seed, doc = hot[:2]
-        new_seed = np.r_[True, seed[1:] != seed[:-1]]
-        new_doc = new_seed | np.r_[True, doc[1:] != doc[:-1]]
-        number = np.cumsum(new_doc) - np.maximum.accumulate(np.where(new_seed, np.cumsum(new_doc), 0))
-        at, count = run_starts(seed)
-        ends = new_doc & ((number <= 1) | (number == np.repeat(np.maximum.reduceat(number, at), count)))
-        parts = [rest, [c[ends] for c in hot]]
-        for side in (3, 4, 5, 6):
-            own, new = _grouped(seed, hot[side])
-            own = own[new | np.r_[new[1:], True]] if side > 4 and len(own) else own[new]
-            key = mix(seed[own] ^ (hot[side][own].astype(np.uint64) + np.uint64(side << 16)) * _MULT[62])
-            parts.append([key, *[c[own] for c in hot[1:]]])
-        rest = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        rest = [np.concatenate([c, x[own]]) for c, x in zip(rest, hot, strict=True)]
     yield packer.pack(rest)
 
 
-def _far(seed: np.ndarray, at: np.ndarray, size: int, low: int, high: int) -> list[np.ndarray]:
-    """Of seeds at rising places, in documents further apart than ``high``: marks of the least seed ``low`` to ``high`` places ahead and behind, 0 for none."""
-    if high < low:
-        return [np.zeros(len(at), np.uint16)] * 2
-    none, width, span = np.uint64(np.iinfo(np.uint64).max), high - low + 1, 1
-    least = np.full(size + 2 * high, none, np.uint64)
-    least[at + high] = mix(seed)
-    while 2 * span <= width:
-        least[: len(least) - span] = np.minimum(least[: len(least) - span], least[span:])
-        span *= 2
-    out = []
-    for begin in (at + high + low, at):
-        most = np.minimum(least[begin], least[begin + width - span])
-        out.append(np.where(most == none, 0, (most >> np.uint64(48)) | np.uint64(1)).astype(np.uint16))
+def _least_of(seed: np.ndarray, own: np.ndarray, w: int = STAND_IN) -> np.ndarray:
+    """Which seeds are the least of ``w`` following ones of their document."""
+    out = np.zeros(len(seed), bool)
+    if len(seed) < w:
+        return out
+    order, at = mix(seed), np.flatnonzero(own[w - 1 :] == own[: len(own) - w + 1])
+    least = np.minimum.reduce([order[at + i] for i in range(w)])
+    for i in range(w):
+        out[at[order[at + i] == least] + i] = True
     return out
 
 
@@ -167,13 +177,18 @@ def _seeds(k: int, sub: int, n: int, bits: int):
                 np.cumsum(h * _grow(len(h) + 1)[0][: len(h)], out=pre[1:])
                 own = row[at]
                 pos, words_of = at - np.searchsorted(row, own), np.bincount(row, minlength=b - a)[own]
-                sides = []
-                for start, whole in ((at, pos + n <= words_of), (at + k - n, pos + k >= n)):
-                    print_ = np.zeros(len(at), np.uint16)
-                    s = start[whole]
-                    print_[whole] = (span_hash(pre, s, s + n) & np.uint64(0xFFFF)) | np.uint64(1)
-                    sides.append(print_)
-                packer.add(g, ids[a:b][own], pos.astype(np.int32), *sides, *_far(g, at + own * (n + 1), len(h) + (b - a) * (n + 1), 2 * n // 5, n - k))
+                long = words_of >= n  # shorter texts hold no passage
+                at, g, own, pos, words_of = at[long], g[long], own[long], pos[long], words_of[long]
+                if not len(at):
+                    continue
+                right, left = np.minimum(words_of - pos, n), np.minimum(pos + k, n)
+                context = (mix(span_hash(pre, at + k - left, at + right) + left.astype(np.uint64) * _MULT[5]) >> np.uint64(32)).astype(np.uint32)
+                follows = np.r_[False, own[1:] == own[:-1]]
+                step = np.r_[0, np.diff(at)].astype(np.uint64)
+                behind = np.where(follows, (mix(np.r_[g[:1], g[:-1]] + step * _MULT[1]) >> np.uint64(48)) | np.uint64(1), 0).astype(np.uint16)
+                ahead = np.r_[np.where(follows[1:], (mix(g[1:] + step[1:] * _MULT[2]) >> np.uint64(48)) | np.uint64(1), 0), 0].astype(np.uint16)
+                span = (np.minimum(right, 0x7FFF) | np.where(_least_of(g, own), 0x8000, 0)).astype(np.uint16)
+                packer.add(g, ids[a:b][own], pos.astype(np.int32), context, behind, ahead, span)
                 if packer.n >= FLUSH:
                     yield from _gathered(packer, k, n)
         if packer.n:
@@ -182,7 +197,7 @@ def _seeds(k: int, sub: int, n: int, bits: int):
     return run, PACKED_DDL
 
 
-def _matches(k: int, n: int, bits: int):
+def _matches(k: int, n: int, bits: int, thin: bool, most: int = MOST):
     """Packed matches of the seeds of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +207,10 @@ def _matches(k: int, n: int, bits: int):
                 packer.add(*columns)
             else:
                 rows, _ = _sorted(columns)
-                if len(rows[0]):
-                    packer.add(*_joined(rows, k, n))
+                for match in _joined(rows, k, n, thin, most) if len(rows[0]) else ():
+                    packer.add(*match)
+                    if packer.n >= FLUSH:
+                        yield packer.pack()
             if packer.n >= FLUSH:
                 yield packer.pack()
         if packer.n:
@@ -284,7 +301,10 @@ def least_seeds(k: int, sub: int, min_words: int, similarity: float) -> int:
 
 
 def _chained(k: int, sub: int, min_words: int, similarity: float):
-    """Per pair with a chain of enough seeds: doc_id, other, its chains' segments (chain, start, stop, other start), and the words they lie in, with a margin."""
+    """Per pair with a chain of enough seeds: doc_id, other, its chains' segments (chain, start, stop, other start), and the words they lie in, with a margin.
+
+    Rows of seeds with many contexts pass: doc_id, the seed, its place, and nulls.
+    """
     names = ["doc_id", "other", "segments", "low", "high", "other_low", "other_high"]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
@@ -292,6 +312,12 @@ def _chained(k: int, sub: int, min_words: int, similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (_, doc, other, pos, opos, size) in buckets(batches, _PAIR):
+            spot = size == 0
+            if spot.any():
+                yield pa.record_batch([pa.array(doc[spot]), pa.array(other[spot]), pa.ListArray.from_arrays(pa.array(np.arange(spot.sum() + 1, dtype=np.int32)), pa.array(pos[spot])), *[pa.nulls(int(spot.sum()), pa.int32())] * 4], schema=schema)
+                doc, other, pos, opos, size = (x[~spot] for x in (doc, other, pos, opos, size))
+            if not len(doc):
+                continue
             diagonal = pos.astype(np.int64) - opos
             order = np.lexsort((size, pos, diagonal, other, doc))
             doc, other, pos, size, diagonal = (x[order] for x in (doc, other, pos, size, diagonal))
@@ -305,7 +331,7 @@ def _chained(k: int, sub: int, min_words: int, similarity: float):
             begin = line | np.r_[True, (group + pos)[1:] - reach[:-1] > MAX_GAP]
             at = np.flatnonzero(begin)
             start, stop, off = pos[at], (reach - group)[np.r_[at[1:], len(pos)] - 1], diagonal[at]
-            # a pair's seeds: its distinct places, a pair of seeds counts for two; a run is enough alone
+            # a pair's seeds: its distinct places, a run of seeds counts for two; a passage is enough alone
             fresh = line | np.r_[True, pos[1:] != pos[:-1]]
             heads = np.flatnonzero(pair)
             counted = np.where(size > k, least, fresh * worth).astype(np.int64)
@@ -541,7 +567,7 @@ def _aligned(min_words: int, similarity: float):
                 found: list = []
                 every = np.asarray(r.segments).reshape(-1, 4) - np.array([0, r.low, r.low, r.other_low])
                 for c in np.split(every[:, 1:], np.flatnonzero(np.diff(every[:, 0])) + 1):
-                    if c[-1, 1] > len(x) or (c[:, 2] + c[:, 1] - c[:, 0]).max() > len(y):
+                    if c[-1, 1] > len(x) or c[:, 2].min() < 0 or (c[:, 2] + c[:, 1] - c[:, 0]).max() > len(y):
                         continue  # another row's words under a repeated id
                     if any(p[0] <= c[0, 0] and c[-1, 1] <= p[1] and p[2] <= c[0, 2] and c[-1, 2] + c[-1, 1] - c[-1, 0] <= p[3] for p in found):
                         continue  # inside a passage already
@@ -552,28 +578,149 @@ def _aligned(min_words: int, similarity: float):
     return run, ", ".join(f"{n} long" for n in names)
 
 
-def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, k: int = K, sub: int = SUB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _around(k: int, n: int, reach: int):
+    """Rows of seeds with many contexts (doc_id, spots: seed, place, open) and texts: each with hashes of the pairs of words around it, and where pairs begin that lie up to a passage's length from the seed."""
+    names = ["seed", "doc_id", "pos", "open", "low", "high", "near"]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()], strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, spots = batch.column("doc_id").to_pylist(), batch.column("spots").to_pylist()
+            for a, b, data, off in chunks(batch.column("text")):
+                _, _, row, h = words(data, off)
+                bounds = np.searchsorted(row, np.arange(b - a + 1))
+                out: list = []
+                for i in range(a, b):
+                    w = h[bounds[i - a] : bounds[i - a + 1]]
+                    two = (mix(w[:-1] * _MULT[3] + w[1:] * _MULT[4]) >> np.uint64(48)).astype(np.uint16)
+                    for s in spots[i]:
+                        pos = s["pos"]
+                        if pos + k > len(w):
+                            continue  # another row's place under a repeated id
+                        first, last = max(0, pos + k - reach), min(len(two), pos + reach - 1)
+                        out.append((s["seed"], ids[i], pos, s["open"], max(first, pos + k - n) - first, min(last, pos + n - 1) - first, two[first:last].tobytes()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+
+    return run, "seed long, doc_id long, pos int, open boolean, low int, high int, near binary"
+
+
+def common_pairs(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """For rows of ``own`` and of ``other``: how many entries of the first the second one has."""
+    size, osize = np.array([len(x) for x in own]), np.array([len(x) for x in other])
+    out = np.zeros((len(own), len(other)), np.float32)
+    if not size.sum() or not osize.sum():
+        return out
+    x, y = np.concatenate(own).astype(np.int64), np.unique(np.repeat(np.arange(len(other)), osize) + (np.concatenate(other).astype(np.int64) << 32))
+    row, orow, y = np.repeat(np.arange(len(own)), size), y & 0xFFFFFFFF, y >> 32
+    held = np.bincount(y, minlength=1 << 16)
+    # what many rows have is multiplied, the rest counted pair by pair
+    often = np.flatnonzero(held > max(4, len(other) // 16))
+    if len(often):
+        number = np.full(1 << 16, -1)
+        number[often] = np.arange(len(often))
+        left, right = np.zeros((len(own), len(often)), np.float32), np.zeros((len(often), len(other)), np.float32)
+        at = number[x] >= 0
+        np.add.at(left, (row[at], number[x[at]]), 1)
+        at = number[y] >= 0
+        right[number[y[at]], orow[at]] = 1
+        out += left @ right
+        held[often] = 0
+    count = held[x]
+    keep = count > 0
+    x, row, count = x[keep], row[keep], count[keep]
+    start, done = np.searchsorted(y, x), 0
+    total = np.cumsum(count)
+    while done < len(x):
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS, "right")))
+        m = count[done:stop]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[done:stop], m)
+        out += np.bincount(np.repeat(row[done:stop], m) * len(other) + orow[at], minlength=out.size).reshape(out.shape)
+        done = stop
+    return out
+
+
+def _compared(k: int, n: int, least: int, width: int, side: int = 512):
+    """Of a block of a seed's rows, or of two: open rows with earlier ones that have ``least`` equal pairs of words in ``width`` around the seed."""
+    names = ["doc_id", "other", "pos", "opos"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "pos"], ignore_index=True)
+        doc, pos, part, near = rows.doc_id.to_numpy(), rows.pos.to_numpy(), rows.part.to_numpy(), [np.frombuffer(x, np.uint16) for x in rows.near]
+        inner = [x[a:b] for x, a, b in zip(near, rows.low.tolist(), rows.high.tolist(), strict=True)]
+        two, open_ = rows["first"].iloc[0] != rows["second"].iloc[0], np.flatnonzero(rows["open"].to_numpy())
+        out = [np.zeros((4, 0), np.int64)]
+        for a in range(0, len(open_), side):
+            own = open_[a : a + side]
+            for b in range(0, int(own[-1]), side):
+                other = np.arange(b, min(b + side, int(own[-1])))
+                i, j = np.nonzero(common_pairs([inner[x] for x in own], [near[x] for x in other]) >= least)
+                i, j = own[i], other[j]
+                fits = (doc[j] < doc[i]) & ((part[i] != part[j]) | (not two))
+                for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
+                    hit = np.r_[0, np.cumsum(np.isin(inner[x], near[y]))]
+                    if (hit[min(width, len(hit) - 1) :] - hit[: max(1, len(hit) - width)]).max() >= least:
+                        out.append(np.array([[doc[x]], [doc[y]], [pos[x]], [pos[y]]], np.int64))
+        return pd.DataFrame(np.concatenate(out, 1).T, columns=names)
+
+    return run, "doc_id long, other long, pos long, opos long"
+
+
+def _left_open(docs: DataFrame, spots: DataFrame, found: DataFrame, k: int, n: int, similarity: float) -> DataFrame:
+    """Pairs (as of :func:`_chained`) for the rows of seeds with many contexts whose words are in no passage yet."""
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    inside = F.exists("spans", lambda s: (s["start_word"] <= F.col("pos")) & (F.col("pos") + k <= s["end_word"]))
+    spots = spots.join(spans, "doc_id", "left").select("doc_id", "seed", "pos", (~F.coalesce(inside, F.lit(False))).alias("open"))
+    sizes = spots.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last")).where("last > first").select("seed", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    lists = cut(spots.join(sizes, "seed").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")), "open")
+    grouped = lists.groupBy("doc_id").agg(F.collect_set(F.struct("seed", "pos", "open")).alias("spots"))
+    wanted = bitmap_of(grouped.select(F.xxhash64("doc_id").alias("h")), "h")
+    changed = int(round((1 - similarity) * n, 6))
+    reach = n + int(np.ceil(changed / similarity))
+    around = docs.where(may_hold(wanted, F.xxhash64("doc_id"))).join(grouped, "doc_id").select("doc_id", "spots", "text").mapInArrow(*_around(k, n, reach))
+    around = around.join(lists.select("seed", "parts").distinct(), "seed").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("first"), F.greatest(i, F.col("part")).alias("second")))
+    blocks = around.select("seed", "doc_id", "pos", "open", "low", "high", "near", "part", F.explode(met).alias("m")).select("seed", "doc_id", "pos", "open", "low", "high", "near", "part", "m.first", "m.second")
+    pairs = blocks.groupBy("seed", "first", "second").applyInPandas(*_compared(k, n, n - 1 - 2 * changed, n - 1))
+    listed = F.array_sort(F.collect_set(F.struct("pos", "opos")))
+    segments = F.flatten(F.transform(listed, lambda p, i: F.array(i, p["pos"].cast("int"), (p["pos"] + k).cast("int"), p["opos"].cast("int"))))
+    low, high = lambda c: F.greatest(F.min(c) - n, F.lit(0)).cast("int"), lambda c: (F.max(c) + k + n).cast("int")
+    return pairs.groupBy("doc_id", "other").agg(segments.alias("segments"), low("pos").alias("low"), high("pos").alias("high"), low("opos").alias("other_low"), high("opos").alias("other_high"))
+
+
+def _verified(docs: DataFrame, found: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """The passages of chains: only the words around them go on with a pair."""
+    wanted = bitmap_of(found.select(F.explode(F.array("doc_id", "other")).alias("id")).distinct().select(F.xxhash64("id").alias("h")), "h")
+    tokens = cut(docs.where(may_hold(wanted, F.xxhash64("doc_id"))).mapInArrow(_tokens, "doc_id long, tokens binary"), "words")
+    piece = lambda c, low, high: F.substring(F.col(c), 4 * F.col(low) + 1, 4 * (F.col(high) - F.col(low)))
+    both = found.join(tokens, "doc_id").withColumn("tokens", piece("tokens", "low", "high"))
+    both = both.join(tokens.select(F.col("doc_id").alias("other"), F.col("tokens").alias("other_tokens")), "other").withColumn("other_tokens", piece("other_tokens", "other_low", "other_high"))
+    return both.select("doc_id", "other", "segments", "low", "other_low", "tokens", "other_tokens").mapInPandas(*_aligned(min_words, similarity)).distinct()
+
+
+def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, k: int = K, sub: int = SUB, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """One row per passage of a document that an earlier one has: doc_id, start_word, end_word, ref_doc_id, ref_start, ref_end, n_equal.
 
     Passages have ``min_words`` words at least and ``similarity`` of them equal and in order. Words are parted by
-    ASCII white space; A-Z are lower-cased; words are compared by 32-bit hashes. ``sub`` = ``k`` makes every run of
-    ``k`` words a seed: then all words of verbatim passages that any earlier document has are reported, with one
-    that has them. With the default a third of the runs are seeds, and passages with changed words are compared
-    with the first holders of their seeds and the ones before; the README states the recall against all pairs. Rows
+    ASCII white space; A-Z are lower-cased; words are compared by 32-bit hashes. Of the documents that have a
+    passage, copies are represented by their first one; no other is left out, however many hold its seeds. ``sub``
+    = ``k`` makes every run of ``k`` words a seed; with the default a third of the runs are, and passages with
+    changed words that share too few of them are missed; the README states the recall against all pairs. Seeds with
+    more than ``most`` contexts are compared in blocks, which changes no passage's being found. Rows
     with a null id, null and short texts take no part; of rows that repeat an id each is compared; repeats inside a
     document aren't reported; other columns are ignored; an empty table gives no rows.
     """
     bits = bucket_bits(documents.sparkSession)
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null and text is not null")
-    matches = dealt(docs.mapInArrow(*_seeds(k, sub, min_words, bits))).mapInArrow(*_matches(k, min_words, bits))
-    found = cut(dealt(matches).mapInArrow(*_chained(k, sub, min_words, similarity)), "chains")
-    wanted = bitmap_of(found.select(F.explode(F.array("doc_id", "other")).alias("id")).distinct().select(F.xxhash64("id").alias("h")), "h")
-    tokens = cut(docs.where(may_hold(wanted, F.xxhash64("doc_id"))).mapInArrow(_tokens, "doc_id long, tokens binary"), "words")
-    # only the words around the chains go on with a pair
-    piece = lambda c, low, high: F.substring(F.col(c), 4 * F.col(low) + 1, 4 * (F.col(high) - F.col(low)))
-    both = found.join(tokens, "doc_id").withColumn("tokens", piece("tokens", "low", "high"))
-    both = both.join(tokens.select(F.col("doc_id").alias("other"), F.col("tokens").alias("other_tokens")), "other").withColumn("other_tokens", piece("other_tokens", "other_low", "other_high"))
-    return both.select("doc_id", "other", "segments", "low", "other_low", "tokens", "other_tokens").mapInPandas(*_aligned(min_words, similarity)).distinct()
+    thin = least_seeds(k, sub, min_words, similarity) <= 2
+    matches = dealt(docs.mapInArrow(*_seeds(k, sub, min_words, bits))).mapInArrow(*_matches(k, min_words, bits, thin, most))
+    chains_ = cut(dealt(matches).mapInArrow(*_chained(k, sub, min_words, similarity)), "chains")
+    spots = chains_.where("low is null").select("doc_id", F.col("other").alias("seed"), F.col("segments")[0].alias("pos"))
+    found = _verified(docs, chains_.where("low is not null"), min_words, similarity)
+    if spots.isEmpty():
+        return found
+    found = cut(found, "passages")
+    rest = cut(_left_open(docs, spots, found, k, min_words, similarity), "open_chains")
+    return found.unionByName(_verified(docs, rest, min_words, similarity)).distinct()
 
 
 def _unused(columns: list[str], name: str) -> str:

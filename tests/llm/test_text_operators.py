@@ -11,7 +11,7 @@ from axisframe.llm import jaccard_join as J
 from axisframe.llm.decontaminate import decontaminate
 from axisframe.llm.exact_dedup import build_filter, dedup_batch, exact_dedup, in_filter, write_snapshot
 from axisframe.llm.line_dedup import dedup_lines, edit_distance, line_classes, line_report, probes, segments
-from axisframe.llm.substring_dedup import align, chains, denser, passages, remove_passages, repeated_passages
+from axisframe.llm.substring_dedup import align, chains, common_pairs, denser, passages, remove_passages, repeated_passages
 
 np = pytest.importorskip("numpy")
 SCHEMA = "doc_id long, text string, key string, rep long, line long, start int, bucket long, words string"
@@ -388,6 +388,33 @@ def test_changed_passages_amid_fragments(spark, kinds):
     assert {p.doc_id for p in found} <= set(texts) and all(p.n_equal >= 0.8 * max(p.end_word - p.start_word, p.ref_end - p.ref_start) for p in found)
 
 
+@pytest.mark.parametrize("how", [{}, {"most": 3}, {"most": 3, "sub": 4}])
+def test_changed_passages_amid_long_fragments(spark, how):
+    """Seven fragments of 36 words of a passage stand before each of its copies: whoever holds a copy's seeds, an earlier copy is found."""
+    r, rows, texts = random.Random(21), [], {}
+    bases = [words_of(60, 7000 + f) for f in range(3)]
+    for copy in range(5):
+        for f, base in enumerate(bases):
+            for _ in range(7):
+                a = r.randrange(25)
+                rows.append((len(rows), " ".join(words_of(30, 10**6 + len(rows)) + base[a : a + 36] + words_of(30, 2 * 10**6 + len(rows)))))
+            own = [f"x{r.random()}" if copy and 0 < i < 59 and r.random() < 0.06 else w for i, w in enumerate(base)]
+            texts[len(rows)] = (f, own)
+            rows.append((len(rows), " ".join(words_of(20, 3 * 10**6 + len(rows)) + own + words_of(20, 4 * 10**6 + len(rows)))))
+    want = {d for d, (f, x) in texts.items() for e, (g, y) in texts.items() if e < d and f == g and _common_words(x, y) >= 0.8 * 60}
+    found = repeated_passages(table(spark, rows), **how).collect()
+    assert len(want) >= 10 and want == {p.doc_id for p in found if p.doc_id in texts and p.ref_doc_id in texts}
+    assert all(p.n_equal >= 0.8 * max(p.end_word - p.start_word, p.ref_end - p.ref_start) for p in found)
+
+
+def test_common_pairs_against_counting():
+    r = random.Random(3)
+    own, other = ([np.array([r.choice([1, 2, r.randrange(900)]) for _ in range(r.randrange(40))], np.uint16) for _ in range(n)] for n in (30, 120))
+    got = common_pairs(own, other)
+    assert all(got[i, j] == np.isin(x, y).sum() for i, x in enumerate(own) for j, y in enumerate(other))
+    assert common_pairs(own, [own[0][:0]]).sum() == 0
+
+
 def test_verbatim_passages_amid_nested_boilerplate(spark):
     """All words of runs of 50 words that an earlier document has, against brute force over all pairs."""
     r, line = random.Random(6), words_of(90, 3)
