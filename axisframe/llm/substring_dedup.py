@@ -681,10 +681,12 @@ def _left_open(docs: DataFrame, spots: DataFrame, found: DataFrame, k: int, n: i
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("first"), F.greatest(i, F.col("part")).alias("second")))
     blocks = around.select("seed", "doc_id", "pos", "open", "low", "high", "near", "part", F.explode(met).alias("m")).select("seed", "doc_id", "pos", "open", "low", "high", "near", "part", "m.first", "m.second")
     pairs = blocks.groupBy("seed", "first", "second").applyInPandas(*_compared(k, n, n - 1 - 2 * changed, n - 1))
-    listed = F.array_sort(F.collect_set(F.struct("pos", "opos")))
-    segments = F.flatten(F.transform(listed, lambda p, i: F.array(i, p["pos"].cast("int"), (p["pos"] + k).cast("int"), p["opos"].cast("int"))))
+    # near seeds of one diagonal are one segment
+    pairs = pairs.groupBy("doc_id", "other", (F.col("pos") - F.col("opos")).alias("shift"), F.floor(F.col("pos") / n).alias("near")).agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.min("opos").alias("opos"))
+    listed = F.array_sort(F.collect_set(F.struct("pos", "last", "opos")))
+    segments = F.flatten(F.transform(listed, lambda p, i: F.array(i, p["pos"].cast("int"), (p["last"] + k).cast("int"), p["opos"].cast("int"))))
     low, high = lambda c: F.greatest(F.min(c) - n, F.lit(0)).cast("int"), lambda c: (F.max(c) + k + n).cast("int")
-    return pairs.groupBy("doc_id", "other").agg(segments.alias("segments"), low("pos").alias("low"), high("pos").alias("high"), low("opos").alias("other_low"), high("opos").alias("other_high"))
+    return pairs.groupBy("doc_id", "other").agg(segments.alias("segments"), low("pos").alias("low"), high(F.col("last")).alias("high"), low("opos").alias("other_low"), high(F.col("opos") + F.col("last") - F.col("pos")).alias("other_high"))
 
 
 def _verified(docs: DataFrame, found: DataFrame, min_words: int, similarity: float) -> DataFrame:
