@@ -704,10 +704,11 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, similari
 
     Passages have ``min_words`` words at least and ``similarity`` of them equal and in order. Words are parted by
     ASCII white space; A-Z are lower-cased; words are compared by 32-bit hashes. Of the documents that have a
-    passage, copies are represented by their first one; no other is left out, however many hold its seeds. ``sub``
+    passage, copies are represented by their first one. ``sub``
     = ``k`` makes every run of ``k`` words a seed; with the default a third of the runs are, and passages with
     changed words that share too few of them are missed; the README states the recall against all pairs. Seeds with
-    more than ``most`` contexts are compared in blocks, which changes no passage's being found. Rows
+    more than ``most`` contexts are compared in blocks only where a passage found before doesn't hold them, so not
+    every similar document is reported for those; pairs need as many equal pairs of words as the changed words leave. Rows
     with a null id, null and short texts take no part; of rows that repeat an id each is compared; repeats inside a
     document aren't reported; other columns are ignored; an empty table gives no rows.
     """
