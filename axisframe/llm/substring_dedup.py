@@ -41,6 +41,8 @@ MAX_GAP, GAP_COST = 40, 0.25
 HOT = FLUSH >> 11
 #: Contexts of a seed that are joined outright; of more, those left open are compared in blocks of about so many rows.
 MOST, BLOCK = 32, 1 << 13
+#: Rows that hold a run of words, at most, where partners are looked up by it.
+FEW = 64
 #: Pairs of rows at a time, at most; seeds of which the least one stands for a shared run.
 PAIRS, STAND_IN = 1 << 20, 7
 #: Seed, document, place, context, seed before and after, words after (highest bit: stands for a run).
@@ -300,15 +302,15 @@ def least_seeds(k: int, sub: int, min_words: int, similarity: float) -> int:
     return max(1, (min_words - k + 1 - k * int(round((1 - similarity) * min_words, 6))) // (k - sub + 1))
 
 
-def _chained(k: int, sub: int, min_words: int, similarity: float):
-    """Per pair with a chain of enough seeds: doc_id, other, its chains' segments (chain, start, stop, other start), and the words they lie in, with a margin.
+def _chained(k: int, sub: int, min_words: int, similarity: float, alone: bool = False):
+    """Per pair with a chain of enough seeds (``alone``: each segment is one): doc_id, other, its chains' segments (chain, start, stop, other start), and the words they lie in, with a margin.
 
     Rows of seeds with many contexts pass: doc_id, the seed, its place, and nulls.
     """
     names = ["doc_id", "other", "segments", "low", "high", "other_low", "other_high"]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
-    least = least_seeds(k, sub, min_words, similarity)
+    least = 1 if alone else least_seeds(k, sub, min_words, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (_, doc, other, pos, opos, size) in buckets(batches, _PAIR):
@@ -343,7 +345,7 @@ def _chained(k: int, sub: int, min_words: int, similarity: float):
                 a, b = lo[i], hi[i]
                 # a chain's seeds may have gone to another place of the same words, where a pair has many
                 need = least if seeds[i] < 3 * least else 1
-                found = chained(start[a:b], stop[a:b], start[a:b] - off[a:b], k, seeds=in_segment[a:b], least=need)
+                found = list(np.stack([start[a:b], stop[a:b], start[a:b] - off[a:b]], 1)[:, None]) if alone else chained(start[a:b], stop[a:b], start[a:b] - off[a:b], k, seeds=in_segment[a:b], least=need)
                 if not found:
                     continue
                 flat = np.concatenate([np.c_[np.full(len(c), j), c] for j, c in enumerate(found)])
@@ -455,7 +457,7 @@ def parts(own: np.ndarray, other: np.ndarray, min_words: int = MIN_WORDS, simila
     Inside a chain, words between two equal ones count by the side that has more of them.
     """
     n = len(own)
-    if not n:
+    if not n or n < similarity * min_words - 1e-6:
         return []
     a, b = own[-1] - own[0] + 1, other[-1] - other[0] + 1
     if min(a, b) >= min_words and n >= similarity * max(a, b):
@@ -533,8 +535,11 @@ def denser(x: np.ndarray, y: np.ndarray, segments: np.ndarray, min_words: int =
 def passages(x: np.ndarray, y: np.ndarray, segments: np.ndarray, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, int]]:
     """As :func:`align`: the chain if it is similar enough, or else what of it and of its segments is, or of denser chains around it."""
     out = _similar(x, y, segments, min_words, similarity)
+    # with fewer equal words, a chain neither holds a passage nor goes on beyond the words looked at
+    least = min(similarity * min_words - 1e-6, (2 * min_words - 3) / 3)
     for c in [] if out else denser(x, y, segments, min_words, similarity):
-        out += [p for p in _similar(x, y, c, min_words, similarity) if not any(q[0] <= p[0] and p[1] <= q[1] for q in out)]
+        if len(equal_words(x, y, c, min_words)[0]) >= least:
+            out += [p for p in _similar(x, y, c, min_words, similarity) if not any(q[0] <= p[0] and p[1] <= q[1] for q in out)]
     return out
 
 
@@ -553,25 +558,53 @@ def _similar(x: np.ndarray, y: np.ndarray, segments: np.ndarray, min_words: int,
     return out
 
 
+def _by_row(tokens: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different runs of ``k`` of each row's words, rising; their rows, and how often they come."""
+    w, row = np.frombuffer(b"".join(tokens), np.uint32), np.repeat(np.arange(len(tokens)), [len(t) // 4 for t in tokens])
+    at = np.flatnonzero(row[k - 1 :] == row[: max(0, len(row) - k + 1)])
+    key, row = mix((_runs(w) if k == RUN else w.astype(np.uint64))[at] + row[at].astype(np.uint64) * _MULT[6]), row[at]
+    order = np.argsort(key)
+    begin, count = run_starts(key[order])
+    return key[order[begin]], row[order[begin]], count
+
+
+def shared_runs(tokens: list[bytes], others: list[bytes], k: int = RUN) -> np.ndarray:
+    """For each pair of rows: how many runs of ``k`` words (1 or ``RUN``) both have, repeated ones as often as the side that has fewer."""
+    (x, row, many), (y, _, others_many) = _by_row(tokens, k), _by_row(others, k)
+    if not len(x) or not len(y):
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    same = y[at] == x
+    return np.bincount(row[same], np.minimum(many, others_many[at])[same], len(tokens)).astype(np.int64)
+
+
 def _aligned(min_words: int, similarity: float):
     names = ["doc_id", "start_word", "end_word", "ref_doc_id", "ref_start", "ref_end", "n_equal"]
-    least = runs_kept(min_words, similarity)
+    least, around = runs_kept(min_words, similarity), 2 * min_words + MAX_GAP
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
+            for size, some in ((RUN, least), (1, similarity * min_words - 1e-6)):
+                rows = rows[shared_runs(rows.tokens.tolist(), rows.other_tokens.tolist(), size) >= some]
             for r in rows.itertuples():
                 x, y = np.frombuffer(r.tokens, np.uint32), np.frombuffer(r.other_tokens, np.uint32)
-                if _shared(_runs(x), np.sort(_runs(y))) < least:
-                    continue
-                found: list = []
+                found, void = [], set()
                 every = np.asarray(r.segments).reshape(-1, 4) - np.array([0, r.low, r.low, r.other_low])
                 for c in np.split(every[:, 1:], np.flatnonzero(np.diff(every[:, 0])) + 1):
                     if c[-1, 1] > len(x) or c[:, 2].min() < 0 or (c[:, 2] + c[:, 1] - c[:, 0]).max() > len(y):
                         continue  # another row's words under a repeated id
                     if any(p[0] <= c[0, 0] and c[-1, 1] <= p[1] and p[2] <= c[0, 2] and c[-1, 2] + c[-1, 1] - c[-1, 0] <= p[3] for p in found):
                         continue  # inside a passage already
-                    found += [p for p in passages(x, y, c, min_words, similarity) if not any(q[0] <= p[0] and p[1] <= q[1] and q[2] <= p[2] and p[3] <= q[3] for q in found)]
+                    # texts that repeat themselves have many chains with the same words around them
+                    at, oat = max(0, int(c[0, 0]) - around), max(0, int(c[0, 2]) - around)
+                    key = ((c - np.array([at, at, oat])).tobytes(), x[at : c[-1, 1] + around].tobytes(), y[oat : c[-1, 2] + c[-1, 1] - c[-1, 0] + around].tobytes()) if len(every) > 8 else None
+                    if key in void:
+                        continue
+                    new = passages(x, y, c, min_words, similarity)
+                    if key and not new:
+                        void.add(key)
+                    found += [p for p in new if not any(q[0] <= p[0] and p[1] <= q[1] and q[2] <= p[2] and p[3] <= q[3] for q in found)]
                 out += [(r.doc_id, r.low + a, r.low + b, r.other, r.other_low + oa, r.other_low + ob, equal) for a, b, oa, ob, equal in found]
             yield pd.DataFrame(out, columns=names).astype("int64")
 
@@ -639,33 +672,110 @@ def common_pairs(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compared(k: int, n: int, least: int, width: int, side: int = 512):
-    """Of a block of a seed's rows, or of two: open rows with earlier ones that have ``least`` equal pairs of words in ``width`` around the seed."""
+def _near_runs(near: np.ndarray, row: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
+    """Runs of three words, as following pairs of words: each one's row, where its holders start and how many they are, and the holders of all runs, rising."""
+    at = np.flatnonzero(row[1:] == row[:-1])
+    key = ((near[at].astype(np.uint64) << np.uint64(16)) | near[at + 1]) << np.uint64(32)
+    held, where = np.unique(key | row[at].astype(np.uint64), return_inverse=True)
+    begin, count = run_starts(held >> np.uint64(32))
+    of = (np.cumsum(np.r_[False, (held[1:] >> np.uint64(32)) != (held[:-1] >> np.uint64(32))]) if len(held) else np.zeros(0, np.int64))[where]
+    return row[at], begin[of], count[of], (held & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _shares(i: np.ndarray, j: np.ndarray, inner: np.ndarray, within: np.ndarray, sets: np.ndarray, least: int, width: int) -> np.ndarray:
+    """For pairs of rows: whether the second one has ``least`` of ``width`` following pairs of words of the first one."""
+    out = np.zeros(len(i), bool)
+    step = max(1, PAIRS // inner.shape[1])
+    for a in range(0, len(i), step):
+        x, y = i[a : a + step], j[a : a + step]
+        wanted = (y[:, None] << 16) | inner[x]
+        hit = (sets[np.minimum(np.searchsorted(sets, wanted.ravel()), len(sets) - 1)].reshape(wanted.shape) == wanted) & within[x]
+        total = np.zeros((len(x), inner.shape[1] + 1), np.int32)
+        np.cumsum(hit, 1, out=total[:, 1:])
+        out[a : a + step] = (total[:, width:] - total[:, :-width]).max(1) >= least
+    return out
+
+
+def _compared(k: int, n: int, least: int, width: int, kept: int, side: int = 512):
+    """Of a block of a seed's rows, or of two: open rows with earlier ones that have ``least`` equal pairs of words in ``width`` around the seed.
+
+    Verification wants ``kept`` runs of words on both sides. Where fewer of a row's runs are held by many rows, its
+    partners hold one of the others and are looked up; only the other rows are compared with all.
+    """
     names = ["doc_id", "other", "pos", "opos"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "pos"], ignore_index=True)
-        doc, pos, part, near = rows.doc_id.to_numpy(), rows.pos.to_numpy(), rows.part.to_numpy(), [np.frombuffer(x, np.uint16) for x in rows.near]
-        inner = [x[a:b] for x, a, b in zip(near, rows.low.tolist(), rows.high.tolist(), strict=True)]
-        two, open_ = rows["first"].iloc[0] != rows["second"].iloc[0], np.flatnonzero(rows["open"].to_numpy())
-        out = [np.zeros((4, 0), np.int64)]
-        for a in range(0, len(open_), side):
-            own = open_[a : a + side]
+        doc, pos, part, open_ = rows.doc_id.to_numpy(), rows.pos.to_numpy(), rows.part.to_numpy(), rows["open"].to_numpy()
+        m, two = len(rows), rows["first"].iloc[0] != rows["second"].iloc[0]
+        flat, size = np.frombuffer(b"".join(rows.near), np.uint16), rows.near.str.len().to_numpy() // 2
+        row, begin = np.repeat(np.arange(m), size), np.cumsum(size) - size
+        sets = np.unique((row << 16) | flat)
+        low, high = rows.low.to_numpy(), rows.high.to_numpy()
+        if not len(sets):
+            return pd.DataFrame(np.zeros((0, 4), np.int64), columns=names)
+        places = np.arange(max(width, int((high - low).max())))
+        within = places < (high - low)[:, None]
+        inner = flat[np.minimum((begin + low)[:, None] + places, len(flat) - 1)].astype(np.int64)
+        earlier = lambda i, j: (doc[j] < doc[i]) & ((part[i] != part[j]) | (not two))
+        found: list = []
+
+        def confirmed(i: np.ndarray, j: np.ndarray) -> None:
+            fits = earlier(i, j)
+            i, j = i[fits], j[fits]
+            good = _shares(i, j, inner, within, sets, least, width)
+            found.append((i[good], j[good]))
+
+        of, start, count, holders = _near_runs(flat, row, m)
+        often = np.bincount(of[count > FEW], minlength=m)
+        looked = open_ & (often < kept)
+        use = looked[of] & (count > 1) & (count <= FEW)
+        of, start, count = of[use], start[use], count[use]
+        total, a = np.cumsum(count), 0
+        while a < len(of):
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right"))
+            b = max(int(np.searchsorted(of, of[b])) if b < len(of) else b, int(np.searchsorted(of, of[a], "right")))  # whole rows
+            c = count[a:b]
+            i = np.repeat(of[a:b], c)
+            j = holders[np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(start[a:b], c)]
+            before = j < i
+            pair, shared = np.unique(i[before] * m + j[before], return_counts=True)
+            i, j = np.divmod(pair, m)
+            enough = shared >= kept - often[i]
+            confirmed(i[enough], j[enough])
+            a = b
+        rest = np.flatnonzero(open_ & ~looked)
+        near = np.split(flat, begin[1:]) if len(rest) else []
+        for a in range(0, len(rest), side):
+            own = rest[a : a + side]
+            words_ = [inner[x][within[x]] for x in own]
             for b in range(0, int(own[-1]), side):
                 other = np.arange(b, min(b + side, int(own[-1])))
-                i, j = np.nonzero(common_pairs([inner[x] for x in own], [near[x] for x in other]) >= least)
-                i, j = own[i], other[j]
-                fits = (doc[j] < doc[i]) & ((part[i] != part[j]) | (not two))
-                for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
-                    hit = np.r_[0, np.cumsum(np.isin(inner[x], near[y]))]
-                    if (hit[min(width, len(hit) - 1) :] - hit[: max(1, len(hit) - width)]).max() >= least:
-                        out.append(np.array([[doc[x]], [doc[y]], [pos[x]], [pos[y]]], np.int64))
-        return pd.DataFrame(np.concatenate(out, 1).T, columns=names)
+                i, j = np.nonzero(common_pairs(words_, [near[x] for x in other]) >= least)
+                confirmed(own[i], other[j])
+        i, j = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in (0, 1))
+        return pd.DataFrame(np.stack([doc[i], doc[j], pos[i].astype(np.int64), pos[j].astype(np.int64)], 1), columns=names)
 
     return run, "doc_id long, other long, pos long, opos long"
 
 
-def _left_open(docs: DataFrame, spots: DataFrame, found: DataFrame, k: int, n: int, similarity: float) -> DataFrame:
+def _packed(k: int, bits: int):
+    """Packed matches of pairs of rows that share a seed's surroundings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(bits)
+        for batch in batches:
+            doc, other, pos, opos = (batch.column(c).to_numpy() for c in ("doc_id", "other", "pos", "opos"))
+            packer.add(*_pairs(doc, other, pos, opos, k))
+            if packer.n >= FLUSH:
+                yield packer.pack()
+        if packer.n:
+            yield packer.pack()
+
+    return run, PACKED_DDL
+
+
+def _left_open(docs: DataFrame, spots: DataFrame, found: DataFrame, k: int, sub: int, n: int, similarity: float, bits: int) -> DataFrame:
     """Pairs (as of :func:`_chained`) for the rows of seeds with many contexts whose words are in no passage yet."""
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     inside = F.exists("spans", lambda s: (s["start_word"] <= F.col("pos")) & (F.col("pos") + k <= s["end_word"]))
@@ -680,13 +790,8 @@ def _left_open(docs: DataFrame, spots: DataFrame, found: DataFrame, k: int, n: i
     around = around.join(lists.select("seed", "parts").distinct(), "seed").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("first"), F.greatest(i, F.col("part")).alias("second")))
     blocks = around.select("seed", "doc_id", "pos", "open", "low", "high", "near", "part", F.explode(met).alias("m")).select("seed", "doc_id", "pos", "open", "low", "high", "near", "part", "m.first", "m.second")
-    pairs = blocks.groupBy("seed", "first", "second").applyInPandas(*_compared(k, n, n - 1 - 2 * changed, n - 1))
-    # near seeds of one diagonal are one segment
-    pairs = pairs.groupBy("doc_id", "other", (F.col("pos") - F.col("opos")).alias("shift"), F.floor(F.col("pos") / n).alias("near")).agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.min("opos").alias("opos"))
-    listed = F.array_sort(F.collect_set(F.struct("pos", "last", "opos")))
-    segments = F.flatten(F.transform(listed, lambda p, i: F.array(i, p["pos"].cast("int"), (p["last"] + k).cast("int"), p["opos"].cast("int"))))
-    low, high = lambda c: F.greatest(F.min(c) - n, F.lit(0)).cast("int"), lambda c: (F.max(c) + k + n).cast("int")
-    return pairs.groupBy("doc_id", "other").agg(segments.alias("segments"), low("pos").alias("low"), high(F.col("last")).alias("high"), low("opos").alias("other_low"), high(F.col("opos") + F.col("last") - F.col("pos")).alias("other_high"))
+    pairs = blocks.groupBy("seed", "first", "second").applyInPandas(*_compared(k, n, n - 1 - 2 * changed, n - 1, runs_kept(n, similarity)))
+    return dealt(pairs.mapInArrow(*_packed(k, bits))).mapInArrow(*_chained(k, sub, n, similarity, True))
 
 
 def _verified(docs: DataFrame, found: DataFrame, min_words: int, similarity: float) -> DataFrame:
@@ -722,7 +827,7 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, similari
     if spots.isEmpty():
         return found
     found = cut(found, "passages")
-    rest = cut(_left_open(docs, spots, found, k, min_words, similarity), "open_chains")
+    rest = cut(_left_open(docs, spots, found, k, sub, min_words, similarity, bits), "open_chains")
     return found.unionByName(_verified(docs, rest, min_words, similarity)).distinct()
 
 

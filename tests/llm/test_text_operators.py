@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from axisframe.llm import jaccard_join as J
+from axisframe.llm import substring_dedup as S
 from axisframe.llm.decontaminate import decontaminate
 from axisframe.llm.exact_dedup import build_filter, dedup_batch, exact_dedup, in_filter, write_snapshot
 from axisframe.llm.line_dedup import dedup_lines, edit_distance, line_classes, line_report, probes, segments
@@ -415,6 +416,53 @@ def test_common_pairs_against_counting():
     assert common_pairs(own, [own[0][:0]]).sum() == 0
 
 
+def blocks_of(texts, seed_at):
+    """Rows of one seed as they come to the comparison."""
+    pa, pd = pytest.importorskip("pyarrow"), pytest.importorskip("pandas")
+    spots = [[{"seed": 1, "pos": p, "open": True}] for p in seed_at]
+    run, _ = S._around(4, 50, 63)
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(spots), pa.array([" ".join(t) for t in texts])], names=["doc_id", "spots", "text"])
+    rows = pd.concat([b.to_pandas() for b in run(iter([batch]))])
+    return rows.assign(part=0, first=0, second=0)
+
+
+def test_rows_of_a_frequent_line_are_looked_up(monkeypatch):
+    """Rows that share a line only are no longer compared with all others; planted passages stay found, where all runs are frequent, too."""
+    line, passage = words_of(12, 1), words_of(60, 2)
+    texts = [words_of(60, 1000 + i) + line + words_of(60, 5000 + i) for i in range(300)]
+    for i in (40, 150, 290):
+        texts[i] = words_of(36, 9000 + i) + passage[:24] + line + passage[24:] + words_of(20, 9500 + i)
+    rows = blocks_of(texts, [64] * 300)
+
+    def pairs(kept):
+        got = S._compared(4, 50, 29, 49, kept)[0](rows)
+        return sorted(map(tuple, got[["doc_id", "other"]].values.tolist()))
+
+    assert pairs(0) == [(150, 40), (290, 40), (290, 150)]  # all with all
+    monkeypatch.setattr(S, "FEW", 1)
+    assert pairs(18) == [(150, 40), (290, 40), (290, 150)]
+    monkeypatch.setattr(S, "FEW", 64)
+    monkeypatch.setattr(S, "common_pairs", None)
+    assert pairs(18) == [(150, 40), (290, 40), (290, 150)]
+
+
+def test_texts_that_repeat_themselves_are_verified_once(monkeypatch):
+    """Chains with the same words around them: 1,600 places of a unit of which too few words are equal."""
+    pd = pytest.importorskip("pandas")
+    own, other = [np.tile(np.r_[np.arange(20), np.arange(a, a + 11)], 40).astype(np.uint32) for a in (100, 200)]
+    segments = np.array([[40 * i + j, 31 * i, 31 * i + 20, 31 * j] for i in range(40) for j in range(40)]).ravel()
+    calls, passages_ = [], S.passages
+    monkeypatch.setattr(S, "passages", lambda *a: calls.append(1) or passages_(*a))
+    rows = pd.DataFrame({"doc_id": [2], "other": [1], "segments": [segments], "low": [0], "other_low": [0], "tokens": [own.tobytes()], "other_tokens": [other.tobytes()]})
+    assert sum(map(len, S._aligned(50, 0.8)[0](iter([rows])))) == 0 and 0 < len(calls) <= 200
+
+
+def test_shared_runs_count_repeats_once_a_side():
+    pack = lambda *w: np.array(w, np.uint32).tobytes()
+    own, other = [pack(*[7] * 40), pack(1, 2, 3, 4), b""], [pack(*[7] * 10), pack(9, 1, 2, 3), pack(1)]
+    assert S.shared_runs(own, other).tolist() == [8, 1, 0] and S.shared_runs(own, other, 1).tolist() == [10, 3, 0]
+
+
 def test_verbatim_passages_amid_nested_boilerplate(spark):
     """All words of runs of 50 words that an earlier document has, against brute force over all pairs."""
     r, line = random.Random(6), words_of(90, 3)
