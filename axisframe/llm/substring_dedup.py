@@ -54,6 +54,12 @@ def _pairs(doc: np.ndarray, other: np.ndarray, pos: np.ndarray, opos: np.ndarray
     return [mix(doc.view(np.uint64) * _MULT[60] + other.view(np.uint64) * _MULT[61]), doc, other, pos.astype(np.int32), opos.astype(np.int32), np.broadcast_to(size, len(doc)).astype(np.int32)]
 
 
+def _rising(x: np.ndarray) -> np.ndarray:
+    """The different values, rising: by sorting, which is faster here than numpy's hash table."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _heads(rows: np.ndarray, *marks: np.ndarray) -> np.ndarray:
     """For each of the rising ``rows``, the first one with the same marks."""
     order = np.lexsort((rows, *(m[rows] for m in marks)))
@@ -367,14 +373,6 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array([short[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())], names=["doc_id", "tokens"])
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short runs of words."""
-    row = np.zeros(len(y) + 1, np.int64)
-    for c in x:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == c, row[:-1] + 1, 0)))
-    return int(row[-1])
-
-
 def _reach(x: np.ndarray, y: np.ndarray, drop: int = 4) -> tuple[int, int]:
     """How far equal words go on from the start of both, over single changed words, and how many are equal."""
     n = min(len(x), len(y))
@@ -391,17 +389,25 @@ def _reach(x: np.ndarray, y: np.ndarray, drop: int = 4) -> tuple[int, int]:
     return best, int(same[:best].sum())
 
 
-def align(x: np.ndarray, y: np.ndarray, segments: np.ndarray) -> tuple[int, int, int, int, int]:
+def _trimmed(segments: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(where the last segment ends, and on the other side; start, stop, other start): where segments overlap, the later one gives way."""
+    end, oend = int(segments[0, 0]), int(segments[0, 2])
+    for s, e, o in segments.tolist():
+        cut_ = max(0, end - s, oend - o)
+        s, o = s + cut_, o + cut_
+        if s < e:
+            yield end, oend, s, e, o
+            end, oend = e, o + e - s
+
+
+def align(x: np.ndarray, y: np.ndarray, segments: np.ndarray, known: Known | None = None) -> tuple[int, int, int, int, int]:
     """(start, stop, other start, other stop, equal words) of a chain between two documents' words."""
+    known = known or Known(x, y)
     a, oa = int(segments[0, 0]), int(segments[0, 2])
     end, oend, equal = a, oa, 0
-    for s, e, o in segments.tolist():
-        cut_ = max(0, end - s, oend - o)  # where segments overlap, the later one gives way
-        s, o = s + cut_, o + cut_
-        if s >= e:
-            continue
-        equal += _common(x[end:s], y[oend:o]) + int((x[s:e] == y[o : o + e - s]).sum())
-        end, oend = e, o + e - s
+    for link in _trimmed(segments):
+        equal += len(known.equal(link)[0])
+        end, oend = link[3], link[4] + link[3] - link[2]
     go, same = _reach(x[end:], y[oend:])
     end, oend, equal = end + go, oend + go, equal + same
     go, same = _reach(x[:a][::-1], y[:oa][::-1])
@@ -429,23 +435,55 @@ def _equal_pairs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def equal_words(x: np.ndarray, y: np.ndarray, segments: np.ndarray, reach: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+class Known:
+    """What is known about two documents' words, by places: chains of texts that repeat themselves ask for the same again and again."""
+
+    #: Links at a time, at most.
+    MOST = 1 << 14
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y, self.links, self.gaps, self.lines, self.chains = x, y, {}, {}, {}, {}
+
+    def equal(self, link: tuple[int, int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the equal words between two segments and in the later one, on both sides."""
+        if link not in self.links:
+            end, oend, s, e, o = link
+            at = np.flatnonzero(self.x[s:e] == self.y[o : o + e - s])
+            own, other = at + s, at + o
+            if end < s and oend < o:
+                gap = self.x[end:s].tobytes(), self.y[oend:o].tobytes()
+                if gap not in self.gaps:
+                    self.gaps[gap] = np.array(_equal_pairs(self.x[end:s], self.y[oend:o]), np.int64).reshape(-1, 2).T
+                i, j = self.gaps[gap]
+                own, other = np.concatenate([i + end, own]), np.concatenate([j + oend, other])
+            for held in (self.links, self.gaps):
+                if len(held) >= self.MOST:
+                    held.clear()
+            self.links[link] = own, other
+        return self.links[link]
+
+    def similar(self, diagonal: int, min_words: int, similarity: float) -> bool:
+        """Whether a diagonal (own place - other place) holds similar words anywhere; if not, no part of it does."""
+        if diagonal not in self.lines:
+            a, b = max(0, diagonal), min(len(self.x), len(self.y) + diagonal)
+            at = np.flatnonzero(self.x[a:b] == self.y[a - diagonal : b - diagonal]) if a < b else np.zeros(0, np.int64)
+            self.lines[diagonal] = bool(parts(at, at, min_words, similarity))
+        return self.lines[diagonal]
+
+
+def equal_words(x: np.ndarray, y: np.ndarray, segments: np.ndarray, reach: int = MIN_WORDS, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of a chain's equal words and of those up to ``reach`` words before and behind it, on both sides."""
+    known = known or Known(x, y)
     a, oa = int(segments[0, 0]), int(segments[0, 2])
     end, oend = a, oa
     go = min(reach, a, oa)
     at = np.flatnonzero(x[a - go : a] == y[oa - go : oa])
     own, other = [at + a - go], [at + oa - go]
-    for s, e, o in segments.tolist():
-        cut_ = max(0, end - s, oend - o)
-        s, o = s + cut_, o + cut_
-        if s >= e:
-            continue
-        between = np.array(_equal_pairs(x[end:s], y[oend:o]), np.int64).reshape(-1, 2)
-        at = np.flatnonzero(x[s:e] == y[o : o + e - s])
-        own += [between[:, 0] + end, at + s]
-        other += [between[:, 1] + oend, at + o]
-        end, oend = e, o + e - s
+    for link in _trimmed(segments):
+        at, oat = known.equal(link)
+        own.append(at)
+        other.append(oat)
+        end, oend = link[3], link[4] + link[3] - link[2]
     go = min(reach, len(x) - end, len(y) - oend)
     at = np.flatnonzero(x[end : end + go] == y[oend : oend + go])
     return np.concatenate([*own, at + end]), np.concatenate([*other, at + oend])
@@ -532,25 +570,30 @@ def denser(x: np.ndarray, y: np.ndarray, segments: np.ndarray, min_words: int =
     return chains(pos, opos, RUN, RUN) if len(pos) else []
 
 
-def passages(x: np.ndarray, y: np.ndarray, segments: np.ndarray, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, int]]:
+def passages(x: np.ndarray, y: np.ndarray, segments: np.ndarray, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, known: Known | None = None) -> list[tuple[int, int, int, int, int]]:
     """As :func:`align`: the chain if it is similar enough, or else what of it and of its segments is, or of denser chains around it."""
-    out = _similar(x, y, segments, min_words, similarity)
+    known = known or Known(x, y)
+    out = _similar(x, y, segments, min_words, similarity, known)
     # with fewer equal words, a chain neither holds a passage nor goes on beyond the words looked at
     least = min(similarity * min_words - 1e-6, (2 * min_words - 3) / 3)
     for c in [] if out else denser(x, y, segments, min_words, similarity):
-        if len(equal_words(x, y, c, min_words)[0]) >= least:
-            out += [p for p in _similar(x, y, c, min_words, similarity) if not any(q[0] <= p[0] and p[1] <= q[1] for q in out)]
+        key = c.tobytes()
+        if key not in known.chains:
+            known.chains[key] = _similar(x, y, c, min_words, similarity, known) if len(equal_words(x, y, c, min_words, known)[0]) >= least else []
+        out += [p for p in known.chains[key] if not any(q[0] <= p[0] and p[1] <= q[1] for q in out)]
     return out
 
 
-def _similar(x: np.ndarray, y: np.ndarray, segments: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
-    whole = align(x, y, segments)
+def _similar(x: np.ndarray, y: np.ndarray, segments: np.ndarray, min_words: int, similarity: float, known: Known) -> list[tuple[int, int, int, int, int]]:
+    whole = align(x, y, segments, known)
     a, b, oa, ob, equal = whole
     if min(b - a, ob - oa) >= min_words and equal >= similarity * max(b - a, ob - oa):
         return [whole]
     out: list = []
     for part in [segments, *(segments[i : i + 1] for i in range(len(segments)) if len(segments) > 1)]:
-        own, other = equal_words(x, y, part, min_words)
+        if len(part) == 1 and not known.similar(int(part[0, 0] - part[0, 2]), min_words, similarity):
+            continue
+        own, other = equal_words(x, y, part, min_words, known)
         for i, j in parts(own, other, min_words, similarity):
             row = (int(own[i]), int(own[j]) + 1, int(other[i]), int(other[j]) + 1, j - i + 1)
             if not any(r[0] <= row[0] and row[1] <= r[1] for r in out):
@@ -589,7 +632,7 @@ def _aligned(min_words: int, similarity: float):
                 rows = rows[shared_runs(rows.tokens.tolist(), rows.other_tokens.tolist(), size) >= some]
             for r in rows.itertuples():
                 x, y = np.frombuffer(r.tokens, np.uint32), np.frombuffer(r.other_tokens, np.uint32)
-                found, void = [], set()
+                found, void, known = [], set(), Known(x, y)
                 every = np.asarray(r.segments).reshape(-1, 4) - np.array([0, r.low, r.low, r.other_low])
                 for c in np.split(every[:, 1:], np.flatnonzero(np.diff(every[:, 0])) + 1):
                     if c[-1, 1] > len(x) or c[:, 2].min() < 0 or (c[:, 2] + c[:, 1] - c[:, 0]).max() > len(y):
@@ -601,7 +644,7 @@ def _aligned(min_words: int, similarity: float):
                     key = ((c - np.array([at, at, oat])).tobytes(), x[at : c[-1, 1] + around].tobytes(), y[oat : c[-1, 2] + c[-1, 1] - c[-1, 0] + around].tobytes()) if len(every) > 8 else None
                     if key in void:
                         continue
-                    new = passages(x, y, c, min_words, similarity)
+                    new = passages(x, y, c, min_words, similarity, known)
                     if key and not new:
                         void.add(key)
                     found += [p for p in new if not any(q[0] <= p[0] and p[1] <= q[1] and q[2] <= p[2] and p[3] <= q[3] for q in found)]
@@ -643,7 +686,7 @@ def common_pairs(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(own), len(other)), np.float32)
     if not size.sum() or not osize.sum():
         return out
-    x, y = np.concatenate(own).astype(np.int64), np.unique(np.repeat(np.arange(len(other)), osize) + (np.concatenate(other).astype(np.int64) << 32))
+    x, y = np.concatenate(own).astype(np.int64), _rising(np.repeat(np.arange(len(other)), osize) + (np.concatenate(other).astype(np.int64) << 32))
     row, orow, y = np.repeat(np.arange(len(own)), size), y & 0xFFFFFFFF, y >> 32
     held = np.bincount(y, minlength=1 << 16)
     # what many rows have is multiplied, the rest counted pair by pair
@@ -710,7 +753,7 @@ def _compared(k: int, n: int, least: int, width: int, kept: int, side: int = 512
         m, two = len(rows), rows["first"].iloc[0] != rows["second"].iloc[0]
         flat, size = np.frombuffer(b"".join(rows.near), np.uint16), rows.near.str.len().to_numpy() // 2
         row, begin = np.repeat(np.arange(m), size), np.cumsum(size) - size
-        sets = np.unique((row << 16) | flat)
+        sets = _rising((row << 16) | flat)
         low, high = rows.low.to_numpy(), rows.high.to_numpy()
         if not len(sets):
             return pd.DataFrame(np.zeros((0, 4), np.int64), columns=names)
@@ -794,14 +837,16 @@ def _left_open(docs: DataFrame, spots: DataFrame, found: DataFrame, k: int, sub:
     return dealt(pairs.mapInArrow(*_packed(k, bits))).mapInArrow(*_chained(k, sub, n, similarity, True))
 
 
-def _verified(docs: DataFrame, found: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """The passages of chains: only the words around them go on with a pair."""
+def _verified(docs: DataFrame, found: DataFrame, min_words: int, similarity: float, tasks: int = 0) -> DataFrame:
+    """The passages of chains: only the words around them go on with a pair, where given to so many tasks, whatever their bytes."""
     wanted = bitmap_of(found.select(F.explode(F.array("doc_id", "other")).alias("id")).distinct().select(F.xxhash64("id").alias("h")), "h")
     tokens = cut(docs.where(may_hold(wanted, F.xxhash64("doc_id"))).mapInArrow(_tokens, "doc_id long, tokens binary"), "words")
     piece = lambda c, low, high: F.substring(F.col(c), 4 * F.col(low) + 1, 4 * (F.col(high) - F.col(low)))
-    both = found.join(tokens, "doc_id").withColumn("tokens", piece("tokens", "low", "high"))
-    both = both.join(tokens.select(F.col("doc_id").alias("other"), F.col("tokens").alias("other_tokens")), "other").withColumn("other_tokens", piece("other_tokens", "other_low", "other_high"))
-    return both.select("doc_id", "other", "segments", "low", "other_low", "tokens", "other_tokens").mapInPandas(*_aligned(min_words, similarity)).distinct()
+    side = lambda i, t: tokens.select(F.col("doc_id").alias(i), F.col("tokens").alias(t))  # noqa: E731  of one form, so that their shuffle is one
+    both = found.withColumnRenamed("doc_id", "own").join(side("own", "own_tokens"), "own").withColumn("tokens", piece("own_tokens", "low", "high"))
+    both = both.join(side("other", "other_tokens"), "other").withColumn("other_tokens", piece("other_tokens", "other_low", "other_high"))
+    both = both.select(F.col("own").alias("doc_id"), "other", "segments", "low", "other_low", "tokens", "other_tokens")
+    return (both.repartition(tasks, "doc_id", "other") if tasks else both).mapInPandas(*_aligned(min_words, similarity)).distinct()
 
 
 def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, k: int = K, sub: int = SUB, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
@@ -828,7 +873,8 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, similari
         return found
     found = cut(found, "passages")
     rest = cut(_left_open(docs, spots, found, k, sub, min_words, similarity, bits), "open_chains")
-    return found.unionByName(_verified(docs, rest, min_words, similarity)).distinct()
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: pairs of one seed's rows are alike
+    return found.unionByName(_verified(docs, rest, min_words, similarity, tasks)).distinct()
 
 
 def _unused(columns: list[str], name: str) -> str:

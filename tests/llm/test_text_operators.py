@@ -485,3 +485,31 @@ def test_verbatim_passages_amid_nested_boilerplate(spark):
     found = repeated_passages(table(spark, [(i, " ".join(w)) for i, w in docs.items()]), sub=4).collect()
     got = {(r.doc_id, j) for r in found for j in range(r.start_word, r.end_word)}
     assert want <= got and any(r.doc_id == 203 and r.ref_doc_id == 201 for r in found)
+
+
+def test_repeated_lines_are_aligned_once(monkeypatch):
+    """Two texts of one line each, over and over: what is between two places is aligned once, not for every chain, and no passage changes."""
+    n = 30
+    own = np.array([21, 11, 18, 25, 1, 31, 13, 30, 3, 2, 17, 6, 19, 5, 26, 23, 9, 28, 19, 0, 20, 29, 26, 27, 8, 22, 15, 16, 26, 9] * n, np.uint32)
+    other = np.array([21, 11, 18, 25, 12, 19, 13, 10, 3, 2, 17, 6, 19, 5, 26, 4, 23, 9, 28, 19, 0, 20, 24, 7, 27, 8, 22, 14, 15, 16] * n, np.uint32)
+    every = [np.array([[30 * b, 30 * n, 0]]) for b in range(n - 4)]
+    want = [p for c in every for p in passages(own, other, c)]
+    asked, pairs = [], S._equal_pairs
+    monkeypatch.setattr(S, "_equal_pairs", lambda x, y: asked.append(1) or pairs(x, y))
+    known = S.Known(own, other)
+    assert [p for c in every for p in passages(own, other, c, known=known)] == want
+    assert 0 < len(asked) < 50  # 21,860 without
+
+
+def test_words_of_both_sides_share_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, " ".join(words_of(60, 1))) for i in range(4)], "doc_id long, text string")
+    found = spark.createDataFrame([(1, 0, [0, 0, 60, 0], 0, 60, 0, 60)], "doc_id long, other long, segments array<int>, low int, high int, other_low int, other_high int")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = S._verified(docs, found, 50, 0.8)
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString() and [tuple(r) for r in out.collect()] == [(1, 0, 60, 0, 0, 60, 60)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
