@@ -432,3 +432,19 @@ def test_products_are_dealt_in_ranges(spark, monkeypatch, part):
     out = L.matmul(spark.createDataFrame(left, "r long, k long, a double"), spark.createDataFrame(right, "k long, c long, b double"), "r", "k", "c")
     assert {(x.r, x.c): x.value for x in out.collect()} == want
     assert "rangepartitioning" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_are_summed_where_they_are_made(spark):
+    """Products of two matrices are never shuffled; text, null and NaN are indices like others, and far ones meet."""
+    r = random.Random(8)
+    left = [(i, r.randrange(40), float(r.randint(-3, 3))) for i in (*range(60), None, 10**12) for _ in range(9)] + [(5, None, 1.0)]
+    right = [(r.randrange(40), c, float(r.randint(-3, 3))) for c in ("a", "b", "", None, *map(str, range(30))) for _ in range(9)] + [(None, "a", 1.0)]
+    want = {}
+    for i, k, v in left:
+        for m, j, w in right:
+            if k is not None and k == m:
+                want[i, j] = want.get((i, j), 0.0) + v * w
+    out = L.matmul(spark.createDataFrame(left, "r long, k long, a double"), spark.createDataFrame(right, "k long, c string, b double"), "r", "k", "c")
+    assert {(x.r, x.c): x.value for x in out.collect()} == want and out.count() == len(want)
+    above = out._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+    assert above.count("Generate posexplode") == 2
