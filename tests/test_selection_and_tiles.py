@@ -448,3 +448,16 @@ def test_products_are_summed_where_they_are_made(spark):
     assert {(x.r, x.c): x.value for x in out.collect()} == want and out.count() == len(want)
     above = out._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
     assert above.count("Generate posexplode") == 2
+
+
+def test_items_with_equal_elements_go_as_lists(spark):
+    """Few kinds of items, some very frequent: each pair once, in as many tasks as there are partitions."""
+    from axisframe.operators import sampling as S
+
+    kinds = [{69}, set(range(0, 70, 2)), {1, 3}, set(range(70))]
+    held = {i: kinds[min(i % 97, 3)] for i in range(700)}
+    out = S.count_intersections(spark.createDataFrame([(i, e) for i, es in held.items() for e in es], "i long, e long"), "i", "e")
+    got = out.collect()
+    assert len(got) == len(want := {(a, b): n for a in held for b in held if a != b and (n := len(held[a] & held[b]))})
+    assert {(x.a, x.b): x.n for x in got} == want
+    assert out.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
