@@ -461,3 +461,14 @@ def test_items_with_equal_elements_go_as_lists(spark):
     assert len(got) == len(want := {(a, b): n for a in held for b in held if a != b and (n := len(held[a] & held[b]))})
     assert {(x.a, x.b): x.n for x in got} == want
     assert out.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_cells_without_rows_are_not_probed(spark):
+    """Rows on far lines are copied along their lines only; no pair is lost, also where sides have different types."""
+    r = random.Random(9)
+    rows = [(i, r.randrange(-400, 400) / 4, 10.0 * r.randrange(-3, 4)) for i in range(300)] + [(300, None, 1.0)]
+    left = spark.createDataFrame(rows, "id long, x double, y double")
+    right = left.select("id", F.col("x").cast("decimal(10,2)").alias("x"), F.col("y").cast("long").alias("y"))
+    want = {(i, j) for i, x, y in rows[:-1] for j, u, v in rows[:-1] if math.hypot(x - u, y - v) <= 5}
+    assert {(p.l_id, p.r_id) for p in N.range_join(left, right, ["x", "y"], 5).collect()} == want
+    assert N._probing(N._cells(left, ["x", "y"], 5.0), N._cells(left, ["x", "y"], 5.0), ["__c0", "__c1"]).where("x is not null").count() <= 3 * 300 + 9
