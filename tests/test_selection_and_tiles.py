@@ -472,3 +472,10 @@ def test_cells_without_rows_are_not_probed(spark):
     want = {(i, j) for i, x, y in rows[:-1] for j, u, v in rows[:-1] if math.hypot(x - u, y - v) <= 5}
     assert {(p.l_id, p.r_id) for p in N.range_join(left, right, ["x", "y"], 5).collect()} == want
     assert N._probing(N._cells(left, ["x", "y"], 5.0), N._cells(left, ["x", "y"], 5.0), ["__c0", "__c1"]).where("x is not null").count() <= 3 * 300 + 9
+
+
+def test_small_products_are_summed_before_their_shuffle(spark):
+    left = spark.range(4000).selectExpr("id % 3 AS r", "id AS k", "1.0D AS a")
+    out = L.matmul(left, left.selectExpr("k", "r AS c", "2.0D AS b"), "r", "k", "c")
+    assert sorted((x.r, x.c, x.value) for x in out.collect()) == [(0, 0, 2668.0), (1, 1, 2666.0), (2, 2, 2666.0)]
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
